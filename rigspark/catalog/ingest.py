@@ -9,7 +9,7 @@ from ..models.stages import InteractionFeatures, PopulationScaler, RangeScaler
 from ..operators.stats import regime_share, run_setpoints
 from ..schema import EVENTS_SCHEMA
 from ..sources.runs import audit, coerce, read_runs, trim_rows, union_all
-from .base import M, V, query, rnd, rounded, runs, table, valid, with_m, with_v
+from .base import query, rnd, rounded, runs, table, valid, with_m, with_v
 
 
 @query("scan_runs", """SELECT 'events.parquet' AS run_id, event_id AS seq, event_id, user_id, event_type, value FROM events""")
@@ -208,5 +208,3 @@ def friendly_names(spark, sf):
 def jitter_points(spark, sf):
     return rw.jitter(run_setpoints(valid(spark, sf)), {"load_n": 2.0, "temp_c": 1.0, "conc": 0.01})
 
-
-del M, V

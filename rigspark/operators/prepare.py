@@ -11,8 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..params import CHUNK_ROWS, ERROR_LIMIT, FOLDS, PROTECTED, SEED, TEST_SHARE, VIF_THRESHOLD
-from ..scale import as_list, attach, fits, quantiles, spine_all, with_positions, with_run_stats
-from ..session import cut
+from ..scale import as_list, attach, fits, ordered_positions, quantiles, spine_all, with_positions, with_run_stats
 
 
 def quantile_outliers(df: DataFrame, group: str = "run_id", cols: Iterable[str] = ("cof",), lo: float = 0.01,
@@ -63,25 +62,23 @@ def quantile_bins(df: DataFrame, cols: Iterable[str], q: int = 3, key: str = "ru
 
 def _rank_bins(df: DataFrame, out: str, q: int, key: str) -> DataFrame:
     """Bins of equal size in key order. The sorted rows are written first, so their partition numbers stay put."""
-    placed = cut(df.repartitionByRange(F.col(key)).sortWithinPartitions(key)).withColumn("_all", F.lit(0))
-    d = with_positions(placed, "_all", key, "_pos", "_total", chunk=F.spark_partition_id().cast("bigint"))
+    d = ordered_positions(df, [F.col(key)], pos="_pos", total="_total")
     bin_no = sum(((F.col("_pos") > F.lit(i / q) * (F.col("_total") - 1)).cast("int") for i in range(1, q)), F.lit(0))
-    return d.withColumn(out, bin_no).drop("_all", "_pos", "_total")
+    return d.withColumn(out, bin_no).drop("_pos", "_total")
 
 
-def _draw_order(run: str, seed: object) -> tuple[Column, Column]:
-    """A repeatable shuffle: md5 of run and seed, and its leading digits as evenly filled chunks."""
-    h = F.md5(F.concat(F.col(run), F.lit(f"#{seed}")))
-    return h, F.conv(F.substring(h, 1, 4), 16, 10).cast("bigint")
+def _drawn(df: DataFrame, keys: list[str], run: str, seed: Column) -> DataFrame:
+    """Position of each run in a repeatable shuffle: md5 order, its leading digits as evenly filled chunks."""
+    d = df.withColumn("_h", F.md5(F.concat(F.col(run), seed)))
+    lead = F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint")
+    return with_positions(d, keys, ["_h", run], "_pos", "_size", chunk=lead).drop("_h")
 
 
 def stratified_run_split(runs: DataFrame, by: Iterable[str], test: float = TEST_SHARE, seed: int = SEED,
                          run: str = "run_id") -> DataFrame:
     """Mark ``test`` of the runs, spread over the strata by largest remainder."""
     by = as_list(by)
-    h, _ = _draw_order(run, seed)
-    d = runs.withColumn("_h", h)
-    d = with_positions(d, by, ["_h", run], "_pos", "_size", chunk=F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint"))
+    d = _drawn(runs, by, run, F.lit(f"#{seed}"))
     strata = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     everything = W.partitionBy()  # one row per stratum
     strata = strata.withColumn("_want", F.ceil(F.lit(test) * F.sum("_n").over(everything)))
@@ -91,16 +88,15 @@ def stratified_run_split(runs: DataFrame, by: Iterable[str], test: float = TEST_
     left = F.col("_want") - F.sum("_base").over(everything)
     strata = strata.withColumn("_quota", F.col("_base") + (place <= left).cast("int"))
     d = attach(d, strata.select(*by, "_quota"), by)
-    return d.withColumn("is_test", F.col("_pos") < F.col("_quota")).drop("_h", "_pos", "_size", "_quota")
+    return d.withColumn("is_test", F.col("_pos") < F.col("_quota")).drop("_pos", "_size", "_quota")
 
 
 def group_shuffle_split(runs: DataFrame, n: int = 5, test: float = TEST_SHARE, seed: int = SEED,
                         run: str = "run_id") -> DataFrame:
     """``n`` independent random holdouts of runs, long: one row per (split, run)."""
     d = runs.select(run).distinct().withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    d = d.withColumn("_h", F.md5(F.concat(F.col(run), F.lit(f"#{seed}#"), F.col("split").cast("string"))))
-    d = with_positions(d, "split", ["_h", run], "_pos", "_total", chunk=F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint"))
-    return d.select("split", run, (F.col("_pos") < F.ceil(F.lit(test) * F.col("_total"))).alias("is_test"))
+    d = _drawn(d, ["split"], run, F.concat(F.lit(f"#{seed}#"), F.col("split").cast("string")))
+    return d.select("split", run, (F.col("_pos") < F.ceil(F.lit(test) * F.col("_size"))).alias("is_test"))
 
 
 def group_kfold(df: DataFrame, k: int = FOLDS, group: str = "run_id", driver_runs: int = 100_000) -> DataFrame:
@@ -121,9 +117,7 @@ def group_kfold(df: DataFrame, k: int = FOLDS, group: str = "run_id", driver_run
             heapq.heappush(heap, (load + n, fold))
             out.append((name, fold, n))
         return df.sparkSession.createDataFrame(out, f"{group} string, fold int, n_rows bigint")
-    placed = cut(sizes.repartitionByRange(F.desc("n_rows"), F.col(group)).sortWithinPartitions(F.desc("n_rows"), group))
-    placed = placed.withColumn("_all", F.lit(0)).withColumn("_neg", -F.col("n_rows"))
-    d = with_positions(placed, "_all", ["_neg", group], "_pos", "_total", chunk=F.spark_partition_id().cast("bigint"))
+    d = ordered_positions(sizes, [F.desc("n_rows"), F.col(group)], pos="_pos")
     return d.select(group, (F.col("_pos") % k).cast("int").alias("fold"), "n_rows")
 
 

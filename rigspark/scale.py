@@ -104,6 +104,27 @@ def trailing(
     return d.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
 
 
+def ordered_positions(df: DataFrame, order: Sequence[Column], value: str | None = None, pos: str = "pos",
+                      total: str = "total") -> DataFrame:
+    """Position (or running sum of ``value`` before the row) along a global order.
+
+    The rows are range-sorted and written first, so that their partition
+    numbers are stable; each partition is then one chunk of the numbering.
+    """
+    from .session import cut
+
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = placed.select("*", F.spark_partition_id().cast("bigint").alias(CHUNK), F.monotonically_increasing_id().alias("_id"))
+    amount = F.lit(1).cast("bigint") if value is None else F.col(value)
+    local = F.sum(amount).over(W.partitionBy(CHUNK).orderBy("_id").rowsBetween(W.unboundedPreceding, 0)) - amount
+    placed = cut(placed.withColumn("_local", local).withColumn("_amount", amount))
+    spine = placed.groupBy(CHUNK).agg(F.sum("_amount").alias("_sum"))
+    w = W.partitionBy()  # one row per partition of the input
+    spine = spine.select(CHUNK, (F.sum("_sum").over(w.orderBy(CHUNK)) - F.col("_sum")).alias("_before"), F.sum("_sum").over(w).alias(total))
+    out = placed.join(F.broadcast(spine), CHUNK).withColumn(pos, F.col("_local") + F.col("_before"))
+    return out.drop(CHUNK, "_id", "_local", "_amount", "_before")
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Count at most ``rows + 1`` rows: the size check before a broadcast."""
     return df.limit(rows + 1).count() <= rows
