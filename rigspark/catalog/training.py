@@ -16,7 +16,7 @@ from ..models.stages import ALL_FEATURES, InteractionFeatures, VifSelector
 from ..operators import prepare as pr, relational as rl, stats as st, timeseries as ts
 from ..params import Params
 from ..schema import EVENTS_SCHEMA, measurements
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..sources.report import write_report
 from ..sources.stage import stage
 from ..streaming.ingest import ingest_stream, read_clean
@@ -32,14 +32,14 @@ def training(spark, sf):
     """Smoothed rows with derived inputs, weights and a row key."""
     d = add_features(smooth(spark, sf).withColumn("ester", F.col("ester").cast("int")))
     d = st.sample_weights(d)
-    return d.withColumn("row_id", F.concat_ws("#", "run_id", F.lpad(F.col("seq").cast("string"), 12, "0"))).persist()
+    return cut(d.withColumn("row_id", F.concat_ws("#", "run_id", F.lpad(F.col("seq").cast("string"), 12, "0"))))
 
 
 def halves(spark, sf):
     """Train and test rows by run."""
     d = training(spark, sf)
     marks = pr.stratified_run_split(pr.quantile_bins(st.run_setpoints(d), ["load_n", "temp_c"]), ["load_n_bin", "temp_c_bin"])
-    d = rl.attach_stats(d, marks.select("run_id", "is_test"))
+    d = cut(rl.attach_stats(d, marks.select("run_id", "is_test")))
     return d.filter(~F.col("is_test")), d.filter("is_test")
 
 

@@ -9,7 +9,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -22,11 +21,12 @@ from ..operators.stats import regression_metrics
 from ..operators.timeseries import first_row, steady_state
 from ..params import ERROR_LIMIT, FOLDS, SEED, SETPOINT, STEADY_AT_SECONDS, TARGETS, TRIALS
 from ..scale import attach, ordered_positions, with_positions
+from ..session import cut
 from .registry import EnsembleModel, ModelSpec, TargetModel, fit_model, long_predictions, sample_params, wide_predictions
 
 
 def tag_folds(df: DataFrame, folds: DataFrame, group: str = "run_id") -> DataFrame:
-    return attach(df, folds.select(group, "fold"), group)
+    return cut(attach(df, folds.select(group, "fold"), group))
 
 
 def cross_predictions(spec: ModelSpec, params: Mapping, df: DataFrame, features: Sequence[str], folds: int = FOLDS,
@@ -97,8 +97,7 @@ def model_scores(models: Mapping[str, Model], splits: Mapping[str, DataFrame], k
         part = long_predictions(models, df.withColumn("split", F.lit(split)), [key, "split"], targets)
         preds = part if preds is None else preds.unionByName(part)
     start = time.time()
-    table = regression_metrics(preds, ["model", "split"]).persist(StorageLevel.MEMORY_AND_DISK)
-    table.count()
+    table = cut(regression_metrics(preds, ["model", "split"]))
     timings = 1000 * (time.time() - start) / max(1, len(models))
     return table.withColumn("score_ms", F.lit(timings))
 
@@ -170,7 +169,7 @@ def retrain(spec: ModelSpec, params: Mapping, model: Model, df: DataFrame, featu
             target: str = TARGETS[0]) -> tuple[TargetModel, DataFrame]:
     """Refit on the rows that survive the residual filter of the first target."""
     scored = model.transform(df).withColumn("abs_err", F.abs(F.col(f"pred_{target}") - F.col(target)))
-    kept = residual_filter(scored, limit).select(*df.columns)
+    kept = cut(residual_filter(scored, limit).select(*df.columns))
     return fit_model(spec, params, kept, features), kept
 
 
@@ -189,17 +188,17 @@ def learning_curve(spec: ModelSpec, params: Mapping, df: DataFrame, features: Se
     """Train and validation R2 for growing prefixes of the training rows in (run, seq) order."""
     sizes = list(sizes if sizes is not None else np.linspace(0.2, 1.0, 10))
     spark = df.sparkSession
-    draws = group_shuffle_split(df, splits, test, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = df.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_positions(df, "run_id", "seq", "_pos", "_run_rows")
+    draws = cut(group_shuffle_split(df, splits, test, seed))
+    counts = cut(df.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")))
+    placed = cut(with_positions(df, "run_id", "seq", "_pos", "_run_rows"))
 
     def one(split: int) -> list[tuple]:
         mine = draws.filter(F.col("split") == split).drop("split")
         starts = ordered_positions(counts.join(mine.filter(~F.col("is_test")), "run_id"), [F.col("run_id")], "_n", "_start", "_train")
         train = attach(placed, starts.select("run_id", "_start", "_train"), "run_id").withColumn("_at", F.col("_start") + F.col("_pos"))
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        train = cut(train)
         total = train.count()
-        held = attach(df, mine.filter("is_test"), "run_id")
+        held = cut(attach(df, mine.filter("is_test"), "run_id"))
         out = []
         for share in sizes:
             part = train.filter(F.col("_at") < F.lit(int(share * total)))
@@ -208,12 +207,10 @@ def learning_curve(spec: ModelSpec, params: Mapping, df: DataFrame, features: Se
                 long_predictions({"cv": model}, held, ["row_id"], targets))
             r2 = {r["model"]: r["r2"] for r in regression_metrics(preds, ["model"]).filter("target = 'all'").collect()}
             out.append((split, float(share), int(share * total), r2["train"], r2["cv"]))
-        train.unpersist()
         return out
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = [r for part in pool.map(one, range(splits)) for r in part]
-    draws.unpersist()
     table = spark.createDataFrame(rows, "split int, share double, n_rows bigint, train double, cv double")
     per_run = counts.agg(F.avg("_n")).first()[0]
     return table.groupBy("share").agg(

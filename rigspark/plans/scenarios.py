@@ -51,7 +51,8 @@ def neighbours(points: DataFrame, rel: float = 0.1, at: float = STEADY_AT_SECOND
 
 def tail_times(points: DataFrame, start: int = 6900, stop: int = 7200, step: int = 10) -> DataFrame:
     keep = [c for c in points.columns if c != "time_s"]
-    return points.select(*keep, F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))).cast("double").alias("time_s"))
+    times = F.sequence(F.lit(start), F.lit(stop), F.lit(step)).cast("array<double>")
+    return points.select(*keep, F.explode(times).alias("time_s"))
 
 
 def campaign_grid(spark: SparkSession, at: float = 7200.0, states: tuple[int, ...] = (0, 1), axes=GRID_AXES) -> DataFrame:
