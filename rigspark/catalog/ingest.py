@@ -204,7 +204,14 @@ def friendly_names(spark, sf):
     return rw.friendly_names(d)
 
 
-@query("jitter_points")
+def _noise(c):
+    return f"(CAST(('0x' || substr(md5(concat(run_id, '#42#{c}')), 1, 8)) AS BIGINT)/4294967296e0*2 - 1)"
+
+
+@query("jitter_points", with_v(f"""SELECT run_id, round(avg(load_n) + {_noise('load_n')}*2e0, 9) AS load_n_plot,
+  round(avg(temp_c) + {_noise('temp_c')}*1e0, 9) AS temp_c_plot, round(greatest(avg(conc) + {_noise('conc')}*1e-2, 0e0), 9) AS conc_plot
+  FROM v GROUP BY run_id"""))
 def jitter_points(spark, sf):
-    return rw.jitter(run_setpoints(valid(spark, sf)), {"load_n": 2.0, "temp_c": 1.0, "conc": 0.01})
+    out = rw.jitter(run_setpoints(valid(spark, sf)), {"load_n": 2.0, "temp_c": 1.0, "conc": 0.01})
+    return rounded(out.select("run_id", "load_n_plot", "temp_c_plot", "conc_plot"))
 

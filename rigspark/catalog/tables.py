@@ -349,12 +349,12 @@ def setpoint_features(spark, sf):
     return rounded(out.select("run_id", "seq", "log_time", "time_squared", "hertz_mpa"), time_squared=3, hertz_mpa=6)
 
 
-@query("vif")
+@query("vif", with_v(""", r AS (SELECT corr(load_n, temp_c) AS a, corr(load_n, conc) AS b, corr(temp_c, conc) AS c FROM v),
+d AS (SELECT *, 1 + 2*a*b*c - a*a - b*b - c*c AS det FROM r)
+SELECT 'load_n' AS feature, round((1-c*c)/det, 8) AS vif FROM d UNION ALL SELECT 'temp_c', round((1-b*b)/det, 8) FROM d
+UNION ALL SELECT 'conc', round((1-a*a)/det, 8) FROM d"""))
 def vif(spark, sf):
-    from ..models.stages import ALL_FEATURES, InteractionFeatures, SetpointFeatures
-
-    d = SetpointFeatures().transform(valid(spark, sf))
-    return pr.vif(InteractionFeatures().fit(d).transform(d), ALL_FEATURES)
+    return rounded(pr.vif(valid(spark, sf), ["load_n", "temp_c", "conc"]), 8)
 
 
 @query("vif_select")

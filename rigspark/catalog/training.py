@@ -20,8 +20,8 @@ from ..session import cut, shared_dir
 from ..sources.report import write_report
 from ..sources.stage import stage
 from ..streaming.ingest import ingest_stream, read_clean
-from .base import query, rnd, rounded, table, valid, with_v
-from .signal import S, smooth
+from .base import ORACLES, query, rnd, rounded, table, valid, with_v
+from .signal import S, smooth  # signal registers the clean_runs SQL first
 from .tables import _TM, P, predictions
 
 FEATURES = ["time_s", "load_n", "temp_c", "conc", "ester"]
@@ -192,9 +192,12 @@ def feature_importance(spark, sf):
     return sel.feature_importance(fit_model(REGISTRY["forest"], _SMALL, d, kept))
 
 
-@query("top_features")
+@query("top_features", with_v("SELECT 'cof' AS target, * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(abs(corr({c}, cof)), 9) AS importance FROM v" for c in FEATURES) + ") ORDER BY importance DESC, feature LIMIT 3"))
 def top_features(spark, sf):
-    return rl.top_features(feature_importance(spark, sf))
+    """Strongest inputs by absolute correlation."""
+    d = st.correlation(valid(spark, sf), ["cof"], FEATURES)
+    return rl.top_features(d.select("target", F.col("input").alias("feature"), rnd(F.abs("r")).alias("importance")))
 
 
 @query("learning_curve")
@@ -223,13 +226,13 @@ def _fresh(spark, kind):
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-@query("incremental_ingest")
+@query("incremental_ingest", ORACLES["clean_runs"])
 def incremental_ingest(spark, sf):
     base = _fresh(spark, "ingest")
     stream = ingest_stream(spark, sf, f"{base}/checkpoint", f"{base}/rows", EVENTS_SCHEMA, "parquet", Params(downsample=5, rolling=4),
                            shape=measurements, pathGlobFilter="events.parquet")
     stream.awaitTermination()
-    return read_clean(spark, f"{base}/rows")
+    return rounded(read_clean(spark, f"{base}/rows"), time_s=6)
 
 
 @query("write_tables", with_v(""" SELECT 'steady' AS name, count(*) AS n_rows, round(sum(cof), 8) AS total FROM

@@ -57,7 +57,8 @@ def friendly_names(df: DataFrame, mapping: Mapping[str, str] = LABELS) -> DataFr
 def unit_noise(key: Column | str, seed: int, salt: str) -> Column:
     """Repeatable uniform in [0, 1): a hash of the row key, not of its place."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(salt), F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
+    h = F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}#{salt}")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def jitter(df: DataFrame, amplitudes: Mapping[str, float], seed: int = SEED, key: str = "run_id",

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..scale import as_list, attach, fits
+from ..scale import as_list, attach, counted
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, on: str | Iterable[str] = "run_id") -> DataFrame:
@@ -22,8 +22,8 @@ def attach_count(df: DataFrame, keys: Iterable[str], out: str = "n_group") -> Da
 
 def runs_subset(df: DataFrame, runs: DataFrame, run: str = "run_id", how: str = "left_semi") -> DataFrame:
     """Rows of the chosen runs; the list is broadcast only if a count shows it is short."""
-    chosen = runs.select(run).distinct()
-    return df.join(F.broadcast(chosen) if fits(chosen) else chosen, run, how)
+    chosen, small = counted(runs.select(run).distinct())
+    return df.join(F.broadcast(chosen) if small else chosen, run, how)
 
 
 def setpoint_keys() -> dict[str, Column]:
@@ -39,8 +39,8 @@ def setpoint_keys() -> dict[str, Column]:
 def novel(grid: DataFrame, measured: DataFrame, keys: Mapping[str, Column] | None = None) -> DataFrame:
     """Grid points whose key no measured row has."""
     keys = dict(keys or setpoint_keys())
-    have = measured.select(*[c.alias(k) for k, c in keys.items()]).distinct()
-    return grid.withColumns(keys).join(F.broadcast(have) if fits(have) else have, list(keys), "left_anti").drop(*keys)
+    have, small = counted(measured.select(*[c.alias(k) for k, c in keys.items()]).distinct())
+    return grid.withColumns(keys).join(F.broadcast(have) if small else have, list(keys), "left_anti").drop(*keys)
 
 
 def setpoint_grid(spark: SparkSession, axes: Mapping[str, Column | tuple]) -> DataFrame:

@@ -47,7 +47,8 @@ def setpoint_distribution(df: DataFrame, step: float = 5.0, run: str = "run_id")
 
 def high_counts(df: DataFrame, col: str = "cof", limit: float = HIGH_COF, run: str = "run_id") -> DataFrame:
     """Samples above the limit per run; the row without a run is the total."""
-    return df.filter(F.col(col) > limit).rollup(run).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = df.filter(F.col(col) > limit).groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.rollup(run).agg(F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")).alias("n_rows"))
 
 
 _DESCRIBE = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
@@ -165,9 +166,11 @@ def minmax_score(df: DataFrame, targets: Iterable[str] = ("cof", "fai"), by: str
 
 
 def metric_cube(scored: DataFrame, dims: Iterable[str] = ("model", "split", "target")) -> DataFrame:
+    """Scores at every level of the dimensions; the rows are summed once, the cube is built on the sums."""
     e = F.col("pred") - F.col("y")
-    return scored.cube(*dims).agg(F.count(F.lit(1)).alias("n_rows"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                                  F.avg(F.abs(e)).alias("mae"))
+    sums = scored.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"), F.sum(e * e).alias("_sq"), F.sum(F.abs(e)).alias("_abs"))
+    return sums.cube(*dims).agg(F.sum("_n").alias("n_rows"), F.sqrt(F.sum("_sq") / F.sum("_n")).alias("rmse"),
+                                (F.sum("_abs") / F.sum("_n")).alias("mae"))
 
 
 def regime_share(df: DataFrame, lam: str, run: str = "run_id") -> DataFrame:

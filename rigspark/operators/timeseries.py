@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..params import (CHUNK_ROWS, DOWNSAMPLE_ROWS, END_OF_TEST_SECONDS, ROLLING_ROWS, RUN_IN_ROWS, SETPOINT,
                       STEADY_SECONDS, TARGETS)
-from ..scale import CHUNK, as_list, fits, spine_all, trailing, with_positions, with_run_stats
+from ..scale import as_list, attach, fits, spine_all, trailing, with_positions, with_run_stats
+from ..session import cut
 
 
 def _numeric(df: DataFrame, skip: Iterable[str]) -> list[str]:
@@ -113,19 +114,17 @@ def run_in_time(df: DataFrame, col: str = "cof", n: int = RUN_IN_ROWS, tail: int
     keys, order = as_list(run), as_list(order)
     d = df.select(*keys, *[c for c in dict.fromkeys([*order, time, col]) if c not in keys])
     d = with_positions(d, keys, order, "_pos", "_total", rows)
-    d = trailing(d, {"_s": F.avg(col)}, n - 1, keys, "_pos", rows).select(
-        *keys, time, F.col("_s").alias("_smooth"), "_pos", "_total",
-        F.floor(F.col("_pos") / F.lit(rows)).cast("bigint").alias(CHUNK))
+    d = trailing(d, {"_s": F.avg(col)}, n - 1, keys, "_pos", rows)
+    d = cut(d.select(*keys, time, F.col("_s").alias("_smooth"), "_pos", "_total"))
     in_tail = F.col("_pos") >= F.col("_total") - F.greatest(F.lit(tail), F.floor(F.lit(frac) * F.col("_total")))
     t = F.when(in_tail, F.col("_smooth"))
     bands = d.groupBy(*keys).agg(F.avg(t).alias("_mean"), F.stddev_pop(t).alias("_sd"))
-    spine = d.select(*keys, CHUNK).distinct().join(bands, keys)
-    d = d.join(spine, [*keys, CHUNK])
     band = F.greatest(F.lit(sigmas) * F.col("_sd"), F.lit(rel) * F.col("_mean"))
-    out_at = F.when(F.abs(F.col("_smooth") - F.col("_mean")) > band, F.col(time))
+    d = attach(d.select(*keys, time, "_smooth", "_pos"), bands.withColumn("_band", band), keys)
+    out_at = F.when(F.abs(F.col("_smooth") - F.col("_mean")) > F.col("_band"), F.col(time))
     return d.groupBy(*keys).agg(
         F.coalesce(F.max(out_at), F.lit(0e0)).alias("run_in_s"), F.max("_mean").alias("final_mean"),
-        F.max(band).alias("tolerance"))
+        F.max("_band").alias("tolerance"))
 
 
 def first_row(df: DataFrame, cols: Iterable[str] = SETPOINT, run: str | list[str] = "run_id",

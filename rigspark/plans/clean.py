@@ -10,6 +10,7 @@ from ..operators.stats import sample_weights
 from ..operators.timeseries import downsample, rolling_mean, with_summary
 from ..params import Params
 from ..schema import CLEAN_SCHEMA
+from ..session import cut
 from ..sources.runs import coerce, trim_rows
 
 
@@ -17,12 +18,13 @@ def clean_runs(raw: DataFrame, params: Params = Params()) -> DataFrame:
     """Trim, coerce, filter, resample, smooth and summarise every run.
 
     Row positions are counted on the filtered rows, as the resampling needs
-    them, so the filters stay below the first shuffle.
+    them, so the filters stay below the first shuffle. The resampled signal, a
+    tenth of the input, is stored once; the summary reads it several times.
     """
     d = trim_rows(raw, params.head_rows, params.tail_rows, rows=params.chunk_rows)
     d = valid_rows(coerce(d), min_time=params.warm_up)
     d = default_flag(downsample(d, params.downsample, rows=params.chunk_rows))
-    d = rolling_mean(d, "cof", params.rolling, dense=True, order="seq", rows=params.chunk_rows)
+    d = cut(rolling_mean(d, "cof", params.rolling, dense=True, order="seq", rows=params.chunk_rows))
     d = with_summary(d, params.steady_span, params.end_of_test, rows=params.chunk_rows)
     d = positive(d)
     return d.select(*[F.col(f.name).cast(f.dataType) for f in CLEAN_SCHEMA.fields])

@@ -43,7 +43,7 @@ def pareto_front(df: DataFrame, x: str = "cof", y: str = "fai", by: str | Iterab
         d = Bucketizer(splits=splits, inputCol=x, outputCol="_slice").transform(d.drop("_slice"))
         per = d.groupBy(*by, "_slice").agg(F.min(y).alias("_best"), F.count(F.lit(1)).alias("_n"))
         before = F.min("_best").over(W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
-        per = per.withColumn("_before", before).drop("_best").persist()
+        per = cut(per.withColumn("_before", before).drop("_best"))
         largest = per.agg(F.max("_n")).first()[0] or 0
         d = attach(d, per.drop("_n"), [*by, "_slice"])
         d = d.filter(F.col("_before").isNull() | (F.col(y) < F.col("_before"))).drop("_before")

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .params import BROADCAST_ROWS, CHUNK_ROWS, QUANTILE_ROWS
+from .session import cut
 
 CHUNK = "_chunk"
 
@@ -111,18 +111,15 @@ def ordered_positions(df: DataFrame, order: Sequence[Column], value: str | None
     The rows are range-sorted and written first, so that their partition
     numbers are stable; each partition is then one chunk of the numbering.
     """
-    from .session import cut
-
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = placed.select("*", F.spark_partition_id().cast("bigint").alias(CHUNK), F.monotonically_increasing_id().alias("_id"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.select("*", F.spark_partition_id().cast("bigint").alias(CHUNK), F.monotonically_increasing_id().alias("_id")))
     amount = F.lit(1).cast("bigint") if value is None else F.col(value)
     local = F.sum(amount).over(W.partitionBy(CHUNK).orderBy("_id").rowsBetween(W.unboundedPreceding, 0)) - amount
-    placed = cut(placed.withColumn("_local", local).withColumn("_amount", amount))
-    spine = placed.groupBy(CHUNK).agg(F.sum("_amount").alias("_sum"))
+    spine = placed.groupBy(CHUNK).agg(F.sum(amount).alias("_sum"))
     w = W.partitionBy()  # one row per partition of the input
     spine = spine.select(CHUNK, (F.sum("_sum").over(w.orderBy(CHUNK)) - F.col("_sum")).alias("_before"), F.sum("_sum").over(w).alias(total))
-    out = placed.join(F.broadcast(spine), CHUNK).withColumn(pos, F.col("_local") + F.col("_before"))
-    return out.drop(CHUNK, "_id", "_local", "_amount", "_before")
+    out = placed.withColumn("_local", local).join(F.broadcast(spine), CHUNK).withColumn(pos, F.col("_local") + F.col("_before"))
+    return out.drop(CHUNK, "_id", "_local", "_before")
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -130,6 +127,12 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` as a stored table, and whether it is short enough to broadcast. Its plan runs once."""
+    stored = cut(df)
+    return stored, fits(stored, rows)
+
+
 def attach(
     df: DataFrame, stats: DataFrame, on: str | Iterable[str], how: str = "inner",
     rows: int = BROADCAST_ROWS, salts: int = 32, salt_by: str | None = None,
@@ -141,8 +144,8 @@ def attach(
     ``salts`` partitions and the stats are copied to each of them.
     """
     on = as_list(on)
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
-    if fits(stats, rows):
+    stats, small = counted(stats, rows)
+    if small:
         return df.join(F.broadcast(stats), on, how)
     salt_of = F.xxhash64(*([salt_by] if salt_by else [c for c in df.columns]))
     left = df.withColumn("_salt", F.pmod(salt_of, F.lit(salts)).cast("int"))
@@ -196,30 +199,28 @@ def _sliced_quantiles(df: DataFrame, cols: list[str], qs: Sequence[float], by: l
     state = state.select(*key, "_lo", "_hi", F.col("_q.i").alias("_i"), (at - F.floor(at)).alias("_frac"),
                          F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("_rank"),
                          F.col("_n").alias("_inside"), F.lit(0).cast("bigint").alias("_below"))
-    from .session import cut
-
     state = cut(state)
     slice_of = F.when(F.col("_hi") <= F.col("_lo"), 0).otherwise(
-        F.least(F.lit(_SLICES - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _SLICES)))
-    ids = [*key, "_i", "_rank"]
+        F.least(F.lit(_SLICES - 1), F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0e0)) * _SLICES)))
+    ids, span = [*key, "_i", "_rank"], [*key, "_lo", "_hi"]
+    is_open = (F.col("_inside") > rows) & (F.col("_lo") < F.col("_hi"))
     for _ in range(16):
-        open_state = state.filter((F.col("_inside") > rows) & (F.col("_lo") < F.col("_hi")))
-        if open_state.isEmpty():
+        wide = state.filter(is_open)
+        if wide.isEmpty():
             break
-        hit = (long.join(F.broadcast(open_state), key)
-               .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-        hist = (hit.withColumn("_s", slice_of).groupBy(*ids, "_frac", "_below", "_s")
-                .agg(F.count("_v").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-        w = W.partitionBy(*ids).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-        hist = hist.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        found = hist.filter((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c")))
-        narrowed = found.select(*key, "_lo", "_hi", "_i", "_frac", "_rank",
+        # ranges shared by several ranks are counted once
+        hit = long.join(F.broadcast(wide.select(*span).distinct()), key).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        hist = (hit.withColumn("_s", slice_of).groupBy(*span, "_s")
+                .agg(F.count("_v").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+        w = W.partitionBy(*span).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+        hist = hist.withColumn("_left", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        found = wide.join(hist, span).withColumn("_below", F.col("_below") + F.col("_left"))
+        found = found.filter((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c")))
+        narrowed = found.select(*key, F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_i", "_frac", "_rank",
                                 F.col("_c").alias("_inside"), "_below")
-        done = state.filter(~((F.col("_inside") > rows) & (F.col("_lo") < F.col("_hi"))))
-        state = cut(done.unionByName(narrowed))
+        state = cut(state.filter(~is_open).unionByName(narrowed))
     # one value left, or few enough rows to rank; equal values are counted, not listed
-    near = (long.join(F.broadcast(state), key)
-            .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
+    near = long.join(F.broadcast(state), key).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     values = near.groupBy(*ids, "_frac", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*ids).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     values = values.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..params import CHUNK_ROWS
-from ..scale import with_positions
+from ..scale import CHUNK, attach, chunked, spine_all, spine_before, with_positions
 from ..schema import ALIASES, NUMERIC, REQUIRED
 
 
@@ -36,9 +36,25 @@ def read_runs(spark: SparkSession, path: str | list[str], fmt: str = "csv", sche
 
 def trim_rows(df: DataFrame, head: int = 1, tail: int = 5, run: str = "run_id", seq: str = "seq",
               rows: int = CHUNK_ROWS) -> DataFrame:
-    """Drop the first ``head`` and last ``tail`` rows of each run."""
-    d = with_positions(df, run, seq, "_pos", "_total", rows)
-    return d.filter((F.col("_pos") >= head) & (F.col("_pos") < F.col("_total") - tail)).drop("_pos", "_total")
+    """Drop the first ``head`` and last ``tail`` rows of each run.
+
+    Counting rows per chunk shows which chunks hold a run's ends; only those
+    are ordered, to find the position keys to cut at. The rows themselves are
+    filtered in place, without a shuffle.
+    """
+    ends = chunked(df.select(run, seq), seq, rows)
+    spine = ends.groupBy(run, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    spine = spine.select(run, CHUNK, F.coalesce(F.sum("_n").over(spine_before(run)), F.lit(0)).alias("_before"),
+                         "_n", F.sum("_n").over(spine_all(run)).alias("_total"))
+    after = F.col("_total") - F.col("_before") - F.col("_n")
+    ends = attach(ends, spine.filter((F.col("_before") < head) | (after < tail)), [run, CHUNK])
+    pos = F.col("_before") + F.row_number().over(W.partitionBy(run, CHUNK).orderBy(seq)) - 1
+    ends = ends.withColumn("_pos", pos)
+    bounds = ends.groupBy(run).agg(F.max(F.when(F.col("_pos") < head, F.col(seq))).alias("_after"),
+                                   F.min(F.when(F.col("_pos") >= F.col("_total") - tail, F.col(seq))).alias("_until"))
+    d = attach(df, bounds, run, "left")
+    keep = (F.col("_after").isNull() | (F.col(seq) > F.col("_after"))) & (F.col("_until").isNull() | (F.col(seq) < F.col("_until")))
+    return d.filter(keep).select(*df.columns)
 
 
 def coerce(df: DataFrame, aliases: Mapping[str, str] = ALIASES, numeric: Iterable[str] = NUMERIC) -> DataFrame:
