@@ -8,6 +8,7 @@ from ..operators import timeseries as ts
 from ..operators.relational import attach_count
 from ..params import Params
 from ..plans.clean import clean_runs as clean
+from ..session import cut
 from .base import query, rnd, rounded, runs, valid, with_m, with_v
 
 _N, _W = 5, 4
@@ -26,7 +27,8 @@ def sampled(spark, sf):
 
 
 def smooth(spark, sf):
-    return ts.rolling_mean(sampled(spark, sf), "cof", _W, dense=True)
+    """The resampled, smoothed signal as a stored table: later steps read it more than once."""
+    return cut(ts.rolling_mean(sampled(spark, sf), "cof", _W, dense=True))
 
 
 @query("downsample", with_v(D + """ SELECT run_id, seq, round(time_s, 6) AS time_s, round(load_n, 9) AS load_n, round(temp_c, 9) AS temp_c,
@@ -37,7 +39,8 @@ def downsample(spark, sf):
 
 @query("rolling_mean_strict", with_v(S + " SELECT run_id, seq, round(cof, 12) AS cof, round(fai, 12) AS fai FROM s"))
 def rolling_mean_strict(spark, sf):
-    return rounded(smooth(spark, sf).select("run_id", "seq", "cof", "fai"), 12)
+    d = ts.rolling_mean(sampled(spark, sf), "cof", _W, dense=True)
+    return rounded(d.select("run_id", "seq", "cof", "fai"), 12)
 
 
 @query("rolling_mean_partial", with_v("""SELECT run_id, seq, round(avg(cof) OVER (PARTITION BY run_id ORDER BY seq

@@ -171,20 +171,20 @@ class EnsembleModel(Model):
         self.members, self.weights, self.name, self.targets, self.lower = members, list(weights), name, tuple(targets), lower
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        d = wide_predictions([m.unclamped() if hasattr(m, "unclamped") else m for m in self.members], df, self.targets)
+        d = wide_predictions([m.unclamped() if hasattr(m, "unclamped") else m for m in self.members], df, self.targets, "_e")
         total = sum(self.weights)
         out = {}
         for t in self.targets:
-            p = sum((F.col(f"_m{i}_{t}") * F.lit(w / total) for i, w in enumerate(self.weights)), F.lit(0e0))
+            p = sum((F.col(f"_e{i}_{t}") * F.lit(w / total) for i, w in enumerate(self.weights)), F.lit(0e0))
             out[f"pred_{t}"] = clamp(p, self.lower) if self.lower is not None else p
         return d.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
-def wide_predictions(models: Iterable[Model], df: DataFrame, targets: Iterable[str] = TARGETS) -> DataFrame:
+def wide_predictions(models: Iterable[Model], df: DataFrame, targets: Iterable[str] = TARGETS, prefix: str = "_m") -> DataFrame:
     """Columns ``_m<i>_<target>`` of every model side by side, without joining predictions."""
     d = df
     for i, m in enumerate(models):
-        d = m.transform(d).withColumnsRenamed({f"pred_{t}": f"_m{i}_{t}" for t in targets})
+        d = m.transform(d).withColumnsRenamed({f"pred_{t}": f"{prefix}{i}_{t}" for t in targets})
     return d
 
 

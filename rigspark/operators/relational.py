@@ -52,13 +52,15 @@ def setpoint_grid(spark: SparkSession, axes: Mapping[str, Column | tuple]) -> Da
     return cross_axes(d, axes)
 
 
+def _levels(first: float, step: float, count: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(int(count) - 1)), lambda i: F.lit(float(first)) + i * F.lit(float(step)))
+
+
 def cross_axes(d: DataFrame, axes: Mapping[str, Column | tuple]) -> DataFrame:
     """Extend each row of ``d`` by every combination of the axes; narrow, no join."""
     for name, axis in axes.items():
         if isinstance(axis, tuple):
-            first, step, levels = axis
-            values = F.transform(F.sequence(F.lit(0), F.lit(int(levels) - 1)),
-                                 lambda i, f=first, s=step: F.lit(float(f)) + i * F.lit(float(s)))
+            values = _levels(*axis)
         else:
             values = axis
         others = [c for c in d.columns if c != "point_id"]
