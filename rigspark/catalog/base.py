@@ -34,7 +34,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def valid(spark: SparkSession, sf: str) -> DataFrame:
     """Measured rows that pass the row filters; most statistics start here."""
-    return positive(valid_rows(runs(spark, sf)))
+    return positive(valid_rows(measurements(table(spark, sf, "events"), decode_once=True)))
 
 
 def rnd(c: Column | str, digits: int = 9) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import snap
 from ..operators import prepare as pr, relational as rl, stats as st, timeseries as ts
+from ..session import cut
 from .base import query, rnd, rounded, valid, with_v
 from .signal import S, smooth
 
@@ -362,7 +363,7 @@ def vif_select(spark, sf):
     from ..models.stages import ALL_FEATURES, InteractionFeatures, SetpointFeatures, VifSelector
 
     d = SetpointFeatures().transform(valid(spark, sf))
-    d = InteractionFeatures().fit(d).transform(d)
+    d = cut(InteractionFeatures().fit(d).transform(d))
     model = VifSelector(inputCols=list(ALL_FEATURES)).fit(d)
     return spark.createDataFrame([(c, c in model.kept) for c in ALL_FEATURES], "feature string, kept boolean")
 

@@ -74,11 +74,13 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def measurements(events: DataFrame) -> DataFrame:
+def measurements(events: DataFrame, decode_once: bool = False) -> DataFrame:
     """Shape an event log as a run archive: 40 runs, one signal sample per event.
 
     A pure projection, so column pruning and filters still reach the scan.
     ``seq`` is the sample's position key: unique, increasing with time.
+    Filters on several derived columns would each repeat the text decoding
+    when they are pushed below it; ``decode_once`` keeps them above.
     """
     e = (F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 1)
          .when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4))
@@ -88,6 +90,8 @@ def measurements(events: DataFrame) -> DataFrame:
     base = events.select(
         F.col("event_id").alias("seq"), us.alias("us"), "event_type", m.alias("m"), "value", e.alias("e"), k.alias("k"),
     )
+    if decode_once:
+        base = base.select(F.inline(F.array(F.struct(*base.columns))))
     return base.select(
         F.concat("event_type", F.lit("_"), F.col("m").cast("string")).alias("run_id"),
         "seq",
