@@ -190,7 +190,7 @@ def grid(d):
     axes = axes.withColumn("point_id", F.lit(0).cast("bigint"))
     out = rl.cross_axes(axes, {"ester": F.array(F.lit(0), F.lit(1)), "conc": F.transform("cs", lambda x: x / F.lit(100e0)),
                                "load_n": F.col("ls"), "temp_c": F.col("tl")})
-    return out.select("point_id", "conc", "load_n", "temp_c", "ester")
+    return cut(out.select("point_id", "conc", "load_n", "temp_c", "ester"))
 
 
 @query("setpoint_cross", with_v(_AX + " SELECT * FROM gr"))

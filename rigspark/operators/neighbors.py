@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..scale import attach
+from ..session import cut
 
 PIVOTS = 256
 BLOCK_ROWS = 20_000
@@ -48,7 +49,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str]
     vectors; the result is ``(vec, rid, dist, payload...)``.
     """
     payload = list(payload)
-    queries = queries.select("vec").distinct()
+    queries, refs = cut(queries.select("vec").distinct()), cut(refs.select("rid", "vec", *payload))
     n_refs = refs.count()
     if n_refs <= block_rows:
         cells = np.zeros((1, 1))
@@ -72,6 +73,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str]
         visits = queries.withColumn("cell", F.lit(0))
     else:
         placed = refs.withColumn("_p", cell_of("vec")).withColumn("cell", F.col("_p.cell")).withColumn("_d", F.col("_p.d")).drop("_p")
+        placed = cut(placed)
         stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).collect()
         rank = F.row_number().over(W.partitionBy("cell").orderBy("_d"))
         closest = placed.select("cell", "_d", rank.alias("r")).filter(F.col("r") <= k).collect()
@@ -95,7 +97,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str]
                 out.extend(np.flatnonzero(row).tolist() for row in visit)
             return pd.Series(out)
 
-        visits = queries.withColumn("cell", F.explode(cells_to_visit("vec")))
+        visits = cut(queries.withColumn("cell", F.explode(cells_to_visit("vec"))))
     crowd = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
     if not crowd:
         fields = ", ".join(["vec array<double>", f"rid {refs.schema['rid'].dataType.simpleString()}", "dist double"]

@@ -135,7 +135,7 @@ def scaled_setpoints(grid: DataFrame, other: DataFrame, cols: Sequence[str] = SE
 def sparsity(points: DataFrame, measured: DataFrame, cols: Sequence[str] = SETPOINT, eps: float = RANGE_EPS) -> DataFrame:
     """Distance of each point to its nearest measured setpoint in grid-scaled space, and that distance range-scaled."""
     g, m = scaled_setpoints(points, measured, cols)
-    d = nearest_distance(g, m, [f"_s_{c}" for c in cols])
+    d = cut(nearest_distance(g, m, [f"_s_{c}" for c in cols]))
     span = d.agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"))
     d = d.crossJoin(F.broadcast(span)).withColumn("sparsity", (F.col("distance") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(eps)))
     return d.select(*points.columns, "distance", "sparsity")
