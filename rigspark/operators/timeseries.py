@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..params import (CHUNK_ROWS, DOWNSAMPLE_ROWS, END_OF_TEST_SECONDS, ROLLING_ROWS, RUN_IN_ROWS, SETPOINT,
                       STEADY_SECONDS, TARGETS)
-from ..scale import as_list, attach, fits, spine_all, trailing, with_positions, with_run_stats
+from ..scale import as_list, attach, counted, spine_all, trailing, with_positions, with_run_stats
 from ..session import cut
 
 
@@ -138,7 +138,8 @@ def template_curve(df: DataFrame, run_id: str, setpoints: DataFrame, run: str =
 
     The setpoints are the broadcast side, a few optima or suggestions; their number is checked.
     """
-    if not fits(setpoints, 10_000):
+    setpoints, short = counted(setpoints, 10_000)
+    if not short:
         raise ValueError("a template curve is for a short list of setpoints")
     axis = (df.filter(F.col(run) == run_id).filter("time_s > 0 AND temp_c <> 0 AND load_n <> 0")
             .select("time_s", F.col("seq").alias("step")))

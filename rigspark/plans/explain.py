@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..params import ATTRIBUTION_ROWS, SEED, TARGETS
 from ..scale import as_list, quantiles
+from ..session import cut
 from .scenarios import linspace
 
 
@@ -64,8 +65,8 @@ def shapley(model: Model, df: DataFrame, features: Sequence[str], background: Da
     place = F.array(*[F.array(*[F.lit(o.index(j)) for j in range(p)]) for o in orders])
     switched = F.array(*[F.array(*[F.lit(features[j]) for j in o]) for o in orders])
     rows = sample_rows(df, sample, key, seed).select(key, *[c for c in df.columns if c != key])
-    bg = background.select(*[F.col(f).alias(f"_b_{f}") for f in features])
-    n_bg = background.count()
+    bg = cut(background.select(*[F.col(f).alias(f"_b_{f}") for f in features]))
+    n_bg = bg.count()
     d = rows.crossJoin(F.broadcast(bg))  # both sides are samples of a fixed size
     d = d.withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     d = d.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p))))

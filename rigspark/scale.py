@@ -174,7 +174,7 @@ def quantiles(
     wanted = F.array(*[F.lit(float(q)) for q in qs])
     if approx is not None:
         return df.groupBy(*by).agg(*[F.percentile_approx(c, wanted, approx).alias(f"{c}_q") for c in cols])
-    sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
+    sizes = cut(df.groupBy(*by).count()) if by else df.select(F.count(F.lit(1)).alias("count"))
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= rows:
         return df.groupBy(*by).agg(*[F.percentile(c, wanted).alias(f"{c}_q") for c in cols])
