@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from rigspark import catalog
 from tests.oracle import compare, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 TRAINED = {"random_forest", "gbt", "mlp_regress", "model_scores", "retrain_clean", "learning_curve", "hyper_search", "cross_validate",
            "feature_importance", "run_in_model"}
 
