@@ -1,7 +1,7 @@
 """What the text operators share: the query registry, native string helpers, batch limits for Python tasks.
 
-Rows are told apart by their id. Rows that share an id (null included) count as one document when documents are counted or
-compared; every row still gets its own output row unless an operator says otherwise. A null id sorts after every other.
+Rows are told apart by their id. Rows that share an id count as one document when documents are counted or compared; every row still
+gets its own output row unless an operator says otherwise. Rows without an id are told apart by their texts and sort after all others.
 Operators read the columns they name and build their output from fresh columns, so extra input columns of any name are harmless.
 """
 
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = " \t\n\x0b\f\r"
 LAST_ID = 2**63 - 1
+NULL_IDS = 2**40
 
 
 def query(name: str, sql: str | None = None):
@@ -47,14 +48,23 @@ def store(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sort_id(c: Column) -> Column:
-    """The id as a number that is never null; null sorts last."""
-    return F.coalesce(c.cast("bigint"), F.lit(LAST_ID))
+def sort_id(id_: Column, text: Column) -> Column:
+    """The id as a number that is never null: a row without an id gets one by its text, after every given id."""
+    own = F.lit(LAST_ID) - F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NULL_IDS))
+    return F.coalesce(id_.cast("bigint"), own)
 
 
 def given_id(c: Column) -> Column:
     """Back from ``sort_id``."""
-    return F.when(c != F.lit(LAST_ID), c)
+    return F.when(c <= F.lit(LAST_ID - NULL_IDS), c)
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str, id_col: str, text_col: str, most: int = 1_000_000) -> DataFrame:
+    """Semi- or anti-join whole rows with a table of ``_id`` (as of ``sort_id``): broadcast if it is counted to be short, else shuffled."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), sort_id(docs[id_col], docs[text_col]).alias("_id"))
+    small = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if small else ids, "_id", how).select(*[F.col("_row")[c].alias(c) for c in names])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -67,6 +77,11 @@ def text_key(c: Column) -> Column:
     return F.xxhash64(F.coalesce(c, F.lit("")), c.isNull())
 
 
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text, modulo ``folds``, is ``fold``. A null id hashes as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
 def bounded_batches(spark: SparkSession, mb: int = 8, rows: int = 4096) -> None:
     """Arrow batches for Python tasks end at so many bytes or rows, whichever comes first: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

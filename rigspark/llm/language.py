@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import bounded_batches, query, table
+from .base import bounded_batches, held_out, query, table
 
 DIMENSIONS = 1024
 SLICE = 1 << 18  # code points bundled at a time
@@ -133,11 +133,6 @@ def language_of(prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS)
     return judge
 
 
-def held_out(id_col: str, folds: int, fold: int):
-    """Whether crc32 of the id as text, modulo ``folds``, is ``fold``. A null id hashes as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
-
-
 @query("op7_language_id")
 def op7_language_id(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
