@@ -144,7 +144,7 @@ def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
         out = docs.select(F.col(id_col).alias("_id"), _scanner(blocks[0])(F.col(text_col)).alias("_scan"))
         return out.select(F.col("_id").alias(id_col), "_scan.n_words", "_scan.hits", "_scan.items")
     # several blocks: each pass is stored, the hits of a document are put together; rows equal in id and text share a result
-    keyed = docs.select(sort_id(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("_given"))
+    keyed = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("_given"))
     found = None
     for b in blocks:
         one = store(keyed.select("_id", "_text", _scanner(b)("_given").alias("_scan"))).select("_id", "_text", "_scan.*").filter(F.size("hits") > 0)

@@ -29,23 +29,32 @@ def chunks(c: Column, low: int = CHUNK[0], high: int = CHUNK[1]) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s).{{{low},{high - 1}}}?{BOUNDARY}|.{{1,{high}}}"), F.lit(0))
 
 
+STAYS = "_id = _keep AND _copy = 1"
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """Group rows whose texts are identical without white space, and name the one that stays.
 
     Returns one row per input row: the id, ``keep_id``, ``group_size`` (rows of the group), ``kept``, ``text_sha256`` of the
-    normalised text, and ``text_key``, which tells rows of one id apart. Of a group, the row with the most code points stays, then the
+    normalised text. Of a group, the row with the most code points stays, then the
     smallest id. ``hash_bits`` below 64 shortens the hashes to force collisions in tests.
 
-    * Null counts as empty; all empty texts are one group. A null id sorts last.
+    * Null counts as empty; all empty texts are one group. Rows without an id sort last.
     * A row repeated with its id and text: ``kept`` is true on one of them.
     * An empty table gives an empty table.
     """
+    return _groups(docs, id_col, text_col, hash_bits).select(
+        given_id(F.col("_id")).alias(id_col), given_id(F.col("_keep")).alias("keep_id"), F.col("_size").alias("group_size"),
+        F.expr(STAYS).alias("kept"), F.col("_sha").alias("text_sha256"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, hash_bits: int = 64) -> DataFrame:
     mask = F.lit(-1 if hash_bits >= 64 else (1 << hash_bits) - 1).cast("bigint")
 
     def hashed(x: Column) -> Column:
         return F.struct(F.xxhash64(x).bitwiseAND(mask).alias("a"), F.xxhash64(F.lit(17), x).bitwiseAND(mask).alias("b"))
 
-    plain = docs.select(sort_id(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"),
+    plain = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"),
                         F.char_length(F.coalesce(text_col, F.lit(""))).alias("_points"), without_spaces(F.col(text_col)).alias("_plain"))
     stored = store(plain.select("_id", "_text", "_points", F.sha2("_plain", 256).alias("_sha"), chunks(F.col("_plain")).alias("_chunks")))
 
@@ -79,17 +88,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = store(recipes.groupBy("_recipe").agg(F.count(F.lit(1)).alias("_size"), F.max(rank.cast("decimal(38,0)")).alias("_best")))
     keep = (F.lit(LAST_ID).cast("decimal(20,0)") - F.pmod(F.col("_best"), two64)).cast("bigint")
     groups = groups.select("_recipe", "_size", keep.alias("_keep"))
-    out = recipes.join(groups, "_recipe")
-    return out.select(given_id(F.col("_id")).alias(id_col), given_id(F.col("_keep")).alias("keep_id"), F.col("_size").alias("group_size"),
-                      ((F.col("_id") == F.col("_keep")) & (F.col("_copy") == 1)).alias("kept"),
-                      F.col("_sha").alias("text_sha256"), F.col("_text").alias("text_key"))
+    return recipes.join(groups, "_recipe").drop("_recipe", "_points")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; a row repeated with its id and text stays once."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(sort_id(F.col(id_col)).alias("_id"), F.col("text_key").alias("_text"))
+    kept = _groups(docs, id_col, text_col).filter(STAYS).select("_id", "_text")
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), sort_id(docs[id_col]).alias("_id"), text_key(docs[text_col]).alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), sort_id(docs[id_col], docs[text_col]).alias("_id"), text_key(docs[text_col]).alias("_text"))
     first = F.row_number().over(W.partitionBy("_id", "_text").orderBy(F.lit(1)))
     rows = rows.join(kept, ["_id", "_text"], "left_semi").withColumn("_copy", first).filter("_copy = 1")
     return rows.select(*[F.col("_row")[c].alias(c) for c in names])
@@ -101,4 +107,4 @@ g AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER B
   count(*) OVER (PARTITION BY plain) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g""")
 def op3_exact_dedup(spark, sf):
-    return exact_groups(table(spark, sf, "documents").select("doc_id", "text")).drop("text_key")
+    return exact_groups(table(spark, sf, "documents").select("doc_id", "text"))

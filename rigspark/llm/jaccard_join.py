@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import bounded_batches, given_id, query, sort_id, store, table
+from .base import bounded_batches, by_id, given_id, query, sort_id, store, table
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -351,13 +351,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: the id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``class_id`` (smallest id with the same set).
 
     * Null texts and texts without words have the empty set and no links; fewer than five words are one shingle.
-    * Rows that share an id count as one document: what is linked to one of them is linked to all. A null id sorts last.
+    * Rows that share an id count as one document: what is linked to one of them is linked to all. Rows without an id sort last.
     * Repeated rows get equal rows. An empty table stays empty. Texts are read whole.
     * Shingles are compared as 64-bit hashes, equal sets as 128-bit digests.
     """
+    out = _components_of(docs, id_col, text_col, sim)
+    return out.select(given_id(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), given_id(F.col("_component")).alias("component_id"),
+                      given_id(F.coalesce("_class", "_id")).alias("class_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim: Similarity = Similarity()) -> DataFrame:
+    """One document of each component stays, the one with the smallest id, with all its columns. Texts without words all stay."""
+    gone = store(_components_of(docs, id_col, text_col, sim).filter("_id <> _component").select("_id").distinct())
+    return by_id(docs, gone, "left_anti", id_col, text_col)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, sim: Similarity) -> DataFrame:
+    """Of every row ``_id``, ``_n``, ``_class`` and ``_component``, in numbers of ``sort_id``."""
     spark = docs.sparkSession
     bounded_batches(spark, mb=4)
-    rows = docs.select(sort_id(F.col(id_col)).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), F.col(text_col).alias("_text"))
     scanned = store(scan_sets(rows))
     classes = store(scanned.filter("_n > 0").groupBy("_d1", "_d2", "_n").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies")))
     owners = scanned.join(classes, ["_d1", "_d2", "_n"])
@@ -393,9 +406,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = store(components(links.unionAll(more).unionAll(same.join(several, "a", "left_semi").filter("a <> b"))))
 
     out = scanned.join(classes, ["_d1", "_d2", "_n"], "left").join(found, F.col("_class") == F.col("node"), "left")
-    own = F.coalesce("component", "_class", "_id")
-    return out.select(given_id(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), given_id(F.least(own, F.col("_id"))).alias("component_id"),
-                      given_id(F.coalesce("_class", "_id")).alias("class_id"))
+    return out.select("_id", "_n", "_class", F.least(F.coalesce("component", "_class", "_id"), F.col("_id")).alias("_component"))
 
 
 @query("op8_ngram_jaccard_join")

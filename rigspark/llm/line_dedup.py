@@ -75,7 +75,7 @@ def _lines(text):
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """One row per line whose key is long enough: ``_id``, ``_text`` (tells rows of one id apart), ``_pos``, ``_h1``, ``_h2``."""
-    rows = docs.select(sort_id(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"),
+    rows = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"),
                        F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line"))
     rows = rows.withColumn("_line", F.btrim("_line", F.lit(SPACES)))
     rows = rows.filter(F.char_length("_line") >= min_chars).withColumn("_key", ascii_lower(F.col("_line")))
@@ -90,11 +90,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     * Null or empty text: one empty line, which is kept. A key shorter than ``min_chars`` code points is never repeated.
     * Rows that share an id are one document: a line of theirs stays in all of them if the id owns it.
-    * A null id is one document after all others. Lines repeated inside the owner all stay.
+    * Rows without an id come after all others and are told apart by their texts. Lines repeated inside the owner all stay.
     * An empty table gives an empty table. A document whose lines are all dropped keeps the empty text.
     """
     spark = docs.sparkSession
-    ids = docs.select(sort_id(F.col(id_col)).alias("_id"))
+    ids = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"))
     cuts = ids.agg(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     batch = F.lit(0)
     for i, c in enumerate(sorted(set(cuts or [])), 1):
@@ -114,7 +114,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .agg(F.expr("bit_or(shiftleft(1L, _pos & 63))").alias("_bits")))
     masks = words.groupBy("_id", "_text").agg(
         F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_mask"), F.sum(F.bit_count("_bits")).alias("_n"))
-    rows = docs.select(sort_id(F.col(id_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("_given"))
+    rows = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("_given"))
     rows = rows.join(masks, ["_id", "_text"], "left").withColumn("_lines", _lines(F.col("_given")))
 
     def stays(line, i):
