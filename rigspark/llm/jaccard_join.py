@@ -37,6 +37,8 @@ SAMPLE, SAMPLE_LEAST, FREQUENT = 32, 4, 50_000
 SALTS = 64
 #: Members of a run compared in one task, members that meet one copy of their first class.
 BLOCK, STAR = 2048, 8192
+#: Least signatures a class carries, by which a pair that meets in several runs is compared in the first of them.
+HEADS = 16
 
 
 @dataclass(frozen=True)
@@ -311,29 +313,33 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, sim: Similar
     rows = store(rows)
     runs = store(rows.groupBy("_sig").agg(F.count(F.lit(1)).alias("_rows"), F.min("_of").alias("_low"), F.max("_of").alias("_high")).filter("_low <> _high"))
     rows = store(rows.join(runs.select("_sig", "_rows"), "_sig"))
+    # two classes meet in the least signature they share: a class carries its HEADS least ones, and a run leaves a pair to an earlier one
+    heads = rows.groupBy("_id").agg(F.slice(F.array_sort(F.collect_set("_sig")), 1, HEADS).alias("_heads"))
+    carried = store(sets.select("_id", "_n", "_sketch").join(heads, "_id"))
     blocks = F.floor((F.col("_rows") - 1) / F.lit(BLOCK)) + 1
-    rows = rows.join(sets.select("_id", "_n", "_sketch"), "_id").withColumn("_own", F.pmod(F.xxhash64("_id"), blocks))
+    rows = rows.join(carried, "_id").withColumn("_own", F.pmod(F.xxhash64("_id"), blocks))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    rows = rows.select("_sig", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_id", "_of", "_n", "_sketch")
+    earlier = F.filter("_heads", lambda h: h < F.col("_sig"))
+    rows = rows.select("_sig", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_id", "_of", "_n",
+                       "_sketch", earlier.alias("_heads"))
 
     def met(group: list) -> Iterator[tuple[int, int]]:
         """Pairs of a (run, block pair); sorted by size, a set meets only those that are not too large for it."""
         one_block = group[0][1] == group[0][2]
-        group.sort(key=lambda r: r[6])
-        for x, (_, _, _, own, a, of, n, s) in enumerate(group):
+        group = [(*r[3:8], frozenset(r[8])) for r in sorted(group, key=lambda r: r[6])]
+        for x, (own, a, of, n, s, heads) in enumerate(group):
             most = sim.largest_partner(n)
-            for y in range(x + 1, len(group)):
-                _, _, _, own2, b, of2, n2, s2 = group[y]
+            for own2, b, of2, n2, s2, heads2 in group[x + 1:]:
                 if n2 > most:
                     break
-                if of != of2 and (one_block or own != own2) and may_link(n, n2, s, s2, sim):
+                if of != of2 and (one_block or own != own2) and heads.isdisjoint(heads2) and may_link(n, n2, s, s2, sim):
                     yield (min(a, b), max(a, b))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list = []
         for b in batches:
             out = set()
-            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(9))):
                 if group and row[:3] != group[0][:3]:
                     out.update(met(group))
                     group = []
