@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .base import query, store, table
 
-SLICE_ROWS = 100_000
+SLICE_ROWS = 16_384
 
 
 def _fraction(hex_digest: Column) -> Column:
