@@ -12,7 +12,9 @@ all of them. Scores are exact: the scaled forward recursion over the whole text,
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,8 +35,8 @@ class Settings:
     states: int = 8
     own_words: int = 4096
     ending_classes: int = 2048
-    #: Most frequent words whose counts are broadcast (about 10 MB); the others are joined.
-    frequent_words: int = 200_000
+    #: At most so many of the most frequent words have their counts broadcast (about 6 MB); the others are joined.
+    frequent_words: int = 131_072
     #: Early rounds read one of ``shares`` parts of the training texts each.
     early_rounds: int = 10
     shares: int = 16
@@ -90,7 +92,16 @@ class Vocabulary:
 
 
 def learn_vocabulary(counts: DataFrame, ends: int, s: Settings) -> Vocabulary:
-    frequent = {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(s.frequent_words).collect()}
+    # a histogram of counts in sixteenths of a power of two shows how low a count may be without naming too many words
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        total += r.n
+        if total > s.frequent_words:
+            break
+        least = r.step
+    named = counts.filter(step >= least).collect() if least is not None else []
+    frequent = dict(sorted(((bytes(r.word), r.c) for r in named), key=lambda x: (-x[1], x[0])))
     own = {w: k for k, w in enumerate(list(frequent)[: s.own_words])}
     v = Vocabulary(0, 0, ends, own, frequent, s.ending_classes, np.zeros(0), np.zeros(0))
     shared = counts.sparkSession.sparkContext.broadcast((own, s.ending_classes))
@@ -122,33 +133,40 @@ def encode(docs: DataFrame, vocabulary) -> DataFrame:
     """Per text (``_id``, ``_held``, ``_given``) its class sequence, the sums its frequent words give, and its other words with their counts."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
-        share = np.log10(v.class_tokens + v.class_words + 1)  # below a word's count in its class
+        share = np.log10(v.class_tokens + v.class_words + 1).tolist()  # below a word's count in its class
+        known_words = {w: (v.class_of(w), math.log10(c + 1)) for w, c in v.frequent.items()}
         first_ending, end = len(v.own), v.classes - 1
         for b in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            classes, n_tokens, n_known, sums, inners, outers = [], [], [], [], [], []
+            rare_words, rare_counts, rare_ends = [], [], [0]
             for raw in b.column(2).cast(pa.binary()).to_pylist():
                 words = tokens_of(raw)
-                counts = Counter(words)
-                known, total, inner, outer, rare, class_of = int(v.ends > 0), np.log10(v.ends + 1), 0.0, 0.0, [], {}
-                for w, n in counts.items():
-                    k = class_of[w] = v.class_of(w)
-                    c = v.frequent.get(w)
-                    if c is None:
-                        rare.append((w, n))
+                class_of, known, total, inner, outer = {}, int(v.ends > 0), math.log10(v.ends + 1), 0.0, 0.0
+                for w, n in Counter(words).items():
+                    found = known_words.get(w)
+                    if found is None:
+                        rare_words.append(w)
+                        rare_counts.append(n)
+                        k = v.class_of(w)
+                        outer += n * share[k]
                     else:
+                        k, log = found
                         known += n
-                        total += n * np.log10(c + 1)
-                    if k >= first_ending:
-                        outer += n * share[k]
-                        inner += n * np.log10(c + 1) if c is not None else 0.0
-                classes = np.array([class_of[w] for w in words] + [end], np.uint16)
-                for column, x in zip(columns, (classes.tobytes(), len(classes), known, total, inner, outer, rare)):
+                        total += n * log
+                        if k >= first_ending:
+                            outer += n * share[k]
+                            inner += n * log
+                    class_of[w] = k
+                rare_ends.append(len(rare_words))
+                sequence = array("H", map(class_of.__getitem__, words))
+                sequence.append(end)
+                for column, x in zip((classes, n_tokens, n_known, sums, inners, outers), (sequence.tobytes(), len(sequence), known, total, inner, outer)):
                     column.append(x)
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(),
-                     pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
-            coded = [pa.array([[{"word": w, "n": n} for w, n in r] for r in c], t) if i == 6 else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, types))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *coded],
-                                             ["_id", "_held", "_classes", "_tokens", "_known", "_sum", "_inner", "_outer", "_rare"])
+            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(classes, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                 *(pa.array(x, pa.float64()) for x in (sums, inners, outers)), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare)],
+                ["_id", "_held", "_classes", "_tokens", "_known", "_sum", "_inner", "_outer", "_rare"])
     return docs.mapInArrow(code, ENCODED)
 
 
