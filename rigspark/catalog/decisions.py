@@ -227,7 +227,7 @@ def partial_dependence(spark, sf):
 
 # attributions of a linear predictor have the closed form b * (x - mean of the background)
 _KEYS = ["load_n", "temp_c", "conc"]
-_SH = """, ro AS (SELECT * FROM v ORDER BY md5(concat(CAST(seq AS VARCHAR), '#42')), seq LIMIT 1000),
+_SH = """, ro AS (SELECT * FROM v),
 bg AS (SELECT avg(load_n) AS load_n, avg(temp_c) AS temp_c, avg(conc) AS conc FROM (SELECT * FROM v ORDER BY md5(concat(CAST(seq AS VARCHAR), '#7')), seq LIMIT 10)),
 ph AS (SELECT ro.seq, ro.ester, 'load_n' AS feature, ro.load_n AS value, 4e-4*(ro.load_n-bg.load_n) AS phi FROM ro, bg
   UNION ALL SELECT ro.seq, ro.ester, 'temp_c', ro.temp_c, 1e-4*(ro.temp_c-bg.temp_c) FROM ro, bg UNION ALL SELECT ro.seq, ro.ester, 'conc', ro.conc, 5e-2*(ro.conc-bg.conc) FROM ro, bg)"""

@@ -74,7 +74,7 @@ def stribeck_cof(lam, boundary=0.8, mixed=2.6, mu0=0.12, mu_min=0.025, slope=0.0
 
 def regime(lam, boundary=0.8, mixed=2.6) -> Column:
     x = col(lam)
-    return (F.when(x <= boundary, "boundary").when(x <= mixed, "mixed").otherwise("hydrodynamic"))
+    return F.when(x <= boundary, "boundary").when(x <= mixed, "mixed").when(x > mixed, "hydrodynamic")
 
 
 def clamp(pred, lower: float = LOWER_BOUND) -> Column:

@@ -54,21 +54,27 @@ def cross_validate(spec: ModelSpec, params: Mapping, df: DataFrame, features: Se
 def search(spec: ModelSpec, df: DataFrame, features: Sequence[str], folds: int = FOLDS, n_trials: int = TRIALS, seed: int = SEED,
            parallelism: int = 2, space: Mapping[str, list] | None = None, fixed: Mapping | None = None,
            targets: Iterable[str] = TARGETS) -> tuple[DataFrame, dict]:
-    """Seeded random search; a failed trial scores -100. Returns the trials table and the best parameters."""
+    """Seeded random search; a failed trial scores -100 and names its reason. Returns the trials table and the best parameters.
+
+    Raises if no trial succeeded.
+    """
     rng = random.Random(seed)
     draws = [sample_params(space or spec.space, rng) for _ in range(n_trials)]
 
-    def one(p: dict) -> float:
+    def one(p: dict) -> tuple[float, str | None]:
         try:
             scores = cross_validate(spec, {**p, **(fixed or {})}, df, features, folds, parallelism=1, targets=targets)
-            return float(scores.agg(F.avg("r2")).first()[0])
-        except Exception:  # noqa: BLE001 - a trial may fail on its parameters
-            return -100.0
+            return float(scores.agg(F.avg("r2")).first()[0]), None
+        except Exception as error:  # noqa: BLE001 - a trial may fail on its parameters
+            return -100.0, f"{type(error).__name__}: {error}"[:500]
 
     with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(one, draws))
-    rows = [(spec.name, i, {k: str(v) for k, v in p.items()}, s) for i, (p, s) in enumerate(zip(draws, scores))]
-    trials = df.sparkSession.createDataFrame(rows, "model string, trial int, params map<string,string>, r2_cv double")
+        found = list(pool.map(one, draws))
+    scores = [s for s, _ in found]
+    if all(reason for _, reason in found):
+        raise RuntimeError(f"every trial of {spec.name} failed; the first: {found[0][1]}")
+    rows = [(spec.name, i, {k: str(v) for k, v in p.items()}, s, reason) for i, (p, (s, reason)) in enumerate(zip(draws, found))]
+    trials = df.sparkSession.createDataFrame(rows, "model string, trial int, params map<string,string>, r2_cv double, failure string")
     best = max(range(len(draws)), key=lambda i: (scores[i], -i))
     return trials, {**draws[best], **(fixed or {})}
 

@@ -33,14 +33,16 @@ def residual_filter(scored: DataFrame, limit: float = ERROR_LIMIT, run: str = "r
 
     With ``keep_mask`` all rows stay and ``retained`` says which ones count.
     """
-    best = F.min(F.struct(F.col(err).alias("e"), F.col(order).alias("o")))
+    # a summary row shares its place with the last measured row and comes after it
+    place = F.col(order) * 2 + (F.col("is_summary").cast("int") if "is_summary" in scored.columns else F.lit(0))
     d = with_run_stats(
-        scored, run,
-        parts={"_ok": F.max(F.col(err) <= limit), "_best": best},
-        whole={"_any": F.max("_ok").over(spine_all(run)), "_least": F.min("_best").over(spine_all(run))},
-        order=order, rows=rows)
-    retained = (F.col(err) <= limit) | (~F.col("_any") & (F.col(order) == F.col("_least.o")))
-    d = d.withColumn("retained", retained).drop("_any", "_least")
+        scored.withColumn("_place", place), run,
+        parts={"_low": F.min(err)}, whole={"_least": F.min("_low").over(spine_all(run))}, order=order, rows=rows)
+    d = with_run_stats(
+        d, run, parts={"_at": F.min(F.when(F.col(err) == F.col("_least"), F.col("_place")))},
+        whole={"_first": F.min("_at").over(spine_all(run))}, order=order, rows=rows)
+    retained = (F.col(err) <= limit) | ((F.col("_least") > limit) & (F.col("_place") == F.col("_first")))
+    d = d.withColumn("retained", retained).drop("_place", "_least", "_first")
     return d if keep_mask else d.filter("retained").drop("retained")
 
 

@@ -136,12 +136,16 @@ def first_row(df: DataFrame, cols: Iterable[str] = SETPOINT, run: str | list[str
 def template_curve(df: DataFrame, run_id: str, setpoints: DataFrame, run: str = "run_id") -> DataFrame:
     """The time axis of one template run, crossed with hypothetical setpoints.
 
-    The setpoints are the broadcast side, a few optima or suggestions; their number is checked.
+    The setpoints, mostly a few optima or suggestions, are broadcast if a count allows it. A long list is dealt over
+    blocks, and each block of setpoints meets its own copy of the axis.
     """
-    setpoints, short = counted(setpoints, 10_000)
-    if not short:
-        raise ValueError("a template curve is for a short list of setpoints")
+    setpoints, short = counted(setpoints)
     axis = (df.filter(F.col(run) == run_id).filter("time_s > 0 AND temp_c <> 0 AND load_n <> 0")
             .select("time_s", F.col("seq").alias("step")))
-    return axis.crossJoin(F.broadcast(setpoints))
+    if short:
+        return axis.crossJoin(F.broadcast(setpoints))
+    blocks = int(setpoints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    axis = axis.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = setpoints.withColumn("_block", F.pmod(F.xxhash64(*setpoints.columns), F.lit(blocks)).cast("int"))
+    return axis.join(dealt, "_block").drop("_block")
 

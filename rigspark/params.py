@@ -29,7 +29,8 @@ TEST_SHARE = 0.1
 FOLDS = 5
 TRIALS = 50
 VIF_THRESHOLD = 5.0
-ATTRIBUTION_ROWS = 1000
+# Most rows a background of attributions may have; it is an argument, never cut.
+BACKGROUND_ROWS = 10_000
 DOE_PICKS = 5
 UNCERTAINTY_WEIGHT = 0.5
 SPARSITY_WEIGHT = 0.5
@@ -39,7 +40,7 @@ CHUNK_ROWS = 1 << 20
 # Largest table an operator broadcasts after counting it.
 BROADCAST_ROWS = 200_000
 # Groups above this size use the distributed exact quantile.
-QUANTILE_ROWS = 2_000_000
+QUANTILE_ROWS = 100_000
 
 TARGETS = ("cof", "fai")
 SETPOINT = ("conc", "load_n", "temp_c", "ester")
@@ -48,14 +49,14 @@ BASE_FEATURES = (
 )
 # Inputs that collinearity pruning may never drop.
 PROTECTED = ("load_n", "temp_c", "conc", "ester", "time_s", "log_time", "time_squared")
-# (left, right) pairs of mean-centred products and of ratios.
+# Fixed values: (left, right) pairs of mean-centred products and of ratios.
 PRODUCT_PAIRS = (
     ("load_n", "temp_c"), ("load_n", "conc"), ("temp_c", "conc"),
     ("ester", "temp_c"), ("ester", "load_n"), ("ester", "conc"),
 )
 RATIO_PAIRS = (("load_n", "temp_c"), ("conc", "load_n"), ("temp_c", "conc"))
 
-# Setpoint grid axes: (first, step, number of levels).
+# Setpoint grid axes: (first, step, number of levels).
 GRID_AXES = {"conc": (0.0, 0.05, 13), "load_n": (10.0, 5.0, 39), "temp_c": (40.0, 5.0, 17)}
 
 

@@ -8,8 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..params import ATTRIBUTION_ROWS, SEED, TARGETS
-from ..scale import as_list, quantiles
+from ..params import BACKGROUND_ROWS, SEED, TARGETS
+from ..scale import as_list, quantiles, counted
 from ..session import cut
 from .scenarios import linspace
 
@@ -44,7 +44,7 @@ def sample_rows(df: DataFrame, n: int, key: str = "row_id", seed: int = SEED) ->
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
-def shapley(model: Model, df: DataFrame, features: Sequence[str], background: DataFrame, permutations: int = 8, sample: int = ATTRIBUTION_ROWS,
+def shapley(model: Model, df: DataFrame, features: Sequence[str], background: DataFrame, permutations: int = 8, sample: int | None = None,
             seed: int = SEED, key: str = "row_id", value: Column | None = None, prepare=None) -> DataFrame:
     """Additive attributions by sampled feature orders, for any model.
 
@@ -53,6 +53,7 @@ def shapley(model: Model, df: DataFrame, features: Sequence[str], background: Da
     are scored in one pass. Each one counts positively for the feature just
     switched and negatively for the next, so chains need no window and the
     attributions of a row add up to f(row) minus the mean of f(background).
+    All rows are attributed unless ``sample`` asks for a number of them.
     """
     features = list(features)
     p = len(features)
@@ -64,10 +65,12 @@ def shapley(model: Model, df: DataFrame, features: Sequence[str], background: Da
     orders = orders[:permutations]
     place = F.array(*[F.array(*[F.lit(o.index(j)) for j in range(p)]) for o in orders])
     switched = F.array(*[F.array(*[F.lit(features[j]) for j in o]) for o in orders])
-    rows = sample_rows(df, sample, key, seed).select(key, *[c for c in df.columns if c != key])
-    bg = cut(background.select(*[F.col(f).alias(f"_b_{f}") for f in features]))
+    rows = (df if sample is None else sample_rows(df, sample, key, seed)).select(key, *[c for c in df.columns if c != key])
+    bg, short = counted(background.select(*[F.col(f).alias(f"_b_{f}") for f in features]), BACKGROUND_ROWS)
+    if not short:
+        raise ValueError(f"every row meets every background row: give a background of at most {BACKGROUND_ROWS} rows")
     n_bg = bg.count()
-    d = rows.crossJoin(F.broadcast(bg))  # both sides are samples of a fixed size
+    d = rows.crossJoin(F.broadcast(bg))
     d = d.withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     d = d.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     mine = F.element_at(place, F.col("_order") + 1)

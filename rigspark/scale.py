@@ -133,24 +133,33 @@ def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]
     return stored, fits(stored, rows)
 
 
+def _short(stored: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint if a count allows it."""
+    return F.broadcast(stored) if fits(stored) else stored
+
+
 def attach(
     df: DataFrame, stats: DataFrame, on: str | Iterable[str], how: str = "inner",
     rows: int = BROADCAST_ROWS, salts: int = 32, salt_by: str | None = None,
 ) -> DataFrame:
     """Join per-key values back to rows whose keys may be hot.
 
-    The stats side is counted first. Within ``rows`` it is broadcast and the
+    Null keys are keys like any other. The stats side is counted first. Within ``rows`` it is broadcast and the
     big side is not shuffled at all. Beyond, the rows of a key are spread over
     ``salts`` partitions and the stats are copied to each of them.
     """
     on = as_list(on)
     stats, small = counted(stats, rows)
+    own = {k: f"_at_{k}" for k in on}
+    stats = stats.withColumnsRenamed(own)
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]
+    out = [*on, *[c for c in df.columns if c not in on], *[c for c in stats.columns if c not in own.values()]]
     if small:
-        return df.join(F.broadcast(stats), on, how)
+        return df.join(F.broadcast(stats), same, how).select(*out)
     salt_of = F.xxhash64(*([salt_by] if salt_by else [c for c in df.columns]))
     left = df.withColumn("_salt", F.pmod(salt_of, F.lit(salts)).cast("int"))
-    right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    right = stats.withColumn("_at_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*same, F.col("_salt") == F.col("_at_salt")], how).select(*out)
 
 
 # --- exact quantiles -------------------------------------------------------
@@ -180,7 +189,7 @@ def quantiles(
         return df.groupBy(*by).agg(*[F.percentile(c, wanted).alias(f"{c}_q") for c in cols])
     if not by:
         return _sliced_quantiles(df.withColumn("_all", F.lit(0)), cols, qs, ["_all"], rows).drop("_all")
-    hot = F.broadcast(sizes.filter(F.col("count") > rows).select(*by))
+    hot = _short(cut(sizes.filter(F.col("count") > rows).select(*by)))
     cold = (df.join(hot, by, "left_anti").groupBy(*by)
             .agg(*[F.percentile(c, wanted).alias(f"{c}_q") for c in cols]))
     return cold.unionByName(_sliced_quantiles(df.join(hot, by, "left_semi"), cols, qs, by, rows))
@@ -209,7 +218,7 @@ def _sliced_quantiles(df: DataFrame, cols: list[str], qs: Sequence[float], by: l
         if wide.isEmpty():
             break
         # ranges shared by several ranks are counted once
-        hit = long.join(F.broadcast(wide.select(*span).distinct()), key).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        hit = long.join(_short(cut(wide.select(*span).distinct())), key).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         hist = (hit.withColumn("_s", slice_of).groupBy(*span, "_s")
                 .agg(F.count("_v").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
         w = W.partitionBy(*span).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
@@ -220,7 +229,7 @@ def _sliced_quantiles(df: DataFrame, cols: list[str], qs: Sequence[float], by: l
                                 F.col("_c").alias("_inside"), "_below")
         state = cut(state.filter(~is_open).unionByName(narrowed))
     # one value left, or few enough rows to rank; equal values are counted, not listed
-    near = long.join(F.broadcast(state), key).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    near = long.join(_short(state), key).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     values = near.groupBy(*ids, "_frac", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*ids).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     values = values.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))

@@ -58,19 +58,19 @@ def trim_rows(df: DataFrame, head: int = 1, tail: int = 5, run: str = "run_id",
 
 
 def coerce(df: DataFrame, aliases: Mapping[str, str] = ALIASES, numeric: Iterable[str] = NUMERIC) -> DataFrame:
-    """Rename aliased columns and cast to double; unreadable or NaN cells become null."""
+    """Rename aliased columns and cast to double; unreadable or NaN cells become null.
+
+    Cells are cast before aliases are put together, so an unreadable cell does not hide a good one.
+    """
     out: dict[str, list] = {}
-    for have in df.columns:
-        out.setdefault(aliases.get(have, have), []).append(F.col(f"`{have}`"))
     numeric = set(numeric)
-    cols = []
-    for name, sources in out.items():
-        c = F.coalesce(*sources) if len(sources) > 1 else sources[0]
+    for have in df.columns:
+        name, c = aliases.get(have, have), F.col(f"`{have}`")
         if name in numeric:
             c = c.try_cast("double")
             c = F.when(~F.isnan(c), c)
-        cols.append(c.alias(name))
-    return df.select(*cols)
+        out.setdefault(name, []).append(c)
+    return df.select(*[(F.coalesce(*cells) if len(cells) > 1 else cells[0]).alias(name) for name, cells in out.items()])
 
 
 def audit(df: DataFrame, required: Iterable[str] = REQUIRED, run: str = "run_id") -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def fingerprint(df: DataFrame, settings: object = None) -> str:
-    """Hash of the input files (path, size, time of change), the output columns and the settings.
+    """Hash of the plan, the input files (path, size, time of change), the output columns and the settings.
 
-    Files are listed by Spark as a table and reduced there; contents are not read.
+    The plan is what the query says, with running numbers taken out. Files are listed by Spark as a table and reduced there; contents are not read.
     """
     spark = df.sparkSession
     files = sorted(df.inputFiles())
@@ -22,10 +24,22 @@ def fingerprint(df: DataFrame, settings: object = None) -> str:
             .select("path", "length", F.unix_micros("modificationTime").alias("t"))
         h = listing.select(F.xxhash64("path", "length", "t").alias("h")).agg(F.bit_xor("h").alias("x"), F.count(F.lit(1)).alias("n")).first()
         seen = (str(h["x"]), h["n"])
-    text = json.dumps([seen, df.schema.simpleString(), str(settings)])
+    text = json.dumps([_plan(df), seen, df.schema.simpleString(), str(settings)])
     return hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
+def _plan(df: DataFrame) -> str:
+    """The analysed plan as text: its nodes and expressions in full, without expression numbers and the seeds that the analysis draws."""
+    spark = df.sparkSession
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.debug.maxToStringFields", "spark.sql.maxPlanStringLength")}
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        return re.sub(r"#\d+L?|plan_id=\d+|(?<=Some\()-?\d+", "#", df._jdf.queryExecution().analyzed().toString())
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
     """The stage table if its write was completed."""
     try:
@@ -35,13 +49,19 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def stage(df: DataFrame, path: str, settings: object = None, reuse: bool = True) -> DataFrame:
-    """Write ``df`` once per state of its inputs, and read it from there."""
-    spark = df.sparkSession
-    target = f"{path}/{fingerprint(df, settings)}"
+def stage(df: DataFrame | Callable[[], DataFrame], path: str, settings: object = None, reuse: bool = True, origin: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` once per state of its inputs, and read it from there.
+
+    Where making ``df`` stores tables of its own, give a function that makes it, the ``origin`` it starts from, and all that
+    shapes it in ``settings``: they decide, and the function is called only if nothing is stored for them.
+    """
+    known = origin if origin is not None else df
+    spark = known.sparkSession
+    target = f"{path}/{fingerprint(known, settings)}"
     found = read_stage(spark, target) if reuse else None
     if found is not None:
         return found
+    df = df() if callable(df) else df
     df.write.mode("overwrite").parquet(f"{target}/rows")
     spark.createDataFrame([("done",)], "state string").write.mode("overwrite").text(f"{target}/done")
     return spark.read.parquet(f"{target}/rows")

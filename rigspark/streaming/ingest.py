@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.relational import runs_subset
 from ..params import Params
 from ..plans.clean import clean_runs
 from ..scale import attach, with_positions
@@ -16,9 +17,11 @@ def ingest_stream(spark: SparkSession, path: str, checkpoint: str, sink: str, sc
                   params: Params = Params(), shape: Callable[[DataFrame], DataFrame] | None = None, **options) -> StreamingQuery:
     """Clean the run files that appeared in ``path`` and append them to ``sink``.
 
-    A run is one whole file, so no state or watermark is needed. Each batch
-    overwrites its own ``batch_id`` folder, which makes a repeated batch
-    harmless. ``shape`` may turn a batch into raw run rows first.
+    A run is one whole file, so no state or watermark is needed. ``shape`` may
+    turn a batch into raw run rows first; then a run may span files, and a
+    batch cleans every run it touches from all raw rows delivered so far, which
+    are kept beside the sink in ``<sink>-raw``. Each
+    batch overwrites its own ``batch_id`` folders, so a repeated batch is harmless.
     """
     reader = spark.readStream.schema(schema).options(**({"header": "true"} | options if fmt == "csv" else options))
     source = reader.format(fmt).load(path)
@@ -27,7 +30,10 @@ def ingest_stream(spark: SparkSession, path: str, checkpoint: str, sink: str, sc
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch
         if shape is not None:
-            rows = shape(rows.drop("run_id", "_start"))
+            shape(rows.drop("run_id", "_start")).write.mode("overwrite").parquet(f"{sink}-raw/batch_id={batch_id}")
+            mine = spark.read.parquet(f"{sink}-raw").filter(F.col("batch_id") <= batch_id)
+            touched = mine.filter(F.col("batch_id") == batch_id).select("run_id").distinct()
+            rows = runs_subset(mine.drop("batch_id"), touched)
         else:
             rows = with_positions(rows.withColumn("_id", F.monotonically_increasing_id()), "run_id", ["_start", "_id"], "seq", "_total",
                                   chunk=F.col("_start")).drop("_id", "_start", "_total")

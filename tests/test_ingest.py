@@ -104,3 +104,34 @@ def test_report_reads_back(spark, tmp_path, fmt):
     paths = write_report({"t": d}, str(tmp_path), fmt, labels=fmt != "csv")
     back = spark.read.format(fmt).schema("run_id string, `Coefficient of Friction (COF) [-]` double" if fmt != "csv" else d.schema).load(paths["t"])
     assert sorted(tuple(r) for r in back.collect()) == [("a", 1.5), ("b", 2.5)]
+
+
+def test_run_spread_over_deliveries_is_cleaned_whole(spark, tmp_path):
+    shape = lambda d: d.select("run_id", F.col("n").alias("seq"), *[c for c in d.columns if c not in ("run_id", "n")])
+    whole = read_runs(spark, str(_runs(tmp_path / "all", 2)), "csv", run_file_schema())
+    flat = whole.withColumnRenamed("seq", "n").select("run_id", "n", *[f"`{c}`" for c in whole.columns if c not in ("run_id", "seq")])
+    for part in (0, 1):
+        flat.filter(F.col("n") % 2 == part).withColumnRenamed("run_id", "run").write.mode("append").parquet(str(tmp_path / "in"))
+        schema = spark.read.parquet(str(tmp_path / "in")).schema
+        ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "check"), str(tmp_path / "sink"), schema, "parquet", PARAMS,
+                      shape=lambda d: shape(d.withColumnRenamed("run", "run_id"))).awaitTermination()
+    assert rows_of(read_clean(spark, str(tmp_path / "sink"))) == rows_of(clean_runs(whole, PARAMS))
+
+
+def _runs(folder, n):
+    folder.mkdir()
+    for i in range(n):
+        write_run(folder, f"run{i}.csv", 0.1 + 0.05 * i)
+    return folder
+
+
+def test_stage_tells_queries_apart(spark, tmp_path):
+    src, base = str(tmp_path / "in"), str(tmp_path / "stages")
+    spark.range(10).write.parquet(src)
+    d = spark.read.parquet(src)
+    assert sorted(r.id for r in stage(d.filter("id < 5"), base).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.id for r in stage(d.filter("id >= 5"), base).collect()) == [5, 6, 7, 8, 9]
+    made = []
+    for _ in range(2):
+        assert stage(lambda: made.append(1) or d.limit(3), base, "three", origin=d).count() == 3
+    assert made == [1]

@@ -193,3 +193,25 @@ def test_semi_and_anti_joins_beyond_the_limit(skewed, monkeypatch):
     want = rows_of(rl.runs_subset(skewed, chosen))
     monkeypatch.setattr(scale, "fits", lambda *a, **k: False)
     assert rows_of(rl.runs_subset(skewed, chosen)) == want
+
+
+def test_null_keys_are_keys(spark):
+    d = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k int, v int")
+    for rows in (200_000, 0):
+        out = scale.attach(d, d.groupBy("k").agg(F.count("*").alias("n")), "k", rows=rows)
+        assert sorted((r["v"], r["n"]) for r in out.collect()) == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_dropped_run_keeps_one_row_beside_its_summary(spark):
+    d = spark.createDataFrame([("a", 0, 0.9, False), ("a", 1, 0.7, False), ("a", 1, 0.7, True), ("b", 0, 0.01, False)],
+                              "run_id string, seq bigint, abs_err double, is_summary boolean")
+    assert sorted((r["run_id"], r["seq"], r["is_summary"]) for r in pr.residual_filter(d, 0.05).collect()) == [("a", 1, False), ("b", 0, False)]
+
+
+def test_template_curve_has_no_cap(spark):
+    from rigspark.operators.timeseries import template_curve
+
+    signal = spark.createDataFrame([("a", 0, 1.0, 2.0, 3.0), ("a", 1, 2.0, 2.0, 3.0)], "run_id string, seq bigint, time_s double, load_n double, temp_c double")
+    points = spark.range(250_001).select(F.col("id").alias("setpoint"))
+    out = template_curve(signal, "a", points)
+    assert out.count() == 500_002 and out.select("setpoint", "step").distinct().count() == 500_002
