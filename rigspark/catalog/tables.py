@@ -314,7 +314,9 @@ def stratified_run_split(spark, sf):
     return out.select("run_id", "load_n_bin", "temp_c_bin", "is_test")
 
 
-@query("group_kfold")
+@query("group_kfold", with_v(""", r AS (SELECT run_id, count(*) AS n_rows FROM v GROUP BY run_id),
+o AS (SELECT *, row_number() OVER (ORDER BY n_rows DESC, run_id) - 1 AS p FROM r)
+SELECT run_id, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INT) AS fold, n_rows FROM o"""))
 def group_kfold(spark, sf):
     return pr.group_kfold(valid(spark, sf))
 

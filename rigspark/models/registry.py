@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -18,13 +18,46 @@ from .learners import KnnModel, KnnRegressor, MlpRegressor, Ridge
 from .stages import PopulationScaler
 
 
+class Domain:
+    """What a searched parameter may be."""
+
+    def draw(self, rng: random.Random):
+        raise NotImplementedError
+
+
+@dataclass(frozen=True)
+class Whole(Domain):
+    lo: int
+    hi: int
+
+    def draw(self, rng: random.Random) -> int:
+        return rng.randint(self.lo, self.hi)
+
+
+@dataclass(frozen=True)
+class Real(Domain):
+    lo: float
+    hi: float
+
+    def draw(self, rng: random.Random) -> float:
+        return rng.uniform(self.lo, self.hi)
+
+
+class Choice(Domain):
+    def __init__(self, *values):
+        self.values = values
+
+    def draw(self, rng: random.Random):
+        return rng.choice(self.values)
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """A family: how to build it from parameters, what to search, how to train it."""
 
     name: str
     make: Callable[[Mapping], Estimator]
-    space: Mapping[str, list] = field(default_factory=dict)
+    space: Mapping[str, Domain] = field(default_factory=dict)
     weighted: bool = False
     log_target: bool = True
     scaled: bool = False
@@ -49,41 +82,31 @@ def boosted(p: Mapping) -> Estimator:
         minInstancesPerNode=max(1, int(p.get("min_child", 1))), seed=SEED)
 
 
-# The search spaces of the seven families.
+# The search spaces of the seven families, as ranges and choices.
 REGISTRY: dict[str, ModelSpec] = {s.name: s for s in (
-    ModelSpec("boosted_a", boosted, {"n_estimators": [100, 300, 500], "learning_rate": [0.01, 0.05, 0.1],
-                                     "max_depth": [3, 5, 7], "min_child": [1, 5, 10]}, weighted=True, tree=True),
+    ModelSpec("boosted_a", boosted, {"n_estimators": Whole(100, 500), "learning_rate": Real(0.01, 0.1),
+                                     "max_depth": Whole(3, 7), "min_child": Whole(1, 10)}, weighted=True, tree=True),
     ModelSpec("mlp", lambda p: MlpRegressor(
         layers=list(p.get("layers", (50,))), activation=p.get("activation", "relu"), lr=float(p.get("lr", 0.01)),
         l2=float(p.get("l2", 1e-4)), epochs=int(p.get("epochs", 500))),
-        {"layers": [(50,), (100,), (50, 50)], "l2": [0.0001, 0.01, 0.1], "activation": ["relu", "tanh"], "lr": [0.001, 0.01]},
+        {"layers": Choice((50,), (100,), (50, 50)), "l2": Real(0.0001, 0.1), "activation": Choice("relu", "tanh"), "lr": Real(0.001, 0.01)},
         scaled=True, smooth=True),
-    ModelSpec("forest", forest, {"n_estimators": [100, 300, 500], "max_depth": [None, 10, 20], "min_samples_leaf": [1, 5, 10]},
+    ModelSpec("forest", forest, {"n_estimators": Whole(100, 500), "max_depth": Choice(None, 10, 20), "min_samples_leaf": Whole(1, 10)},
               weighted=True, tree=True),
-    ModelSpec("boosted_b", boosted, {"n_estimators": [100, 300, 500], "learning_rate": [0.01, 0.05, 0.1],
-                                     "max_depth": [-1, 5, 10], "min_child": [20, 50, 100]}, weighted=True, tree=True),
-    ModelSpec("boosted_c", boosted, {"n_estimators": [200, 500], "learning_rate": [0.03, 0.1], "max_depth": [4, 6, 8],
-                                     "min_child": [1, 20, 50]}, weighted=True, tree=True),
+    ModelSpec("boosted_b", boosted, {"n_estimators": Whole(100, 500), "learning_rate": Real(0.01, 0.1),
+                                     "max_depth": Whole(-1, 10), "min_child": Whole(20, 100)}, weighted=True, tree=True),
+    ModelSpec("boosted_c", boosted, {"n_estimators": Whole(200, 500), "learning_rate": Real(0.03, 0.1), "max_depth": Whole(4, 8),
+                                     "min_child": Whole(1, 50)}, weighted=True, tree=True),
     ModelSpec("knn", lambda p: KnnRegressor(k=int(p.get("k", 5)), weights=p.get("weights", "uniform"), idCol="row_id"),
-              {"k": [3, 5, 10, 20], "weights": ["uniform", "distance"]}, scaled=True),
-    ModelSpec("ridge", lambda p: Ridge(alpha=float(p.get("alpha", 1.0))), {"alpha": [0.1, 1.0, 10.0, 100.0]},
+              {"k": Whole(3, 20), "weights": Choice("uniform", "distance")}, scaled=True),
+    ModelSpec("ridge", lambda p: Ridge(alpha=float(p.get("alpha", 1.0))), {"alpha": Real(0.1, 100.0)},
               log_target=False, scaled=True, smooth=True),
 )}
 
 
-def sample_params(space: Mapping[str, list], rng: random.Random) -> dict:
-    """One draw: whole numbers and floats from their range, anything else from the list."""
-    out = {}
-    for name, values in space.items():
-        if len(values) == 1 or any(isinstance(v, (tuple, list)) for v in values):
-            out[name] = values[rng.randrange(len(values))]
-        elif all(isinstance(v, int) and not isinstance(v, bool) for v in values):
-            out[name] = rng.randint(min(values), max(values))
-        elif all(isinstance(v, float) for v in values):
-            out[name] = rng.uniform(min(values), max(values))
-        else:
-            out[name] = values[rng.randrange(len(values))]
-    return out
+def sample_params(space: Mapping[str, Domain | Sequence], rng: random.Random) -> dict:
+    """One draw from every domain; a plain list is a choice."""
+    return {name: (d if isinstance(d, Domain) else Choice(*d)).draw(rng) for name, d in space.items()}
 
 
 def fit_model(spec: ModelSpec, params: Mapping, df: DataFrame, features: Iterable[str], targets: Iterable[str] = TARGETS,

@@ -25,6 +25,11 @@ from ..session import cut
 from .registry import EnsembleModel, ModelSpec, TargetModel, fit_model, long_predictions, sample_params, wide_predictions
 
 
+def unclamped(model: Model) -> Model:
+    """The model without its lower bound, as validation and training scores use it."""
+    return model.unclamped() if hasattr(model, "unclamped") else model
+
+
 def tag_folds(df: DataFrame, folds: DataFrame, group: str = "run_id") -> DataFrame:
     return cut(attach(df, folds.select(group, "fold"), group))
 
@@ -33,7 +38,7 @@ def cross_predictions(spec: ModelSpec, params: Mapping, df: DataFrame, features:
                       keys: Sequence[str] = ("row_id", "fold"), parallelism: int = 2, targets: Iterable[str] = TARGETS) -> DataFrame:
     """Out-of-fold predictions, long. ``df`` carries ``fold``; each fold is an ordinary fit from a small thread pool."""
     def one(i: int) -> DataFrame:
-        model = fit_model(spec, params, df.filter(F.col("fold") != i), features, targets)
+        model = unclamped(fit_model(spec, params, df.filter(F.col("fold") != i), features, targets))
         return long_predictions({spec.name: model}, df.filter(F.col("fold") == i), keys, targets)
 
     with ThreadPoolExecutor(parallelism) as pool:
@@ -52,7 +57,7 @@ def cross_validate(spec: ModelSpec, params: Mapping, df: DataFrame, features: Se
 
 
 def search(spec: ModelSpec, df: DataFrame, features: Sequence[str], folds: int = FOLDS, n_trials: int = TRIALS, seed: int = SEED,
-           parallelism: int = 2, space: Mapping[str, list] | None = None, fixed: Mapping | None = None,
+           parallelism: int = 2, space: Mapping | None = None, fixed: Mapping | None = None,
            targets: Iterable[str] = TARGETS) -> tuple[DataFrame, dict]:
     """Seeded random search; a failed trial scores -100 and names its reason. Returns the trials table and the best parameters.
 
@@ -97,10 +102,11 @@ def param_importance(trials: DataFrame, bins: int = 3) -> DataFrame:
 
 
 def model_scores(models: Mapping[str, Model], splits: Mapping[str, DataFrame], key: str = "row_id", targets: Iterable[str] = TARGETS) -> DataFrame:
-    """R2, RMSE and MAE of every model on every split, and the scoring time of the model."""
+    """R2, RMSE and MAE of every model on every split, and the scoring time of the model. The split ``train`` is scored unclamped."""
     preds = None
     for split, df in splits.items():
-        part = long_predictions(models, df.withColumn("split", F.lit(split)), [key, "split"], targets)
+        scorers = {n: unclamped(m) for n, m in models.items()} if split == "train" else models
+        part = long_predictions(scorers, df.withColumn("split", F.lit(split)), [key, "split"], targets)
         preds = part if preds is None else preds.unionByName(part)
     start = time.time()
     table = cut(regression_metrics(preds, ["model", "split"]))
@@ -152,7 +158,7 @@ def simplex_least_squares(g: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def ensemble_weights(models: Sequence[Model], df: DataFrame, targets: Iterable[str] = TARGETS) -> list[float]:
     """Blend weights from labelled rows the members were not fitted on."""
-    d = wide_predictions([m.unclamped() if hasattr(m, "unclamped") else m for m in models], df, targets)
+    d = wide_predictions([unclamped(m) for m in models], df, targets)
     g, b, _, _ = gram_sums(d, len(models), targets)
     return simplex_least_squares(g, b).tolist()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..params import CHUNK_ROWS, ERROR_LIMIT, FOLDS, PROTECTED, SEED, TEST_SHARE, VIF_THRESHOLD
-from ..scale import as_list, attach, fits, ordered_positions, quantiles, spine_all, with_positions, with_run_stats
+from ..scale import as_list, attach, ordered_positions, quantiles, spine_all, with_positions, with_run_stats
 
 
 def quantile_outliers(df: DataFrame, group: str = "run_id", cols: Iterable[str] = ("cof",), lo: float = 0.01,
@@ -101,26 +100,12 @@ def group_shuffle_split(runs: DataFrame, n: int = 5, test: float = TEST_SHARE, s
     return d.select("split", run, (F.col("_pos") < F.ceil(F.lit(test) * F.col("_size"))).alias("is_test"))
 
 
-def group_kfold(df: DataFrame, k: int = FOLDS, group: str = "run_id", driver_runs: int = 100_000) -> DataFrame:
-    """Fold number per run: runs by size, largest first, each into the lightest fold.
-
-    The greedy walk needs the list of run sizes on the driver, so it is taken
-    only when a count shows the list is short. Longer lists are ranked by size
-    in Spark and dealt out in turn. Either way folds differ by at most the
-    largest run.
-    """
+def group_kfold(df: DataFrame, k: int = FOLDS, group: str = "run_id") -> DataFrame:
+    """Fold number per run: runs by size, largest first, dealt out to and fro, so folds differ by at most the largest run."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    if fits(sizes, driver_runs):
-        rows = sorted(((r["n_rows"], r[group]) for r in sizes.collect()), key=lambda r: (-r[0], r[1]))
-        heap = [(0, f) for f in range(k)]
-        out = []
-        for n, name in rows:
-            load, fold = heapq.heappop(heap)
-            heapq.heappush(heap, (load + n, fold))
-            out.append((name, fold, n))
-        return df.sparkSession.createDataFrame(out, f"{group} string, fold int, n_rows bigint")
     d = ordered_positions(sizes, [F.desc("n_rows"), F.col(group)], pos="_pos")
-    return d.select(group, (F.col("_pos") % k).cast("int").alias("fold"), "n_rows")
+    turn, place = F.floor(F.col("_pos") / F.lit(k)), F.col("_pos") % k
+    return d.select(group, F.when(turn % 2 == 0, place).otherwise(F.lit(k - 1) - place).cast("int").alias("fold"), "n_rows")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

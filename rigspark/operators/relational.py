@@ -107,12 +107,18 @@ def top_models(metrics: DataFrame, k: int = 3, require: Iterable[str] = ("ridge"
 
 
 def arg_row(df: DataFrame, score: str, tie: str, how: str = "min", by: str | Iterable[str] = ()) -> DataFrame:
-    """The row with the least (greatest) score, first by ``tie``; one row per group, never a sort."""
+    """The row with the least (greatest) score, first by ``tie``; one row per group. Rows without a score come last.
+
+    With groups, a hash aggregate finds the best scores, and only the rows that have them are compared by ``tie``.
+    """
     by = as_list(by)
     rest = [c for c in df.columns if c not in by]
+    if by:
+        best = df.groupBy(*by).agg((F.min if how == "min" else F.max)(score).alias("_best"))
+        df = attach(df, best, by).filter(F.col(score).eqNullSafe(F.col("_best"))).drop("_best")
     sign = F.col(score) if how == "min" else -F.col(score)
-    best = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(sign, F.col(tie))).alias("_r"))
-    return best.select(*by, "_r.*")
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(sign.isNull(), sign, F.col(tie))).alias("_r"))
+    return first.select(*by, "_r.*")
 
 
 def sorted_report(df: DataFrame, by: str, tie: Iterable[str] = ()) -> DataFrame:

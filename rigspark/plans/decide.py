@@ -53,8 +53,8 @@ def pareto_front(df: DataFrame, x: str = "cof", y: str = "fai", by: str | Iterab
     least = d.groupBy(*by, "_slice", x).agg(F.min(y).alias("_y"))
     w = W.partitionBy(*by, "_slice").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
     front = least.withColumn("_prev", F.min("_y").over(w)).filter(F.col("_prev").isNull() | (F.col("_y") < F.col("_prev")))
-    out = d.join(front.drop("_prev"), [*by, "_slice", x]).filter(F.col(y) == F.col("_y"))
-    return out.select(*df.columns)
+    # a front is short: met on both values, a crowded x brings no more rows than the front has
+    return attach(d, front.select(*by, "_slice", x, F.col("_y").alias(y)), [*by, "_slice", x, y]).select(*df.columns)
 
 
 def knee_point(front: DataFrame, x: str = "cof", y: str = "fai", tie: str = "point_id", by: str | Iterable[str] = (),

@@ -93,7 +93,7 @@ def test_pareto_keeps_duplicates_and_drops_weakly_dominated(spark):
     assert sorted(r["point_id"] for r in dc.pareto_front(d).collect()) == [0, 1, 2, 4]
 
 
-def test_kfold_is_greedy_by_size(spark):
+def test_kfold_deals_by_size_to_and_fro(spark):
     d = spark.createDataFrame([(r,) for r, n in zip("abcd", (5, 4, 3, 2)) for _ in range(n)], "run_id string")
     fold = {r["run_id"]: r["fold"] for r in pr.group_kfold(d, 2).collect()}
     assert fold["a"] == fold["d"] != fold["b"] == fold["c"]

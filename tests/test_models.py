@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rigspark.models import selection as sel
 from rigspark.models.learners import KnnRegressor, MlpRegressor, Ridge
-from rigspark.models.registry import REGISTRY, EnsembleModel, TargetModel, fit_model, sample_params
+from rigspark.models.registry import REGISTRY, Choice, EnsembleModel, Real, TargetModel, Whole, fit_model, sample_params
 from rigspark.models.stages import InteractionFeatures, VifSelector
 from rigspark.operators import prepare as pr
 from rigspark.plans import decide as dc
@@ -89,7 +89,7 @@ def test_log_target_and_floor(table):
 
 def test_search_spaces():
     rng = random.Random(1)
-    draws = [sample_params({"i": [-1, 5, 10], "f": [0.01, 0.1], "mixed": [0, 0.1, 1.0], "none": [None, 10], "t": [(50,), (50, 50)]}, rng) for _ in range(300)]
+    draws = [sample_params({"i": Whole(-1, 10), "f": Real(0.01, 0.1), "mixed": [0, 0.1, 1.0], "none": [None, 10], "t": Choice((50,), (50, 50))}, rng) for _ in range(300)]
     assert {d["i"] for d in draws} == set(range(-1, 11))
     assert all(0.01 <= d["f"] <= 0.1 for d in draws) and len({d["f"] for d in draws}) > 200
     assert {d["mixed"] for d in draws} == {0, 0.1, 1.0} and {d["none"] for d in draws} == {None, 10} and {d["t"] for d in draws} == {(50,), (50, 50)}
@@ -99,8 +99,11 @@ def test_search_is_repeatable_and_survives_a_bad_trial(table):
     d = sel.tag_folds(table, pr.group_kfold(table, 2))
     (a, best), (b, again) = (sel.search(REGISTRY["ridge"], d, FEATURES, 2, n_trials=2) for _ in range(2))
     assert best == again and a.collect() == b.collect()
-    bad, _ = sel.search(REGISTRY["ridge"], d, FEATURES, 2, n_trials=1, space={"alpha": [-5.0]})
-    assert bad.first()["r2_cv"] == -100.0
+    some, best = sel.search(REGISTRY["ridge"], d, FEATURES, 2, n_trials=6, space={"alpha": [-5.0, 1.0]})
+    assert {(r["params"]["alpha"], r["r2_cv"] == -100.0, r["failure"] is not None) for r in some.collect()} == {("-5.0", True, True), ("1.0", False, False)}
+    assert best == {"alpha": 1.0}
+    with pytest.raises(RuntimeError, match="every trial"):
+        sel.search(REGISTRY["ridge"], d, FEATURES, 2, n_trials=1, space={"alpha": [-5.0]})
 
 
 def test_blend_weights_beat_every_grid_point(table):
