@@ -187,6 +187,24 @@ def trend_sweep(spark, sf):
     return rounded(out, temp_c=6)
 
 
+@query("trend_sweep_load", with_v(f""", {_FIRST}, s AS (SELECT run_id, i AS step, e AS ester, temp_c, conc, 10e0 + i*(190e0/19e0) AS load_n FROM f, (SELECT unnest(range(20)) AS i), (SELECT unnest([0, 1]) AS e))
+SELECT run_id, CAST(step AS INT) AS step, ester, round(load_n, 6) AS load_n, model, round(pred, 9) AS pred FROM (
+  SELECT *, 'plane' AS model, 3e-2 + 4e-4*load_n + 5e-2*conc AS pred FROM s UNION ALL SELECT *, 'level', 7e-2 + 1e-5*temp_c FROM s UNION ALL SELECT *, 'flag', 6e-2 + 1e-2*ester FROM s)"""))
+def trend_sweep_load(spark, sf):
+    pts = sc.sweep(ts.first_row(valid(spark, sf)), "load_n", 10, 200)
+    out = long_predictions(stubs(), pts, ["run_id", "step", "ester", "load_n"]).filter("target = 'cof'").drop("target")
+    return rounded(out, load_n=6)
+
+
+@query("trend_sweep_conc", with_v(f""", {_FIRST}, s AS (SELECT run_id, i AS step, e AS ester, load_n, temp_c, i*(6e-1/19e0) AS conc FROM f, (SELECT unnest(range(20)) AS i), (SELECT unnest([0, 1]) AS e))
+SELECT run_id, CAST(step AS INT) AS step, ester, round(conc, 6) AS conc, model, round(pred, 9) AS pred FROM (
+  SELECT *, 'plane' AS model, 3e-2 + 4e-4*load_n + 5e-2*conc AS pred FROM s UNION ALL SELECT *, 'level', 7e-2 + 1e-5*temp_c FROM s UNION ALL SELECT *, 'flag', 6e-2 + 1e-2*ester FROM s)"""))
+def trend_sweep_conc(spark, sf):
+    pts = sc.sweep(ts.first_row(valid(spark, sf)), "conc", 0, 0.6)
+    out = long_predictions(stubs(), pts, ["run_id", "step", "ester", "conc"]).filter("target = 'cof'").drop("target")
+    return rounded(out, conc=6)
+
+
 @query("hertz_trend", with_v(f""", {_FIRST}, s AS (SELECT run_id, i AS step, e AS ester, conc, 10e0 + i*(190e0/19e0) AS l FROM f, (SELECT unnest(range(20)) AS i), (SELECT unnest([0, 1]) AS e))
 SELECT run_id, CAST(step AS INT) AS step, ester, round(3e0*l/(2e0*pi()*power(cbrt(3e0*l*5e0/(4e0*(210000e0/(2e0*(1e0-9e-2))))), 2)), 5) AS hertz_mpa,
   round(3e-2 + 4e-4*l + 5e-2*conc, 9) AS pred FROM s"""))
@@ -221,8 +239,32 @@ def validation_point(spark, sf):
 g AS (SELECT a + i*((b-a)/19e0) AS l FROM q, (SELECT unnest(range(20)) AS i))
 SELECT round(l, 6) AS load_n, round(avg(3e-2 + 4e-4*l + 5e-2*conc + 1e-5*l*temp_c), 9) AS mean_pred, count(*) AS n_rows FROM g, v GROUP BY l"""))
 def partial_dependence(spark, sf):
-    model = stub("3e-2 + 4e-4*load_n + 5e-2*conc + 1e-5*load_n*temp_c", "load_n")
-    return rounded(ex.partial_dependence(model, valid(spark, sf), "load_n"), load_n=6)
+    return rounded(ex.partial_dependence(bent(), valid(spark, sf), "load_n"), load_n=6)
+
+
+def bent():
+    """A closed-form predictor in which load and temperature interact."""
+    return stub("3e-2 + 4e-4*load_n + 5e-2*conc + 1e-5*load_n*temp_c", "load_n")
+
+
+@query("partial_dependence_temp", with_v(""", q AS (SELECT quantile_cont(temp_c, 0.05) AS a, quantile_cont(temp_c, 0.95) AS b FROM v),
+g AS (SELECT a + i*((b-a)/19e0) AS t FROM q, (SELECT unnest(range(20)) AS i))
+SELECT round(t, 6) AS temp_c, round(avg(3e-2 + 4e-4*load_n + 5e-2*conc + 1e-5*load_n*t), 9) AS mean_pred, count(*) AS n_rows FROM g, v GROUP BY t"""))
+def partial_dependence_temp(spark, sf):
+    return rounded(ex.partial_dependence(bent(), valid(spark, sf), "temp_c"), temp_c=6)
+
+
+@query("partial_dependence_conc", with_v(""", g AS (SELECT DISTINCT conc AS c FROM v)
+SELECT round(c, 6) AS conc, round(avg(3e-2 + 4e-4*load_n + 5e-2*c + 1e-5*load_n*temp_c), 9) AS mean_pred, count(*) AS n_rows FROM g, v GROUP BY c"""))
+def partial_dependence_conc(spark, sf):
+    return rounded(ex.partial_dependence(bent(), valid(spark, sf), "conc"), conc=6)
+
+
+@query("partial_dependence_pair", with_v(""", q AS (SELECT quantile_cont(load_n, 0.05) AS a, quantile_cont(load_n, 0.95) AS b, quantile_cont(temp_c, 0.05) AS c, quantile_cont(temp_c, 0.95) AS d FROM v),
+g AS (SELECT a + i*((b-a)/19e0) AS l, c + j*((d-c)/19e0) AS t FROM q, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j))
+SELECT round(l, 6) AS load_n, round(t, 6) AS temp_c, round(avg(3e-2 + 4e-4*l + 5e-2*conc + 1e-5*l*t), 9) AS mean_pred, count(*) AS n_rows FROM g, v GROUP BY l, t"""))
+def partial_dependence_pair(spark, sf):
+    return rounded(ex.partial_dependence(bent(), valid(spark, sf), ["load_n", "temp_c"]), load_n=6, temp_c=6)
 
 
 # attributions of a linear predictor have the closed form b * (x - mean of the background)
@@ -254,3 +296,20 @@ def shap_dependence(spark, sf):
     d, attr = attributions(spark, sf)
     return rounded(ex.shapley_pairs(attr, d, ["load_n", "temp_c"], key="seq"))
 
+
+
+@query("top_attributed", with_v(_SH + " SELECT feature, round(avg(abs(phi)), 9) AS importance, count(*) AS n_rows FROM ph GROUP BY feature ORDER BY avg(abs(phi)) DESC, feature LIMIT 2"))
+def top_attributed(spark, sf):
+    """Strongest inputs by mean absolute attribution."""
+    return rounded(rl.top_features(ex.shapley_summary(attributions(spark, sf)[1]), 2))
+
+
+@query("attribution_paths", with_v(_SH + """, im AS (SELECT feature, avg(abs(phi)) AS importance FROM ph GROUP BY feature)
+SELECT seq, feature, round(phi, 9) AS phi, round(1e-1 + sum(phi) OVER (PARTITION BY seq ORDER BY importance, feature), 9) AS path FROM ph JOIN im USING (feature)"""))
+def attribution_paths(spark, sf):
+    return rounded(ex.decision_paths(attributions(spark, sf)[1], 0.1, None, key="seq").drop("importance"))
+
+
+@query("attribution_order", with_v(_SH + " SELECT seq, round(sum(phi), 9) AS output FROM ph GROUP BY seq"))
+def attribution_order(spark, sf):
+    return rounded(ex.order_by_output(attributions(spark, sf)[1], key="seq"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.physics import clamp
 from ..params import LOWER_BOUND, SEED, TARGETS
@@ -170,8 +170,6 @@ class TargetModel(Model):
             else:
                 PipelineModel([m]).write().overwrite().save(f"{path}/{t}")
                 kinds[t] = "stage"
-        from pyspark.sql import SparkSession
-
         spark = spark or SparkSession.getActiveSession()
         meta = {"name": self.name, "features": self.features, "log_target": self.log_target, "lower": self.lower, "kinds": kinds}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
@@ -202,6 +200,18 @@ class EnsembleModel(Model):
             out[f"pred_{t}"] = clamp(p, self.lower) if self.lower is not None else p
         return d.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
+    def save(self, path: str) -> None:
+        for i, m in enumerate(self.members):
+            m.save(f"{path}/member_{i}")
+        meta = {"name": self.name, "weights": [float(w) for w in self.weights], "targets": self.targets, "lower": self.lower}
+        SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> EnsembleModel:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        members = [TargetModel.load(spark, f"{path}/member_{i}") for i in range(len(meta["weights"]))]
+        return EnsembleModel(members, meta["weights"], meta["name"], meta["targets"], meta["lower"])
+
 
 def wide_predictions(models: Iterable[Model], df: DataFrame, targets: Iterable[str] = TARGETS, prefix: str = "_m") -> DataFrame:
     """Columns ``_m<i>_<target>`` of every model side by side, without joining predictions."""

@@ -99,11 +99,13 @@ def shapley_pairs(attr: DataFrame, df: DataFrame, features: Iterable[str], colou
     return attr.filter(F.col("feature").isin(features)).join(values, [key, "feature"])
 
 
-def decision_paths(attr: DataFrame, base: float, rows: int = 20, key: str = "row_id") -> DataFrame:
-    """Running sums from the base value, least important feature first, of the first ``rows`` rows."""
-    first = attr.select(key).distinct().orderBy(key).limit(rows)
-    rank = shapley_summary(attr).select("feature", "importance")
-    d = attr.join(F.broadcast(first), key, "left_semi").join(F.broadcast(rank), "feature")
+def decision_paths(attr: DataFrame, base: float, rows: int | None = 20, key: str = "row_id") -> DataFrame:
+    """Running sums from the base value, least important feature first, of the first ``rows`` rows; of all rows without a number."""
+    rank = shapley_summary(attr).select("feature", "importance")  # a row per feature
+    d = attr
+    if rows is not None:
+        d = d.join(F.broadcast(attr.select(key).distinct().orderBy(key).limit(rows)), key, "left_semi")
+    d = d.join(F.broadcast(rank), "feature")
     w = W.partitionBy(key).orderBy("importance", "feature").rowsBetween(W.unboundedPreceding, 0)
     return d.select(key, "feature", "importance", "phi", (F.lit(float(base)) + F.sum("phi").over(w)).alias("path"))
 

@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from ..params import CHUNK_ROWS
 from ..scale import CHUNK, attach, chunked, spine_all, spine_before, with_positions
 from ..schema import ALIASES, NUMERIC, REQUIRED
+from ..session import cut
 
 
 def read_runs(spark: SparkSession, path: str | list[str], fmt: str = "csv", schema: T.StructType | None = None,
-              **options) -> DataFrame:
+              store: bool = False, **options) -> DataFrame:
     """Read run files; tag rows with the file's name and their place in it.
 
     Parquet knows the row index. Text formats do not, but a split is read in
     order by one task: rows order by split start, then by generation order
     inside the split, and each split is one bounded chunk of the numbering.
+    ``store`` writes the numbered rows of a text format once, so that whatever
+    reads them several times does not parse the text again. Leave it off for
+    the ``origin`` of a stage: a stored table has a new name each time.
     """
     reader = spark.read.options(**({"header": "true"} | options if fmt == "csv" else options))
     if schema is not None:
@@ -31,7 +35,8 @@ def read_runs(spark: SparkSession, path: str | list[str], fmt: str = "csv", sche
     tagged = raw.select(file, F.col("_metadata.file_block_start").alias("_start"),
                         F.monotonically_increasing_id().alias("_id"), *names)
     placed = with_positions(tagged, "run_id", ["_start", "_id"], pos="seq", total="_total", chunk=F.col("_start"))
-    return placed.select("run_id", "seq", *names)
+    placed = placed.select("run_id", "seq", *names)
+    return cut(placed) if store else placed
 
 
 def trim_rows(df: DataFrame, head: int = 1, tail: int = 5, run: str = "run_id", seq: str = "seq",

@@ -7,7 +7,7 @@ from rigspark.params import Params
 from rigspark.plans.clean import clean_runs, quarantine
 from rigspark.schema import run_file_schema
 from rigspark.sources.report import write_report
-from rigspark.sources.runs import read_runs, union_all
+from rigspark.sources.runs import read_runs, trim_rows, union_all
 from rigspark.sources.stage import stage
 from rigspark.streaming.ingest import ingest_stream, read_clean
 
@@ -135,3 +135,17 @@ def test_stage_tells_queries_apart(spark, tmp_path):
     for _ in range(2):
         assert stage(lambda: made.append(1) or d.limit(3), base, "three", origin=d).count() == 3
     assert made == [1]
+
+
+def test_text_runs_are_parsed_once(spark, tmp_path):
+    for run in "ab":
+        (tmp_path / f"{run}.csv").write_text("x,y\n" + "".join(f"{i},{run}{i}\n" for i in range(30)))
+    d = read_runs(spark, f"file://{tmp_path}", "csv", store=True)
+    trimmed = trim_rows(d, 1, 5)
+    assert "FileScan csv" not in trimmed._jdf.queryExecution().toString()
+    rows = sorted((r["run_id"], r["seq"], r["y"]) for r in trimmed.collect())
+    assert rows == [(f"{run}.csv", i, f"{run}{i}") for run in "ab" for i in range(1, 25)]
+    base, made = f"file://{tmp_path}/stages", []
+    for _ in range(2):  # the archive as read is an origin that stays the same
+        stage(lambda: made.append(1) or d, base, origin=read_runs(spark, f"file://{tmp_path}/*.csv", "csv"))
+    assert made == [1]

@@ -79,6 +79,16 @@ def test_models_survive_saving(spark, table, tmp_path, name, params):
     assert key(again.transform(table)) == key(m.transform(table))
 
 
+def test_ensemble_survives_saving(spark, table, tmp_path):
+    members = [fit_model(REGISTRY["ridge"], {"alpha": 1.0}, table, FEATURES), fit_model(REGISTRY["knn"], {"k": 3}, table, FEATURES)]
+    m = EnsembleModel(members, [0.25, 0.5])
+    m.save(f"file://{tmp_path}/m")
+    again = EnsembleModel.load(spark, f"file://{tmp_path}/m")
+    key = lambda d: sorted((r["row_id"], round(r["pred_cof"], 12), round(r["pred_fai"], 12)) for r in d.collect())
+    assert key(again.transform(table)) == key(m.transform(table))
+    assert (again.name, again.weights, again.targets, again.lower) == (m.name, m.weights, m.targets, m.lower)
+
+
 def test_log_target_and_floor(table):
     m = fit_model(REGISTRY["forest"], {"n_estimators": 8, "max_depth": 6}, table, FEATURES)
     scores = {r["target"]: r["r2"] for r in sel.model_scores({"forest": m}, {"train": table}).collect()}
