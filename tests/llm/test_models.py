@@ -98,6 +98,16 @@ def test_ids_equal_the_tokenizer(spark, data):
     assert [encoder.encode(t) for t in texts] == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_inside_a_text(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|> x", "a<|endoftext|>", "a  <|endoftext|>  b<|endoftext|><|endoftext|>\n c", "<|endoftext|", "plain  text \n"] + [t or "" for _, t in TEXTS]
+    encoder = packing.Encoder(PATH, added=True)
+    assert [encoder.encode(t) for t in texts] == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = packing.pack_documents(docs(spark, list(enumerate(texts[:5]))), PATH).collect()
+    want = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in enumerate(texts[:5])}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def check_packed(rows, capacity):
     bins = {}
     for r in rows:
