@@ -5,9 +5,9 @@ frequent training words are classes of their own; every other word, seen or not,
 share (c + 1) / (tokens + words + 1) by its count. So the model is a distribution over all texts, its tables for the states are of fixed
 size, and the counts of all words stay a distributed table: texts meet it by a join, except for the most frequent words, a bounded list.
 
-Training is Baum-Welch: every partition runs the scaled forward-backward recursion over its texts, expected counts are summed over all
-partitions, and the driver holds the K x classes parameters only. Early rounds read a share of the training texts each, the last rounds
-all of them. Scores are exact: the scaled forward recursion over the whole text, whatever its length.
+Training is Baum-Welch: in every round every partition runs the scaled forward-backward recursion over all its training texts, expected
+counts are summed over all partitions, and the driver holds the K x classes parameters only. Recursions go over whole texts, whatever
+their length: a very long one is gone through in stretches that hand on their state, so memory holds one stretch.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .base import bounded_batches, held_out, query, store, table
 
 FLUSH_WORDS = 300_000
-#: Tokens of one vectorised recursion, and the longest stretch of a text that training runs through at once.
-CHUNK_TOKENS, STRETCH = 200_000, 65_536
+#: Tokens of one vectorised recursion, or of a stretch of a longer text; and time steps from one scaling to the next.
+CHUNK_TOKENS, SCALE_STEPS = 400_000, 8
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,8 @@ class Settings:
     ending_classes: int = 2048
     #: At most so many of the most frequent words have their counts broadcast (about 6 MB); the others are joined.
     frequent_words: int = 131_072
-    #: Early rounds read one of ``shares`` parts of the training texts each.
+    #: Baum-Welch rounds in all: the sum of the two. Each reads all training texts.
     early_rounds: int = 10
-    shares: int = 16
     full_rounds: int = 2
     seed: int = 6
 
@@ -200,88 +199,146 @@ class Model:
 
 
 def _chunks(sequences: list[np.ndarray]) -> Iterator[list[int]]:
-    """Numbers of sequences of similar length, longest first, about CHUNK_TOKENS padded tokens at a time."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    at = 0
-    while at < len(order):
-        many = max(1, CHUNK_TOKENS // max(1, len(sequences[order[at]])))
-        yield order[at:at + many]
-        at += many
+    """Numbers of sequences of similar length, longest first: CHUNK_TOKENS tokens at most, or one sequence."""
+    order, chunk, tokens = sorted(range(len(sequences)), key=lambda i: -len(sequences[i])), [], 0
+    for i in order:
+        if chunk and tokens + len(sequences[i]) > CHUNK_TOKENS:
+            yield chunk
+            chunk, tokens = [], 0
+        chunk.append(i)
+        tokens += len(sequences[i])
+    if chunk:
+        yield chunk
 
 
-def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
-    """Classes by time and sequence, and how many sequences are alive at each time. Longest first."""
-    lengths = np.array([len(x) for x in sequences])
-    out = np.zeros((lengths[0], len(sequences)), np.int64)
-    for i, x in enumerate(sequences):
-        out[: len(x), i] = x
-    return out, np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
+@dataclass
+class _Packed:
+    """Sequences, longest first, time by time: at time ``t`` the classes of the first ``alive[t]`` stand from ``first[t]`` on."""
+
+    codes: np.ndarray
+    alive: list[int]
+    first: list[int]
+    last: np.ndarray  # where each sequence has its last class
+    stretches: list[tuple[int, int]]
+
+    @staticmethod
+    def of(sequences: list[np.ndarray]) -> _Packed:
+        lengths = np.array([len(x) for x in sequences])
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        first = np.concatenate([[0], np.cumsum(alive)])
+        codes = np.empty(first[-1], np.uint16 if first[-1] > CHUNK_TOKENS else np.intp)
+        for i, x in enumerate(sequences):
+            codes[first[: len(x)] + i] = x
+        steps = len(alive) if first[-1] <= CHUNK_TOKENS else max(1, CHUNK_TOKENS // len(sequences))
+        return _Packed(codes, alive.tolist(), first.tolist(), first[lengths - 1] + np.arange(len(sequences)),
+                       [(t, min(t + steps, len(alive))) for t in range(0, len(alive), steps)])
+
+    def slice(self, stretch: tuple[int, int]) -> np.ndarray:
+        return self.codes[self.first[stretch[0]]:self.first[stretch[1]]]
+
+
+class _Space:
+    """Arrays of states by place that one chunk after another uses: fresh memory costs more than the sums."""
+
+    def __init__(self, states: int, arrays: int):
+        self.states, self.flat = states, [np.empty(0) for _ in range(arrays)]
+
+    def array(self, i: int, places: int) -> np.ndarray:
+        if len(self.flat[i]) < self.states * places:
+            self.flat[i] = np.empty(self.states * places)
+        return self.flat[i][: self.states * places].reshape(self.states, places)
+
+
+def _forward(m: Model, p: _Packed, stretch: tuple[int, int], emitted: np.ndarray, out: np.ndarray, alpha: np.ndarray | None):
+    """The recursion through a stretch, from ``alpha`` before it, into ``out`` (states by place); the last alpha and the scales by time."""
+    move, start, base, scales = np.ascontiguousarray(m.move.T), m.start[:, None], p.first[stretch[0]], {}
+    for t in range(*stretch):
+        at, n = p.first[t] - base, p.alive[t]
+        now = out[:, at:at + n]
+        np.multiply(emitted[:, at:at + n], start if alpha is None else move @ alpha[:, :n], out=now)
+        if t % SCALE_STEPS == SCALE_STEPS - 1:
+            scales[t] = now.sum(0)
+            now /= scales[t]
+        alpha = now
+    return alpha.copy(), scales
 
 
 def likelihoods(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 P of each class sequence by the scaled forward recursion; memory does not grow with the length."""
-    out = np.zeros(len(sequences))
+    """log10 P of each class sequence by the scaled forward recursion; memory for the states does not grow with the length."""
+    out, emit, space = np.zeros(len(sequences)), np.ascontiguousarray(m.emit.T), _Space(len(m.start), 1)
     for chunk in _chunks(sequences):
-        codes, alive = _padded([sequences[i] for i in chunk])
-        alpha, total = np.tile(m.start, (len(chunk), 1)), np.zeros(len(chunk))
-        for t, n in enumerate(alive):
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ m.move) * m.emit[codes[t, :n]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:n] += np.log10(scale)
+        p, alpha, total = _Packed.of([sequences[i] for i in chunk]), None, np.zeros(len(chunk))
+        for stretch in p.stretches:
+            codes = p.slice(stretch)
+            emitted = emit.take(codes, axis=1, out=space.array(0, len(codes)), mode="clip")
+            alpha, scales = _forward(m, p, stretch, emitted, emitted, alpha)
+            for c in scales.values():
+                total[:len(c)] += np.log10(c)
+            from_, to = p.first[stretch[0]], p.first[stretch[1]]
+            ends = np.flatnonzero((p.last >= from_) & (p.last < to))
+            total[ends] += np.log10(emitted[:, p.last[ends] - from_].sum(0))
         out[chunk] = total
     return out
 
 
 def expected_counts(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions by the scaled forward-backward recursion."""
+    """Expected starts, moves and emissions by the scaled forward-backward recursion over whole sequences."""
     states, classes = len(m.start), len(m.emit)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
+    emit_of, space = np.ascontiguousarray(m.emit.T), _Space(states, 2)
     for chunk in _chunks(sequences):
-        codes, alive = _padded([sequences[i] for i in chunk])
-        alphas, scales = np.zeros((*codes.shape, states)), np.ones(codes.shape)
-        for t, n in enumerate(alive):
-            a = (np.tile(m.start, (n, 1)) if t == 0 else alphas[t - 1, :n] @ m.move) * m.emit[codes[t, :n]]
-            scales[t, :n] = a.sum(1)
-            alphas[t, :n] = a / scales[t, :n, None]
-        beta = np.ones((codes.shape[1], states))
-        for t in range(len(alive) - 1, -1, -1):
-            n, later = alive[t], alive[t + 1] if t + 1 < len(alive) else 0
-            if later:  # sequences that end here keep a beta of one
-                ahead = m.emit[codes[t + 1, :later]] * beta[:later] / scales[t + 1, :later, None]
-                move += alphas[t, :later].T @ ahead * m.move
-                beta[:later] = ahead @ m.move.T
-            alphas[t, :n] *= beta[:n]  # now the probability of each state
-        start += alphas[0].sum(0)
-        mask = np.arange(codes.shape[1])[None, :] < np.array(alive)[:, None]
-        flat = codes[mask]
-        for k in range(states):
-            emit[:, k] += np.bincount(flat, weights=alphas[..., k][mask], minlength=classes)
-    return start, move, emit
+        p = _Packed.of([sequences[i] for i in chunk])
+        entries = [None]  # alpha before each stretch
+        for stretch in p.stretches[:-1]:
+            codes = p.slice(stretch)
+            emitted = emit_of.take(codes, axis=1, out=space.array(0, len(codes)), mode="clip")
+            entries.append(_forward(m, p, stretch, emitted, emitted, entries[-1])[0])
+        beta, ahead, later = np.ones((states, len(chunk))), None, 0
+        for stretch, entry in zip(reversed(p.stretches), reversed(entries)):
+            codes, base = p.slice(stretch), p.first[stretch[0]]
+            emitted = emit_of.take(codes, axis=1, out=space.array(0, len(codes)), mode="clip")
+            alphas = space.array(1, len(codes))
+            _, scales = _forward(m, p, stretch, emitted, alphas, entry)
+            for t in range(stretch[1] - 1, stretch[0] - 1, -1):
+                at, n = p.first[t] - base, p.alive[t]
+                alpha, ends = alphas[:, at:at + n], n - later
+                if later:
+                    move += alpha[:, :later] @ ahead.T
+                    np.matmul(m.move, ahead, out=beta[:, :later])
+                if ends:  # here sequences end: the states of their last class add up to one
+                    beta[:, later:n] = 1 / alpha[:, later:].sum(0)
+                alpha *= beta[:, :n]  # now the probability of each state
+                ahead, later = emitted[:, at:at + n], n
+                ahead *= beta[:, :n]
+                if t in scales:
+                    ahead /= scales[t]
+            ahead = ahead.copy()  # the next stretch takes its place
+            for k in range(states):
+                emit[k] += np.bincount(codes, weights=alphas[k], minlength=classes)
+        start += alphas[:, :p.alive[0]].sum(1)
+    return start, move * m.move, np.ascontiguousarray(emit.T)
 
 
 def baum_welch(encoded: DataFrame, v: Vocabulary, s: Settings) -> Model:
-    """Rounds of expected counts over the stored class sequences of the training texts."""
+    """Rounds of expected counts over the stored class sequences of all training texts."""
     spark = encoded.sparkSession
     model = Model.seeded(v, s)
-    train = encoded.filter(~F.col("_held")).select("_classes", F.pmod(F.xxhash64("_row", F.lit(s.seed)), F.lit(s.shares)).alias("_share"))
+    train = encoded.filter(~F.col("_held")).select("_classes")
     k = s.states
-    for r in range(s.early_rounds + s.full_rounds):
-        rows = train.filter(F.col("_share") == r % s.shares) if r < s.early_rounds else train
+    for _ in range(s.early_rounds + s.full_rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m, total = shared.value, None
             for b in batches:
                 sequences = [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()]
-                pieces = [x[i:i + STRETCH] for x in sequences for i in range(0, len(x), STRETCH)]
-                found = np.concatenate([x.ravel() for x in expected_counts(m, pieces)]) if pieces else None
+                found = np.concatenate([x.ravel() for x in expected_counts(m, sequences)]) if sequences else None
                 total = found if total is None else total if found is None else total + found
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-        sums = rows.select("_classes").mapInArrow(expect, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        sums = train.mapInArrow(expect, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
         if sums:
             total = np.zeros(k + k * k + v.classes * k)
             total[[x.at for x in sums]] = [x.n for x in sums]
@@ -298,7 +355,7 @@ def hmm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "t
 
     * Null and empty texts are an end alone. Repeated rows are scored, and counted in training, one by one. Null ids stay.
     * No training rows: every word is unknown, the base score is 0, classes are equally likely. An empty table stays empty.
-    * Training runs through very long texts in stretches of STRETCH tokens; scoring never cuts a text.
+    * Every round reads all training texts; neither training nor scoring cuts a text.
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark, mb=8)

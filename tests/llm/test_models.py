@@ -45,6 +45,32 @@ def test_recursions_equal_all_paths():
         assert np.allclose(got, want)
 
 
+def test_stretches_hand_on_their_state(monkeypatch):
+    sequences = [np.random.default_rng(n).integers(0, 5, n).astype(np.uint16) for n in (1, 9, 64, 65, 700)]
+    whole = hmm.expected_counts(small_model(), sequences), hmm.likelihoods(small_model(), sequences)
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 32)
+    assert all(np.allclose(x, y) for x, y in zip(whole[0], hmm.expected_counts(small_model(), sequences)))
+    assert np.allclose(whole[1], hmm.likelihoods(small_model(), sequences))
+
+
+def test_training_runs_through_a_long_text_once(spark):
+    sequence = np.random.default_rng(3).integers(0, 5, 70_000).astype(np.uint16)
+    counts = np.bincount(sequence, minlength=5).astype(float)
+    v = hmm.Vocabulary(70_000, 5, 1, {}, {}, 4, counts, np.ones(5))
+    settings = hmm.Settings(states=3, early_rounds=0, full_rounds=1)
+    table = spark.createDataFrame([(False, bytearray(sequence.tobytes()), 0)], "_held boolean, _classes binary, _row bigint")
+    got = hmm.baum_welch(table, v, settings)
+    want = hmm.Model.from_counts(*hmm.expected_counts(hmm.Model.seeded(v, settings), [sequence]), v)
+    assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, data):
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    settings = hmm.Settings(states=3, early_rounds=3, full_rounds=0)
+    a, b = ({r.doc_id: r.score for r in hmm.hmm_scores(t, held_out("doc_id", 7, 2), settings=settings).collect()} for t in (texts.coalesce(1), texts.repartition(7)))
+    assert a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a], rtol=1e-7)
+
+
 def test_long_sequences_stay_finite():
     s = np.random.default_rng(1).integers(0, 5, 300_000).astype(np.uint16)
     assert np.isfinite(hmm.likelihoods(small_model(), [s, s[:7]])).all()
