@@ -5,6 +5,8 @@ The model is trained from a small labelled url table and scored inside the JVM;
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -15,25 +17,67 @@ from .base import UPPER, query, table
 #: Longest labelled table the model is fitted on; it is refused beyond, not cut.
 LABELLED_LIMIT = 1_000_000
 
-# Hosts of the labelled url table, unwanted and wanted.
-UNWANTED = ("casino-win", "best-casino", "casino-royal", "win-casino", "free-bets", "bets-online", "sport-bets", "free-spins",
-            "cheap-pills", "pills-shop", "pills-online", "cheap-meds", "adult-x", "x-adult", "adult-cams", "xxx-adult",
-            "spam-farm", "link-farm", "spam-links", "content-farm", "ads-track", "track-ads", "ads-click", "click-track")
-WANTED = ("thering", "tionsh", "ththan", "therble", "thonth", "ththre", "therou", "ththin", "thertion", "ththed", "theron", "ththly",
-          "ththor", "ththti", "thered", "tionble", "garden-club", "town-library", "school", "weather", "recipes", "museum", "open-maps",
-          "river-news", "chess", "physics", "history", "cycling", "farmers-market", "stadtwerke", "bibliothek", "mairie", "escuela",
-          "noticias", "journal", "wetter", "orchestra", "gardening", "observatory", "hospital")
+# The labelled url table is made from words of general use, not from any given table: subjects that are unwanted, subjects that are wanted,
+# and what goes with both.
+UNWANTED = ("casino", "poker", "slots", "jackpot", "bets", "bets24", "betting", "pills", "viagra", "pharma", "adult", "xxx", "porn", "spam", "spams",
+            "ads", "ads24", "adserver", "warez")
+WANTED = ("garden", "library", "school", "weather", "recipes", "museum", "maps", "news", "chess", "physics", "history", "cycling", "market",
+          "stadtwerke", "bibliothek", "mairie", "escuela", "noticias", "journal", "wetter", "orchestra", "observatory", "hospital", "bakery",
+          "travel", "music", "forum", "science", "football", "books", "college", "theatre", "railway", "kitchen", "farm", "address")
+MODIFIERS = ("best", "online", "royal", "open", "daily", "city", "club", "my", "world", "shop")
 SUBDOMAINS = ("", "www.", "m.", "blog.")
-ENDINGS = ("com/en/101", "org/fr/202.html", "net/de/303?page=2", "com/es/404/", "org/en/505#top")
+ENDINGS = ("com", "net", "org", "example.com", "example.net", "example.org", "info", "co.uk")
+#: Paths that tell nothing, and paths that tell what a page is about by the word they are filled with.
+PLAIN_PATHS = ("", "/", "/en/101", "/fr/202.html", "/de/303?page=2", "/es/4040/", "/en/5055#top", "/about", "/articles/2021/05/summer.html", "/wiki/start",
+               "/products/12", "/contact.php", "/blog/first-post/", "/index.html?id=7")
+SUBJECT_PATHS = ("/{}/", "/{}/12.html", "/en/{}-bonus", "/best-{}-online.html", "/go/{}.php?id=3", "/img/{}/banner.js", "/2021/05/free-{}/", "/{}-shop/offer")
+#: Names of hosts of which nothing is known.
+NAMELESS = 160
 
 #: (host suffix, path prefix, verdict) of the query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def _hosts(subjects: tuple[str, ...]) -> list[str]:
+    """Each subject alone, and before, after and joined to each modifier."""
+    return [h for w in subjects for h in (w, *(x for a in MODIFIERS for x in (f"{a}-{w}", f"{w}-{a}", f"{a}{w}")))]
+
+
+def _nameless() -> list[str]:
+    """Pronounceable names without a meaning."""
+    syllables = [a + b for a in ("b", "d", "f", "g", "k", "l", "m", "n", "r", "s", "t", "v", "th", "st") for b in ("a", "e", "i", "o", "u", "an", "er", "on")]
+    draws = [zlib.crc32(b"%d" % i) for i in range(NAMELESS)]
+    return ["".join(syllables[(d >> k) % len(syllables)] for k in (0, 9, 18)) for d in draws]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: ``url`` and ``label`` (1: unwanted). Subdomains and paths are alike on both sides, so hosts decide."""
-    hosts = [(h, 1.0) for h in UNWANTED] + [(h, 0.0) for h in WANTED]
-    return spark.createDataFrame([(f"https://{sub}{h}.example.{end}", y) for h, y in hosts for sub in SUBDOMAINS for end in ENDINGS], "url string, label double").coalesce(1)
+    """The small labelled table: ``url`` and ``label`` (1: unwanted).
+
+    Hosts of unwanted subjects are unwanted under any path. All other hosts stand under plain paths and paths of a wanted subject or a
+    nameless word (wanted) and under paths of an unwanted subject (unwanted), so there the path alone decides. Subdomains, endings,
+    modifiers, plain paths and what surrounds a subject in a path are alike on both sides.
+    """
+    rows, turn = [], 0
+
+    def add(host: str, paths, label: float) -> None:
+        nonlocal turn
+        for path in paths:
+            turn += 1  # coprime steps: all subdomains and endings meet all kinds of rows
+            rows.append((f"https://{SUBDOMAINS[turn * 3 % len(SUBDOMAINS)]}{host}.{ENDINGS[turn * 5 // 4 % len(ENDINGS)]}{path}", label))
+
+    nameless = _nameless()
+    told = {y: [p.format(w) for w in words for p in SUBJECT_PATHS] for y, words in ((1.0, UNWANTED), (0.0, [x for pair in zip(WANTED * 5, nameless) for x in pair]))}
+    for i, host in enumerate(_hosts(UNWANTED)):
+        add(host, PLAIN_PATHS[i % 2::2] + (told[0.0][i * 11 % len(told[0.0])],), 1.0)
+    for i, host in enumerate(_hosts(WANTED)):
+        add(host, PLAIN_PATHS[i % 4::4], 0.0)
+        for y, paths in told.items():
+            add(host, [paths[(i * 3 + k) * 7 % len(paths)] for k in range(3)], y)
+    for i, host in enumerate(nameless):
+        add(host, PLAIN_PATHS, 0.0)
+        for y, paths in told.items():
+            add(host, [paths[(i * 10 + k) * 11 % len(paths)] for k in range(10)], y)
+    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 
 def host_of(url: Column) -> Column:

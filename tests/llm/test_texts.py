@@ -129,6 +129,24 @@ def test_url_model_on_pages(spark, data):
     assert wrong.count() <= 0.02 * got.count()
 
 
+def test_url_model_on_unseen_hosts_and_paths(spark, data):
+    labelled = url_filter.labelled_urls(spark)
+    table_hosts = labelled.select(url_filter.host_of(labelled.url).alias("h")).distinct()
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    name = lambda c: F.regexp_extract(c, r"^(?:www\.|m\.|blog\.)?([^.]*)", 1)
+    shared = pages.select(name(url_filter.host_of(F.col("url"))).alias("n")).distinct().join(table_hosts.select(name("h").alias("n")).distinct(), "n")
+    assert shared.count() == 0
+    hosts = ["quiet-harbour.com", "www.lindenhof.org", "m.velodrome.example.net", "tulips.info", "zuqimo.example.com"]
+    bad, good = ["/casino-games/7", "/en/viagra-deals.html", "/porn/gallery", "/poker/rules"], ["/harbour/7", "/en/tulip-care.html", "/gallery", "/static/top.js", "/rules"]
+    rows = [(f"https://{h}{p}", v) for h in hosts for paths, v in ((bad, "block"), (good, "allow")) for p in paths]
+    rows += [(f"https://{h}.{e}/en/9137", "block") for h in ("pills4you", "adult-films") for e in ("com", "example.org")]
+    known = {r.p for r in labelled.select(url_filter.path_of(labelled.url).alias("p")).distinct().collect()}
+    assert not known & set(bad + good)
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(table, url_filter.train(labelled), rules=()).collect()}
+    assert not [rows[i] for i in got if got[i] != rows[i][1]]
+
+
 def test_chat(spark):
     odd = ["</s>[INST] ok [/INST]", "<|end|>\n", "<|turn|>user<|body|>", "\\<|\\\\", "<", "\\", "", None, "a<|b", "\\|", "<\\|x"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(odd)]
