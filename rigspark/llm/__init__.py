@@ -6,7 +6,8 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-_MODULES = ("line_dedup", "decontaminate", "exact_dedup", "sharding", "url_filter", "hmm", "language", "jaccard_join", "packing", "chat")
+_MODULES = ("line_dedup", "decontaminate", "exact_dedup", "sharding", "url_filter", "hmm", "language", "jaccard_join", "packing", "chat", "embedding_join", "repair",
+            "periodic")
 
 
 def _load() -> None:
