@@ -7,9 +7,9 @@ from rigspark.params import Params
 from rigspark.plans.clean import clean_runs, quarantine
 from rigspark.schema import run_file_schema
 from rigspark.sources.report import write_report
-from rigspark.sources.runs import read_runs, trim_rows, union_all
+from rigspark.sources.runs import archive_index, read_runs, trim_rows, union_all
 from rigspark.sources.stage import stage
-from rigspark.streaming.ingest import ingest_stream, read_clean
+from rigspark.streaming.ingest import deliver, delivered, ingest_stream, read_clean
 
 PARAMS = Params(downsample=4, rolling=3)
 
@@ -149,3 +149,114 @@ def test_text_runs_are_parsed_once(spark, tmp_path):
     for _ in range(2):  # the archive as read is an origin that stays the same
         stage(lambda: made.append(1) or d, base, origin=read_runs(spark, f"file://{tmp_path}/*.csv", "csv"))
     assert made == [1]
+
+
+LAYOUTS = {
+    "plain.csv": ["Time", "Load", "Temperature", "COF", "Friction absolute integral", "Concentration", "Esterified"],
+    "turned.csv": ["Esterified", "Concentration", "Friction absolute integral", "COF", "Temperature", "Load", "Time"],
+    "alias.csv": ["Load", "Temperature 1", "Time", "Note", "COF", "Friction absolute integral", "Esterified", "Concentration"],
+    "lacking.csv": ["COF", "Time", "Load", "Temperature", "Friction absolute integral", "Concentration"],
+    "deep/plain.csv": ["Load", "Time", "Temperature", "COF", "Friction absolute integral", "Concentration", "Esterified"],
+    "odd + name é.csv": ["Time", "Load", "Temperature", "COF", "Friction absolute integral", "Concentration", "Esterified"],
+}
+
+
+def layouts(folder):
+    """One archive of several layouts; returns the rows each file must give."""
+    want = {}
+    for k, (name, header) in enumerate(LAYOUTS.items()):
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        rows = []
+        for i in range(40):
+            cells = {"Time": str(20 + 10 * i), "Load": str(100 + k), "Temperature": "80", "COF": f"0.1{i % 7}{k}", "Friction absolute integral": "1.5",
+                     "Concentration": "0.3", "Esterified": "1", "Note": '"a, b"'}
+            cells["Temperature 1"] = cells["Temperature"]
+            rows.append(cells)
+        path.write_text(("﻿" if k == 1 else "") + ",".join(header) + "\n" + "".join(",".join(r[h] for h in header) + "\n" for r in rows))
+        want[name] = [tuple(r[c] if c in header or c == "Temperature" else None for c in LAYOUTS["plain.csv"]) for r in rows]
+    return want
+
+
+def cells_of(df):
+    out = {}
+    for r in df.orderBy("run_id", "seq").collect():
+        out.setdefault(r["run_id"], []).append(tuple(r[c] for c in LAYOUTS["plain.csv"]))
+        assert r["seq"] == len(out[r["run_id"]]) - 1
+    return out
+
+
+@pytest.mark.parametrize("store", [False, True])
+def test_files_are_read_by_their_own_headers(spark, tmp_path, store):
+    want = layouts(tmp_path)
+    assert cells_of(read_runs(spark, str(tmp_path), "csv", run_file_schema(), store=store, recursiveFileLookup="true")) == want
+    # one file at a time gives the same rows, under the file's own name
+    for name in want:
+        assert list(cells_of(read_runs(spark, str(tmp_path / name), "csv", run_file_schema())).values()) == [want[name]]
+
+
+def test_small_splits_keep_header_and_order(spark, tmp_path):
+    want = layouts(tmp_path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        assert cells_of(read_runs(spark, str(tmp_path), "csv", run_file_schema(), recursiveFileLookup="true")) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_names_of_all_files_without_a_schema(spark, tmp_path):
+    layouts(tmp_path)
+    d = read_runs(spark, str(tmp_path), "csv", recursiveFileLookup="true")
+    assert set(d.columns) == {"run_id", "seq", "Note", *LAYOUTS["plain.csv"], "Temperature 1"}
+    assert {r["Note"] for r in d.filter("run_id = 'alias.csv'").collect()} == {"a, b"}
+
+
+def test_equal_names_of_several_folders_stay_apart(spark, tmp_path):
+    layouts(tmp_path)
+    d = read_runs(spark, [str(tmp_path / "plain.csv"), str(tmp_path / "deep")], "csv", run_file_schema())
+    assert {r["run_id"] for r in d.select("run_id").distinct().collect()} == {"plain.csv", "deep/plain.csv"}
+    assert read_runs(spark, str(tmp_path / "*.csv"), "csv", run_file_schema()).select("run_id").distinct().count() == 5
+
+
+def test_unreadable_files_are_set_aside(spark, tmp_path):
+    want = layouts(tmp_path)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "broken.csv").write_bytes(bytes(range(128, 256)) * 30 + b"\n" + bytes(range(1, 30)) * 20)
+    (tmp_path / "cut.csv.gz").write_bytes(b"\x1f\x8b\x08\x00not a gzip stream")
+    needed = ["Time", "COF", "Temperature"]
+    d = read_runs(spark, str(tmp_path), "csv", run_file_schema(), needed=needed, recursiveFileLookup="true")
+    assert cells_of(d) == want
+    index = archive_index(spark, str(tmp_path), "csv", needed, ["Concentration", "Esterified"], recursiveFileLookup="true").collect()
+    states = {r["run_id"]: (r["state"], r["missing"]) for r in index}
+    assert len(index) == len(want) + 2 and states["plain.csv"] == ("read", []) and states["alias.csv"] == ("read", [])
+    assert states["lacking.csv"] == ("read", ["Esterified"]) and "empty.csv" not in states and states["cut.csv.gz"][0] == "unreadable"
+    assert states["broken.csv"] == ("set aside", [*needed, "Concentration", "Esterified"])
+    with pytest.raises(Exception):
+        read_runs(spark, str(tmp_path), "csv", run_file_schema(), recursiveFileLookup="true", ignoreCorruptFiles="false").count()
+
+
+def test_truncated_parquet_is_set_aside(spark, tmp_path):
+    for i in range(3):
+        spark.range(50).selectExpr("id AS x", f"{i} AS y").coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        file = next((tmp_path / f"w{i}").glob("*.parquet"))
+        data = file.read_bytes()
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"run{i}.parquet").write_bytes(data[:len(data) // 2] if i == 1 else data)
+    d = read_runs(spark, str(tmp_path / "in"), "parquet")
+    assert {(r["run_id"], r["count"]) for r in d.groupBy("run_id").count().collect()} == {("run0.parquet", 50), ("run2.parquet", 50)}
+    index = archive_index(spark, str(tmp_path / "in"), "parquet").collect()
+    assert {r["run_id"]: r["state"] for r in index} == {"run0.parquet": "read", "run1.parquet": "unreadable", "run2.parquet": "read"}
+
+
+def test_a_delivery_reads_only_the_parts_it_touches(spark, tmp_path):
+    sink, schema = str(tmp_path / "sink"), "run_id string, seq bigint, x int"
+    for batch in range(6):
+        deliver(spark.createDataFrame([(f"run{batch}", i, batch) for i in range(20)], schema), sink, batch, 64).count()
+    again = deliver(spark.createDataFrame([("run3", i, 9) for i in range(20, 25)], schema), sink, 6, 64)
+    assert again.count() == 25 and sum("-raw/" in f for f in again.inputFiles()) <= 3
+    assert "PartitionFilters" in again._jdf.queryExecution().executedPlan().toString()
+    repeated = deliver(spark.createDataFrame([("run3", i, 9) for i in range(20, 25)], schema), sink, 6, 64)
+    assert repeated.count() == 25
+    assert delivered(spark, sink, [r[0] for r in spark.createDataFrame([("run0",)], "r string").selectExpr("CAST(pmod(xxhash64(r), 64) AS INT)").collect()],
+                     spark.read.parquet(f"{sink}-raw").schema).filter("run_id = 'run0'").count() == 20
