@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-_MODULES = ("ingest", "signal", "tables", "training", "decisions")
+_MODULES = ("ingest", "signal", "tables", "training", "linear", "decisions")
 
 
 def _load() -> None:

@@ -184,13 +184,9 @@ gr AS (SELECT c/100e0 AS conc, CAST(l AS DOUBLE) AS load_n, CAST(t AS DOUBLE) AS
 
 def grid(d):
     """Every combination of the concentration, load and temperature levels that were measured."""
-    axes = d.agg(F.array_sort(F.collect_set(F.rint(F.col("conc") * 100))).alias("cs"),
-                 F.array_sort(F.collect_set(snap("load_n", 5))).alias("ls"),
-                 F.array_sort(F.collect_set(snap("temp_c", 5))).alias("tl"))
-    axes = axes.withColumn("point_id", F.lit(0).cast("bigint"))
-    out = rl.cross_axes(axes, {"ester": F.array(F.lit(0), F.lit(1)), "conc": F.transform("cs", lambda x: x / F.lit(100e0)),
-                               "load_n": F.col("ls"), "temp_c": F.col("tl")})
-    return cut(out.select("point_id", "conc", "load_n", "temp_c", "ester"))
+    axes = {"ester": d.sparkSession.createDataFrame([(0,), (1,)], "ester int"),
+            "conc": d.select(F.rint(F.col("conc") * 100) / F.lit(100e0)), "load_n": d.select(snap("load_n", 5)), "temp_c": d.select(snap("temp_c", 5))}
+    return cut(rl.setpoint_grid(d.sparkSession, axes).select("point_id", "conc", "load_n", "temp_c", "ester"))
 
 
 @query("setpoint_cross", with_v(_AX + " SELECT * FROM gr"))
@@ -289,7 +285,7 @@ def retained_vs_excluded(spark, sf):
 
 # --- preparation -----------------------------------------------------------
 
-_BINS = _SP + """, e AS (SELECT quantile_cont(load_n, 1/3e0) AS l1, quantile_cont(load_n, 2/3e0) AS l2, quantile_cont(temp_c, 1/3e0) AS t1, quantile_cont(temp_c, 2/3e0) AS t2 FROM sp),
+BINS = _SP + """, e AS (SELECT quantile_cont(load_n, 1/3e0) AS l1, quantile_cont(load_n, 2/3e0) AS l2, quantile_cont(temp_c, 1/3e0) AS t1, quantile_cont(temp_c, 2/3e0) AS t2 FROM sp),
 qb AS (SELECT run_id, (CASE WHEN load_n > l1 THEN 1 ELSE 0 END) + (CASE WHEN load_n > l2 THEN 1 ELSE 0 END) AS load_n_bin,
   (CASE WHEN temp_c > t1 THEN 1 ELSE 0 END) + (CASE WHEN temp_c > t2 THEN 1 ELSE 0 END) AS temp_c_bin FROM sp, e)"""
 
@@ -298,17 +294,19 @@ def binned(spark, sf):
     return pr.quantile_bins(st.run_setpoints(valid(spark, sf)), ["load_n", "temp_c"])
 
 
-@query("quantile_bins", with_v(_BINS + " SELECT * FROM qb"))
+@query("quantile_bins", with_v(BINS + " SELECT * FROM qb"))
 def quantile_bins(spark, sf):
     return binned(spark, sf).select("run_id", "load_n_bin", "temp_c_bin")
 
 
-@query("stratified_run_split", with_v(_BINS + """, sz AS (SELECT load_n_bin, temp_c_bin, count(*) AS n FROM qb GROUP BY 1, 2),
+SPLIT = """, sz AS (SELECT load_n_bin, temp_c_bin, count(*) AS n FROM qb GROUP BY 1, 2),
 w AS (SELECT *, ceil(1e-1*sum(n) OVER ()) AS want, sum(n) OVER () AS total FROM sz),
 b AS (SELECT *, floor(want*n/total) AS base, want*n/total - floor(want*n/total) AS rem FROM w),
 qt AS (SELECT load_n_bin, temp_c_bin, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, load_n_bin, temp_c_bin) <= want - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
-o AS (SELECT *, row_number() OVER (PARTITION BY load_n_bin, temp_c_bin ORDER BY md5(concat(run_id, '#42')), run_id) AS p FROM qb)
-SELECT run_id, load_n_bin, temp_c_bin, p <= quota AS is_test FROM o JOIN qt USING (load_n_bin, temp_c_bin)"""))
+o AS (SELECT *, row_number() OVER (PARTITION BY load_n_bin, temp_c_bin ORDER BY md5(concat(run_id, '#42')), run_id) AS p FROM qb)"""
+
+
+@query("stratified_run_split", with_v(BINS + SPLIT + " SELECT run_id, load_n_bin, temp_c_bin, p <= quota AS is_test FROM o JOIN qt USING (load_n_bin, temp_c_bin)"))
 def stratified_run_split(spark, sf):
     out = pr.stratified_run_split(binned(spark, sf), ["load_n_bin", "temp_c_bin"])
     return out.select("run_id", "load_n_bin", "temp_c_bin", "is_test")

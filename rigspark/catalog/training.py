@@ -98,21 +98,6 @@ def knn_regress(spark, sf):
     return model.transform(d).select("vec_id", rnd("prediction").alias("pred"))
 
 
-@query("cross_validate")
-def cross_validate(spark, sf):
-    d = training(spark, sf)
-    d = sel.tag_folds(d, pr.group_kfold(d, 3))
-    return sel.cross_validate(REGISTRY["ridge"], {"alpha": 1.0}, d, FEATURES, 3)
-
-
-@query("hyper_search")
-def hyper_search(spark, sf):
-    d = training(spark, sf)
-    d = sel.tag_folds(d, pr.group_kfold(d, 2))
-    trials, _ = sel.search(REGISTRY["ridge"], d, FEATURES, 2, n_trials=4)
-    return trials.select("model", "trial", F.col("params")["alpha"].alias("alpha"), "r2_cv")
-
-
 @query("param_importance", """WITH t AS (SELECT event_type AS model, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,
   CASE WHEN user_id % 2 = 0 THEN 'relu' ELSE 'tanh' END AS act, value/1000e0 AS s FROM events),
 b AS (SELECT model, min(k) AS lo, max(k) AS hi, avg(s) AS mu, var_pop(s) AS va, count(*) AS n FROM t GROUP BY model),
@@ -176,14 +161,6 @@ def best_model(spark, sf):
     return rounded(sel.best_model(m.withColumn("m", F.col("model")), model="m").drop("m"), 8)
 
 
-@query("retrain_clean")
-def retrain_clean(spark, sf):
-    train, test = halves(spark, sf)
-    first = fit_model(REGISTRY["ridge"], {"alpha": 1.0}, train, FEATURES)
-    again, kept = sel.retrain(REGISTRY["ridge"], {"alpha": 1.0}, first, train.unionByName(test), FEATURES)
-    return sel.model_scores({"first": first, "again": again}, {"kept": kept, "test": test}).drop("score_ms")
-
-
 @query("feature_importance")
 def feature_importance(spark, sf):
     d = training(spark, sf)
@@ -200,11 +177,6 @@ def top_features(spark, sf):
     return rl.top_features(d.select("target", F.col("input").alias("feature"), rnd(F.abs("r")).alias("importance")))
 
 
-@query("learning_curve")
-def learning_curve(spark, sf):
-    return sel.learning_curve(REGISTRY["ridge"], {"alpha": 1.0}, training(spark, sf), FEATURES, sizes=(0.4, 0.7, 1.0), splits=2)
-
-
 @query("run_in_model")
 def run_in_model(spark, sf):
     d = valid(spark, sf)

@@ -63,6 +63,8 @@ class ModelSpec:
     scaled: bool = False
     tree: bool = False
     smooth: bool = False
+    #: validated from moments, without fits: see moments.py
+    linear: bool = False
 
 
 def _depth(value) -> int:
@@ -100,7 +102,7 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in (
     ModelSpec("knn", lambda p: KnnRegressor(k=int(p.get("k", 5)), weights=p.get("weights", "uniform"), idCol="row_id"),
               {"k": Whole(3, 20), "weights": Choice("uniform", "distance")}, scaled=True),
     ModelSpec("ridge", lambda p: Ridge(alpha=float(p.get("alpha", 1.0))), {"alpha": Real(0.1, 100.0)},
-              log_target=False, scaled=True, smooth=True),
+              log_target=False, scaled=True, smooth=True, linear=True),
 )}
 
 

@@ -22,6 +22,7 @@ from ..operators.timeseries import first_row, steady_state
 from ..params import ERROR_LIMIT, FOLDS, SEED, SETPOINT, STEADY_AT_SECONDS, TARGETS, TRIALS
 from ..scale import attach, ordered_positions, with_positions
 from ..session import cut
+from . import moments
 from .registry import EnsembleModel, ModelSpec, TargetModel, fit_model, long_predictions, sample_params, wide_predictions
 
 
@@ -36,7 +37,13 @@ def tag_folds(df: DataFrame, folds: DataFrame, group: str = "run_id") -> DataFra
 
 def cross_predictions(spec: ModelSpec, params: Mapping, df: DataFrame, features: Sequence[str], folds: int = FOLDS,
                       keys: Sequence[str] = ("row_id", "fold"), parallelism: int = 2, targets: Iterable[str] = TARGETS) -> DataFrame:
-    """Out-of-fold predictions, long. ``df`` carries ``fold``; each fold is an ordinary fit from a small thread pool."""
+    """Out-of-fold predictions, long. ``df`` carries ``fold``; each fold is an ordinary fit from a small thread pool.
+
+    Linear families are fitted for all folds from one aggregate of moments.
+    """
+    if spec.linear:
+        return moments.fold_predictions(df, list(features), float(params.get("alpha", 1.0)), spec.name, keys, targets)
+
     def one(i: int) -> DataFrame:
         model = unclamped(fit_model(spec, params, df.filter(F.col("fold") != i), features, targets))
         return long_predictions({spec.name: model}, df.filter(F.col("fold") == i), keys, targets)
@@ -61,7 +68,7 @@ def search(spec: ModelSpec, df: DataFrame, features: Sequence[str], folds: int =
            targets: Iterable[str] = TARGETS) -> tuple[DataFrame, dict]:
     """Seeded random search; a failed trial scores -100 and names its reason. Returns the trials table and the best parameters.
 
-    Raises if no trial succeeded.
+    All trials of a linear family are scored from one aggregate of moments. Raises if no trial succeeded.
     """
     rng = random.Random(seed)
     draws = [sample_params(space or spec.space, rng) for _ in range(n_trials)]
@@ -73,8 +80,16 @@ def search(spec: ModelSpec, df: DataFrame, features: Sequence[str], folds: int =
         except Exception as error:  # noqa: BLE001 - a trial may fail on its parameters
             return -100.0, f"{type(error).__name__}: {error}"[:500]
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        found = list(pool.map(one, draws))
+    if spec.linear:
+        alphas = moments.alphas_of([{**p, **(fixed or {})} for p in draws])
+        fine = [i for i, a in enumerate(alphas) if a >= 0]
+        scored = moments.fold_scores(df, list(features), [alphas[i] for i in fine], targets) if fine else []
+        found = [(-100.0, f"ValueError: alpha {a} is below 0") for a in alphas]
+        for k, i in enumerate(fine):
+            found[i] = (float(np.mean([r2 for j, _, r2, _ in scored if j == k])), None)
+    else:
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = list(pool.map(one, draws))
     scores = [s for s, _ in found]
     if all(reason for _, reason in found):
         raise RuntimeError(f"every trial of {spec.name} failed; the first: {found[0][1]}")
@@ -197,9 +212,15 @@ def feature_importance(model: TargetModel) -> DataFrame:
 
 def learning_curve(spec: ModelSpec, params: Mapping, df: DataFrame, features: Sequence[str], sizes: Sequence[float] | None = None,
                    splits: int = FOLDS, test: float = 0.1, seed: int = SEED, parallelism: int = 2, targets: Iterable[str] = TARGETS) -> DataFrame:
-    """Train and validation R2 for growing prefixes of the training rows in (run, seq) order."""
+    """Train and validation R2 for growing prefixes of the training rows in (run, seq) order.
+
+    Linear families take all splits and sizes from one aggregate of moments.
+    """
     sizes = list(sizes if sizes is not None else np.linspace(0.2, 1.0, 10))
     spark = df.sparkSession
+    if spec.linear:
+        return _curve(spark, moments.prefix_scores(df, list(features), float(params.get("alpha", 1.0)), sizes, splits, test, seed, targets),
+                      df.groupBy("run_id").count().agg(F.avg("count")).first()[0])
     draws = cut(group_shuffle_split(df, splits, test, seed))
     counts = cut(df.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")))
     placed = cut(with_positions(df, "run_id", "seq", "_pos", "_run_rows"))
@@ -223,8 +244,11 @@ def learning_curve(spec: ModelSpec, params: Mapping, df: DataFrame, features: Se
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = [r for part in pool.map(one, range(splits)) for r in part]
+    return _curve(spark, rows, counts.agg(F.avg("_n")).first()[0])
+
+
+def _curve(spark, rows: list[tuple], per_run: float) -> DataFrame:
     table = spark.createDataFrame(rows, "split int, share double, n_rows bigint, train double, cv double")
-    per_run = counts.agg(F.avg("_n")).first()[0]
     return table.groupBy("share").agg(
         (F.avg("n_rows") / F.lit(float(per_run))).alias("n_runs"), F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),
         F.avg("cv").alias("cv_mean"), F.stddev_pop("cv").alias("cv_std"))
