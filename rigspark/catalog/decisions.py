@@ -9,6 +9,7 @@ from ..models.registry import long_predictions
 from ..operators import relational as rl, timeseries as ts
 from ..operators.neighbors import nearest_distance
 from ..plans import decide as dc, explain as ex, scenarios as sc
+from ..session import cut
 from .base import query, rounded, valid, with_v
 from .tables import _AX, grid
 from .training import stub, stubs
@@ -142,26 +143,49 @@ def sparsity(spark, sf):
 
 
 def candidates(spark, sf):
-    """The campaign's grid with distances, disagreement of the closed-form models and their mean prediction."""
+    """The campaign's grid with distances, disagreement of the closed-form models and their mean prediction, each state for itself."""
     d = valid(spark, sf)
     g = grid(d)
-    preds = long_predictions(stubs(), g, ["point_id"])
-    mean = preds.filter("target = 'cof'").groupBy("point_id").agg(F.avg("pred").alias("pred"))
-    return d, g, dc.sparsity(g, d).join(dc.disagreement(preds), "point_id").join(mean, "point_id")
-
-
-@query("doe_sequential")
+    preds = long_predictions(stubs(), g, ["point_id", "ester"])
+    return d, g, cut(dc.design_candidates(preds, g, d))
+
+
+_GP = {"cof": ("3e-2 + 4e-4*load_n + 5e-2*conc", "7e-2 + 1e-5*temp_c", "6e-2 + 1e-2*ester"),
+       "fai": ("7e-1 + 2e-3*load_n + 1e-3*temp_c", "12e-1 + 1e-3*temp_c", "11e-1 + 1e-1*ester")}
+_SD = "sqrt((power({0}-({0}+{1}+{2})/3e0, 2) + power({1}-({0}+{1}+{2})/3e0, 2) + power({2}-({0}+{1}+{2})/3e0, 2))/3e0)"
+# candidates of each state, then five rounds: the best of each state, and distances to it
+_DOE = _AX + """, gi AS (SELECT row_number() OVER (ORDER BY ester, conc, load_n, temp_c) - 1 AS point_id, * FROM gr),
+b AS (SELECT min(conc) AS c0, max(conc)-min(conc) AS c1, min(load_n) AS l0, max(load_n)-min(load_n) AS l1, min(temp_c) AS t0, max(temp_c)-min(temp_c) AS t1 FROM gr),
+ms AS (SELECT DISTINCT (conc-c0)/c1 AS c, (load_n-l0)/l1 AS l, (temp_c-t0)/t1 AS t, ester FROM v, b),
+gs AS (SELECT gi.*, (conc-c0)/c1 AS c, (load_n-l0)/l1 AS l, (temp_c-t0)/t1 AS t, """ + ", ".join(
+    _SD.format(*(f"({p})" for p in ps)) + f" AS u_{t}" for t, ps in _GP.items()) + """ FROM gi, b),
+nd AS (SELECT point_id, min(sqrt(power(gs.c-ms.c, 2) + power(gs.l-ms.l, 2) + power(gs.t-ms.t, 2))) AS d FROM gs JOIN ms USING (ester) GROUP BY 1),
+un AS (SELECT *, ((u_cof - min(u_cof) OVER g)/(max(u_cof) OVER g - min(u_cof) OVER g + 1e-9) + (u_fai - min(u_fai) OVER g)/(max(u_fai) OVER g - min(u_fai) OVER g + 1e-9))/2e0 AS u
+  FROM gs WINDOW g AS (PARTITION BY ester)),
+kn AS (SELECT DISTINCT CAST(round_even(conc*100, 0) AS INT) AS kc, CAST(trunc(load_n) AS INT) AS kl, CAST(trunc(temp_c) AS INT) AS kt, ester AS ke FROM v),
+p0 AS (SELECT un.*, d FROM un JOIN nd USING (point_id) ANTI JOIN kn
+  ON CAST(round_even(conc*100, 0) AS INT) = kc AND CAST(trunc(load_n) AS INT) = kl AND CAST(trunc(temp_c) AS INT) = kt AND ester = ke)""" + "".join(f""",
+q{i} AS (SELECT *, (d - min(d) OVER g)/(max(d) OVER g - min(d) OVER g + 1e-9) AS n FROM p{i - 1} WINDOW g AS (PARTITION BY ester)),
+b{i} AS (SELECT {i} AS place, *, 5e-1*u + 5e-1*n AS score FROM q{i} QUALIFY row_number() OVER (PARTITION BY ester ORDER BY 5e-1*u + 5e-1*n DESC, point_id) = 1),
+p{i} AS (SELECT p.* REPLACE (least(p.d, sqrt(power(p.c-b.c, 2) + power(p.l-b.l, 2) + power(p.t-b.t, 2))) AS d) FROM p{i - 1} p JOIN b{i} b USING (ester)
+  WHERE p.point_id <> b.point_id)""" for i in range(1, 6)) + ", pk AS (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, 6)) + ")"
+
+
+@query("doe_sequential", with_v(_DOE + """ SELECT place, point_id, conc, load_n, temp_c, CAST(ester AS DOUBLE) AS ester, round(u, 8) AS uncertainty,
+  round(u_cof, 9) AS uncertainty_cof, round(u_fai, 9) AS uncertainty_fai, round(d, 8) AS distance, round(n, 8) AS norm_distance, round(score, 8) AS score FROM pk"""))
 def doe_sequential(spark, sf):
     d, g, cands = candidates(spark, sf)
-    return dc.doe_sequential(rl.novel(cands, d), d, scale_on=g)
+    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g, by="ester", carry=["uncertainty_cof", "uncertainty_fai"])
+    return rounded(picks, 8, uncertainty_cof=9, uncertainty_fai=9)
 
 
-@query("doe_curves")
+@query("doe_curves", with_v(_DOE + """ SELECT point_id, v.seq AS step, round(v.time_s, 6) AS time_s,
+  round(3e-2 + 4e-4*pk.load_n + 5e-2*pk.conc + 2e-1/ln(v.time_s), 8) AS cof FROM pk, v WHERE v.run_id = (SELECT min(run_id) FROM v)"""))
 def doe_curves(spark, sf):
     d, g, cands = candidates(spark, sf)
-    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g)
+    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g, by="ester", carry=["uncertainty_cof", "uncertainty_fai"])
     first = d.agg(F.min("run_id")).first()[0]
-    return dc.doe_curves(drifting(), picks, d, first)
+    return rounded(dc.doe_curves(drifting(), picks, d, first), 8, time_s=6)
 
 
 @query("safe_point", with_v(_DIS + """, cd AS (SELECT ester, seq, u, abs(load_n - 100e0) AS d, 3e-2 + 4e-4*load_n + 5e-2*conc AS p FROM v JOIN un USING (seq)),

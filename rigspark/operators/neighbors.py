@@ -1,10 +1,11 @@
 """Exact nearest neighbours without comparing every pair.
 
-References are grouped into cells around a few pivots. The triangle inequality
-gives each query an upper bound on its k-th distance and each cell a lower
-bound on what it can offer, so a query only visits cells that can still hold a
-neighbour. Crowded cells are split into blocks by hash and crowded query lists
-likewise, so a task never holds more than one block of each, whatever the skew.
+References are dealt into cells of about the root of their number. Up to four dimensions the cells are boxes: a grid over the data, and a finer
+grid inside every crowded box, again and again. Wider vectors go to the nearest of as many pivots, found over a first level of few pivots.
+What the driver knows of a cell (its size, its box or its distances from the pivot) gives each query an upper bound on its k-th distance
+and each cell a lower bound on what it can offer, so a query only visits cells that can still hold a neighbour: rings of boxes around
+it, or balls that reach it. A cell that stays crowded (many equal vectors) is split into blocks by hash and a crowded query list likewise,
+so a task never holds more than one block of each, whatever the skew.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..scale import attach
 from ..session import cut
 
-PIVOTS = 256
+#: Cells the driver keeps numbers of; beyond, crowded cells are split by hash.
+MOST_CELLS = 1 << 14
 BLOCK_ROWS = 20_000
+MOST_LEVELS = 24
+LEAST_CELL = 64
+GRID_DIMENSIONS = 4
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -36,102 +41,226 @@ def _blocks(n: int, width: int) -> Iterator[slice]:
         yield slice(i, i + step)
 
 
-def _pivots(refs: DataFrame, count: int) -> np.ndarray:
-    rows = refs.select("vec", F.xxhash64("rid").alias("h")).orderBy("h").limit(count).collect()
-    return np.unique(np.array([r["vec"] for r in rows], dtype=float), axis=0)
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.array(v.tolist(), dtype=float)
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str] = (), block_rows: int = BLOCK_ROWS,
-             pivots: int = PIVOTS) -> DataFrame:
+def _reach(upper: np.ndarray) -> np.ndarray:
+    """A bound with room for rounding."""
+    return upper * (1 + 1e-9) + 1e-12
+
+
+class Boxes:
+    """Cells of up to four dimensions: a grid, and grids inside its crowded boxes."""
+
+    def __init__(self, refs: DataFrame, dims: int, n: int, k: int):
+        self.levels: list[tuple] = []  # per level: parents, their corners and widths, slices a side, first id
+        most = max(LEAST_CELL, int(n ** 0.5))
+        boxes, ids = self._stats(refs, F.lit(0).cast("bigint"), dims), 1
+        done: list[tuple] = []
+        while True:
+            crowded = [b for b in boxes if b[1] > most and any(h > l for l, h in zip(b[2], b[3]))] if self.levels else boxes
+            if not crowded or ids >= MOST_CELLS or len(self.levels) == MOST_LEVELS:
+                break
+            split = {b[0] for b in crowded}
+            done += [b for b in boxes if b[0] not in split]
+            side = max(2, min(16, int(np.ceil((2 * max(b[1] for b in crowded) / most) ** (1 / dims)))))
+            while len(crowded) * side ** dims > 4 * MOST_CELLS and side > 2:
+                side -= 1
+            crowded.sort()
+            low = np.array([b[2] for b in crowded])
+            self.levels.append((np.array([b[0] for b in crowded]), low, np.array([b[3] for b in crowded]) - low, side, ids))
+            ids += len(crowded) * side ** dims
+            # only rows of the boxes split last are counted again
+            last = refs.withColumn("_cell", self.assigner()("vec")).filter(F.col("_cell") >= self.levels[-1][4])
+            boxes = self._stats(last, F.col("_cell"), dims)
+        done += boxes
+        self.ids = np.array([b[0] for b in done], np.int64)
+        self.sizes = np.array([b[1] for b in done], np.int64)
+        self.low, self.high = np.array([b[2] for b in done]), np.array([b[3] for b in done])
+        self.k = k
+
+    @staticmethod
+    def _stats(refs: DataFrame, cell, dims: int) -> list[tuple]:
+        rows = refs.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n"), *[f(F.col("vec")[j]).alias(f"{e}{j}") for j in range(dims) for e, f in (("a", F.min), ("b", F.max))])
+        return [(r["_cell"], r["n"], [r[f"a{j}"] for j in range(dims)], [r[f"b{j}"] for j in range(dims)]) for r in rows.collect()]
+
+    def assigner(self):
+        levels = list(self.levels)
+
+        @F.pandas_udf("bigint")
+        def cell_of(v: pd.Series) -> pd.Series:
+            x, cell = _matrix(v), np.zeros(len(v), np.int64)
+            for parents, low, width, side, base in levels:
+                at = np.minimum(np.searchsorted(parents, cell), len(parents) - 1)
+                on = np.flatnonzero(parents[at] == cell)
+                a = at[on]
+                share = np.divide(x[on] - low[a], width[a], out=np.zeros((len(on), x.shape[1])), where=width[a] > 0)
+                step = np.clip((share * side).astype(np.int64), 0, side - 1)
+                code = a.astype(np.int64)
+                for j in range(x.shape[1]):
+                    code = code * side + step[:, j]
+                cell[on] = base + code
+            return pd.Series(cell)
+        return cell_of
+
+    def visitor(self):
+        ids, sizes, low, high, k = self.ids, self.sizes, self.low, self.high, self.k
+
+        @F.pandas_udf("array<bigint>")
+        def cells_to_visit(v: pd.Series) -> pd.Series:
+            x, out = _matrix(v), []
+            full = sizes >= k
+            for s in _blocks(len(x), len(ids)):
+                near, far = np.zeros((len(x[s]), len(ids))), np.zeros((len(x[s]), len(ids)))
+                for j in range(x.shape[1]):
+                    a, b = low[None, :, j] - x[s, j, None], x[s, j, None] - high[None, :, j]
+                    near += np.maximum(0, np.maximum(a, b)) ** 2
+                    far += np.maximum(np.abs(a), np.abs(b)) ** 2
+                upper = far[:, full].min(1) if full.any() else np.full(len(near), np.inf)
+                if k > 1:  # several cells together may hold k nearer ones
+                    order = np.argpartition(far, min(k, len(ids)) - 1, axis=1)[:, :k]
+                    order = np.take_along_axis(order, np.take_along_axis(far, order, 1).argsort(1), 1)
+                    enough = np.cumsum(sizes[order], 1) >= k
+                    some = enough.any(1)
+                    upper[some] = np.minimum(upper[some], np.take_along_axis(far, order, 1)[some, enough.argmax(1)[some]])
+                out.extend(ids[row] for row in near <= _reach(upper)[:, None])
+            return pd.Series(out)
+        return cells_to_visit
+
+
+class Balls:
+    """Cells of wide vectors: those nearest to a pivot, and pivots nearest to one of fewer pivots above them."""
+
+    def __init__(self, refs: DataFrame, n: int, k: int):
+        count = max(2, min(MOST_CELLS, int(n ** 0.5)))
+        rows = refs.select("vec", F.xxhash64("rid").alias("h")).orderBy("h").limit(count).collect()
+        pivots = np.unique(np.array([r["vec"] for r in rows], dtype=float), axis=0)
+        # unique sorts; the tops must not be neighbours
+        tops = pivots[np.linspace(0, len(pivots) - 1, max(1, int(len(pivots) ** 0.5))).astype(int)]
+        group = np.concatenate([_dist(pivots[s], tops).argmin(1) for s in _blocks(len(pivots), len(tops))])
+        order = np.argsort(group, kind="stable")
+        self.pivots, group = pivots[order], group[order]
+        used = np.unique(group)
+        self.tops = tops[used]
+        self.spans = [(int(np.searchsorted(group, g)), int(np.searchsorted(group, g, "right"))) for g in used]
+        self.k = k
+        placed = cut(refs.select("rid", "vec").withColumn("_p", self._placer()("vec")).select("rid", "_p.cell", "_p.d"))
+        stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+        p = len(self.pivots)
+        self.ids, self.sizes = np.arange(p, dtype=np.int64), np.zeros(p, np.int64)
+        self.lo, self.hi, self.near = np.full(p, np.inf), np.full(p, -np.inf), np.full((p, k), np.inf)
+        for r in stats.collect():
+            self.sizes[r["cell"]], self.lo[r["cell"]], self.hi[r["cell"]] = r["n"], r["lo"], r["hi"]
+        rank = F.row_number().over(W.partitionBy("cell").orderBy("d"))
+        for r in placed.select("cell", "d", rank.alias("r")).filter(F.col("r") <= k).collect():
+            self.near[r["cell"], r["r"] - 1] = r["d"]
+
+    def _placer(self):
+        pivots, tops, spans = self.pivots, self.tops, self.spans
+
+        @F.pandas_udf("struct<cell bigint, d double>")
+        def place(v: pd.Series) -> pd.DataFrame:
+            x = _matrix(v)
+            cell, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+            top = np.concatenate([_dist(x[s], tops).argmin(1) for s in _blocks(len(x), len(tops))]) if len(x) else np.zeros(0, int)
+            for g in np.unique(top):
+                a, b = spans[g]
+                at = np.flatnonzero(top == g)
+                for s in _blocks(len(at), b - a):
+                    d = _dist(x[at[s]], pivots[a:b])
+                    near = d.argmin(1)
+                    cell[at[s]], dist[at[s]] = a + near, d[np.arange(len(near)), near]
+            return pd.DataFrame({"cell": cell, "d": dist})
+        return place
+
+    def assigner(self):
+        place = self._placer()
+        return lambda vec: place(vec)["cell"]
+
+    def visitor(self):
+        pivots, tops, spans, sizes, lo, hi, near, k = self.pivots, self.tops, self.spans, self.sizes, self.lo, self.hi, self.near, self.k
+        reach = np.array([max((np.sqrt(((pivots[a:b] - t) ** 2).sum(1)) + hi[a:b]).max(), 0.0) for t, (a, b) in zip(tops, spans)])
+
+        @F.pandas_udf("array<bigint>")
+        def cells_to_visit(v: pd.Series) -> pd.Series:
+            x, out = _matrix(v), []
+            for s in _blocks(len(x), len(pivots) * k):
+                q = x[s]
+                above = _dist(q, tops)
+                first = above.argmin(1)
+                bounds = np.full((len(q), k), np.inf)  # k least upper bounds met so far
+                dist = np.full((len(q), len(pivots)), np.nan)
+
+                def look(rows: np.ndarray, g: int) -> None:
+                    a, b = spans[g]
+                    d = _dist(q[rows], pivots[a:b])
+                    dist[rows, a:b] = d
+                    met = np.concatenate([bounds[rows], (d[:, :, None] + near[None, a:b, :]).reshape(len(d), -1)], 1)
+                    bounds[rows] = np.partition(met, k - 1, axis=1)[:, :k]
+                for g in range(len(tops)):  # the nearest group first: it gives a bound to begin with
+                    rows = np.flatnonzero(first == g)
+                    if len(rows):
+                        look(rows, g)
+                for g in range(len(tops)):
+                    rows = np.flatnonzero((first != g) & (above[:, g] - reach[g] <= _reach(bounds.max(1))))
+                    if len(rows):
+                        look(rows, g)
+                upper = _reach(bounds.max(1))
+                with np.errstate(invalid="ignore"):
+                    lower = np.maximum(0.0, np.maximum(dist - hi, lo - dist))
+                    visit = (sizes > 0) & (lower <= upper[:, None])
+                out.extend(np.flatnonzero(row).astype(np.int64) for row in visit)
+            return pd.Series(out)
+        return cells_to_visit
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest references of every distinct query vector, ties by ``rid``.
 
     ``queries(vec)`` and ``refs(rid, vec, payload...)`` hold array<double>
-    vectors; the result is ``(vec, rid, dist, payload...)``.
+    vectors of one length; the result is ``(vec, rid, dist, payload...)``. Without references it is empty.
     """
     payload = list(payload)
     queries, refs = cut(queries.select("vec").distinct()), cut(refs.select("rid", "vec", *payload))
-    n_refs = refs.count()
-    if n_refs <= block_rows:
-        cells = np.zeros((1, 1))
-        cell_of, bounds = None, None
-    else:
-        cells = _pivots(refs, min(pivots, max(2, int(2 * n_refs / block_rows))))
-
-        @F.pandas_udf("struct<cell int, d double>")
-        def cell_of(v: pd.Series) -> pd.DataFrame:
-            x, out = np.array(v.tolist(), dtype=float), []
-            for s in _blocks(len(x), len(cells)):
-                d = _dist(x[s], cells)
-                near = d.argmin(axis=1)
-                out.append(pd.DataFrame({"cell": near.astype(np.int32), "d": d[np.arange(len(near)), near]}))
-            return pd.concat(out, ignore_index=True)
-
-    p = len(cells)
-    if cell_of is None:
-        placed = refs.withColumn("cell", F.lit(0))
-        sizes = np.array([n_refs])
-        visits = queries.withColumn("cell", F.lit(0))
-    else:
-        placed = refs.withColumn("_p", cell_of("vec")).withColumn("cell", F.col("_p.cell")).withColumn("_d", F.col("_p.d")).drop("_p")
-        placed = cut(placed)
-        stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).collect()
-        rank = F.row_number().over(W.partitionBy("cell").orderBy("_d"))
-        closest = placed.select("cell", "_d", rank.alias("r")).filter(F.col("r") <= k).collect()
-        sizes, lo, hi = np.zeros(p, dtype=np.int64), np.full(p, np.inf), np.full(p, -np.inf)
-        for r in stats:
-            sizes[r["cell"]], lo[r["cell"]], hi[r["cell"]] = r["n"], r["lo"], r["hi"]
-        near = np.full((p, k), np.inf)
-        for r in closest:
-            near[r["cell"], r["r"] - 1] = r["_d"]
-        used = sizes > 0
-
-        @F.pandas_udf("array<int>")
-        def cells_to_visit(v: pd.Series) -> pd.Series:
-            x, out = np.array(v.tolist(), dtype=float), []
-            for s in _blocks(len(x), p * k):
-                d = _dist(x[s], cells)
-                reach = (d[:, :, None] + near[None, :, :]).reshape(len(d), -1)
-                upper = np.partition(reach, k - 1, axis=1)[:, k - 1]
-                lower = np.maximum(0.0, np.maximum(d - hi[None, :], lo[None, :] - d))
-                visit = used[None, :] & (lower <= (upper * (1 + 1e-9) + 1e-12)[:, None])
-                out.extend(np.flatnonzero(row).tolist() for row in visit)
-            return pd.Series(out)
-
-        visits = cut(queries.withColumn("cell", F.explode(cells_to_visit("vec"))))
-    crowd = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    if not crowd:
-        fields = ", ".join(["vec array<double>", f"rid {refs.schema['rid'].dataType.simpleString()}", "dist double"]
-                           + [f"{c} {refs.schema[c].dataType.simpleString()}" for c in payload])
+    fields = ", ".join(["vec array<double>", f"rid {refs.schema['rid'].dataType.simpleString()}", "dist double"]
+                       + [f"{c} {refs.schema[c].dataType.simpleString()}" for c in payload])
+    known = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not known["n"]:
         return queries.sparkSession.createDataFrame([], fields)
-    ref_blocks = F.array(*[F.lit(int(-(-int(sizes[c]) // block_rows) or 1)) for c in range(p)])
-    query_blocks = F.array(*[F.lit(int(-(-crowd.get(c, 0) // block_rows) or 1)) for c in range(p)])
-    q = visits.withColumn("qb", F.pmod(F.xxhash64("vec"), query_blocks[F.col("cell")]).cast("int"))
-    q = q.withColumn("rb", F.explode(F.sequence(F.lit(0), ref_blocks[F.col("cell")] - 1)))
-    r = placed.select("cell", "rid", "vec", *payload)
-    r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), ref_blocks[F.col("cell")]).cast("int"))
-    r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), query_blocks[F.col("cell")] - 1)))
+    cells = Boxes(refs, known["d"], known["n"], k) if known["d"] <= GRID_DIMENSIONS else Balls(refs, known["n"], k)
+    visits = cut(queries.withColumn("cell", F.explode(cells.visitor()("vec"))))
+    crowd = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    # at most MOST_CELLS rows, once split: blocks of references and of queries by cell
+    sizes = queries.sparkSession.createDataFrame([(int(c), int(-(-int(s) // block_rows) or 1)) for c, s in zip(cells.ids, cells.sizes)], "cell bigint, _rbs int")
+    plan = sizes.join(crowd, "cell").select("cell", "_rbs", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_qbs"))
+    plan = F.broadcast(cut(plan))
+    q = visits.join(plan, "cell").withColumn("qb", F.pmod(F.xxhash64("vec"), F.col("_qbs")).cast("int"))
+    q = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("_rbs") - 1))).select("cell", "rb", "qb", "vec")
+    r = refs.withColumn("cell", cells.assigner()(F.col("vec"))).join(plan, "cell").withColumn("rb", F.pmod(F.xxhash64("rid"), F.col("_rbs")).cast("int"))
+    r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_qbs") - 1))).select("cell", "rb", "qb", "rid", "vec", *payload)
 
     def nearest(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
         cols = ["vec", "rid", "dist", *payload]
         if qs.empty or rs.empty:
             return pd.DataFrame({c: [] for c in cols})
         rs = rs.sort_values("rid", kind="stable")
-        x, y = np.array(qs["vec"].tolist(), dtype=float), np.array(rs["vec"].tolist(), dtype=float)
+        x, y = _matrix(qs["vec"]), _matrix(rs["vec"])
         m, out = min(k, len(y)), []
         for s in _blocks(len(x), len(y)):
             d = _dist(x[s], y)
-            kth = np.partition(d, m - 1, axis=1)[:, m - 1]
-            for i, row in enumerate(d):
-                near_i = np.flatnonzero(row <= kth[i])
-                near_i = near_i[np.argsort(row[near_i], kind="stable")][:m]
-                out.append((np.full(m, s.start + i), near_i, row[near_i]))
+            row, at = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1, None])
+            dist = d[row, at]
+            order = np.lexsort((at, dist, row))  # ties in order of rid
+            row, at, dist = row[order], at[order], dist[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < m
+            out.append((s.start + row[keep], at[keep], dist[keep]))
         qi, ri, dist = (np.concatenate([o[j] for o in out]) for j in range(3))
         found = {"vec": qs["vec"].to_numpy()[qi], "rid": rs["rid"].to_numpy()[ri], "dist": dist}
         found.update({c: rs[c].to_numpy()[ri] for c in payload})
         return pd.DataFrame(found)
 
-    fields = ", ".join(["vec array<double>", f"rid {refs.schema['rid'].dataType.simpleString()}", "dist double"]
-                       + [f"{c} {refs.schema[c].dataType.simpleString()}" for c in payload])
     by = ["cell", "rb", "qb"]
     found = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(nearest, fields)
     rank = F.row_number().over(W.partitionBy("vec").orderBy("dist", "rid"))

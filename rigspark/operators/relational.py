@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..scale import as_list, attach, counted
+from ..scale import as_list, attach, counted, ordered_positions
+from ..session import cut
+
+GRID_POINTS = 1 << 20  # points of a grid made by one task
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, on: str | Iterable[str] = "run_id") -> DataFrame:
@@ -43,30 +47,33 @@ def novel(grid: DataFrame, measured: DataFrame, keys: Mapping[str, Column] | Non
     return grid.withColumns(keys).join(F.broadcast(have) if small else have, list(keys), "left_anti").drop(*keys)
 
 
-def setpoint_grid(spark: SparkSession, axes: Mapping[str, Column | tuple]) -> DataFrame:
+def setpoint_grid(spark: SparkSession, axes: Mapping[str, DataFrame | tuple]) -> DataFrame:
     """Cartesian product of axes, first axis slowest, with ``point_id`` in that order.
 
-    An axis is (first, step, levels) or an array column of values.
+    An axis is (first, step, levels), or a table of one column that holds its levels: each distinct one counts once, in ascending order.
+    A point's number is read as a mixed-radix number with one digit per axis. Numbers are dealt over all tasks by ``range``, a regular axis
+    is computed from its digit and a table of levels is looked up by it, so no task makes more points than any other.
     """
-    d = spark.range(1).select(F.lit(0).cast("bigint").alias("point_id"))
-    return cross_axes(d, axes)
-
-
-def _levels(first: float, step: float, count: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(int(count) - 1)), lambda i: F.lit(float(first)) + i * F.lit(float(step)))
-
-
-def cross_axes(d: DataFrame, axes: Mapping[str, Column | tuple]) -> DataFrame:
-    """Extend each row of ``d`` by every combination of the axes; narrow, no join."""
+    levels = {}
     for name, axis in axes.items():
         if isinstance(axis, tuple):
-            values = _levels(*axis)
+            levels[name] = (int(axis[2]), axis)
+        else:
+            one = axis.toDF(name).dropna().distinct()
+            placed = cut(ordered_positions(one, [F.col(name)], pos="_digit").select("_digit", name))
+            levels[name] = (placed.count(), placed)
+    total = math.prod(n for n, _ in levels.values())
+    if total >= 2 ** 63:
+        raise OverflowError(f"a grid of {total} points")
+    d, stride = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // GRID_POINTS))).withColumnRenamed("id", "point_id"), total
+    for name, (n, axis) in levels.items():
+        stride = stride // n if n else 0
+        digit = F.expr(f"(point_id div {stride or 1}L) % {n or 1}L")
+        if isinstance(axis, tuple):
+            d = d.withColumn(name, F.lit(float(axis[0])) + digit * F.lit(float(axis[1])))
         else:
-            values = axis
-        others = [c for c in d.columns if c != "point_id"]
-        d = d.withColumn("_n", F.size(values)).select(*others, "point_id", "_n", F.posexplode(values).alias("_i", name))
-        d = d.withColumn("point_id", F.col("point_id") * F.col("_n") + F.col("_i")).drop("_n", "_i")
-    return d
+            d = attach(d.withColumn("_digit", digit), axis, "_digit").drop("_digit")
+    return d.select("point_id", *levels)
 
 
 def align(a: DataFrame, b: DataFrame, on: str | Iterable[str]) -> DataFrame:

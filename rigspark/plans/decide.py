@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.feature import Bucketizer
@@ -142,31 +143,60 @@ def sparsity(points: DataFrame, measured: DataFrame, cols: Sequence[str] = SETPO
 
 
 def doe_sequential(candidates: DataFrame, measured: DataFrame, n: int = DOE_PICKS, w_u: float = UNCERTAINTY_WEIGHT, w_s: float = SPARSITY_WEIGHT,
-                   cols: Sequence[str] = SETPOINT, key: str = "point_id", scale_on: DataFrame | None = None, eps: float = RANGE_EPS) -> DataFrame:
+                   cols: Sequence[str] = SETPOINT, key: str = "point_id", scale_on: DataFrame | None = None, eps: float = RANGE_EPS,
+                   by: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Greedy picks of uncertain and remote points; each pick counts as measured for the next.
 
+    With ``by`` (a column of a few values, as the state) every group has picks of its own, measured against its own rows on its own ranges, and all
+    groups go through a round together. Groups without measured rows have no picks. ``carry`` names further columns of the picks.
+
     Distances to the measured set are found once. A pick can only shorten
     them, so later rounds take the minimum with the distance to the pick; the
-    range of distances is taken anew over the points still in the pool.
+    range of distances is taken anew over the points still in the pool. The pool is stored once, rounds are expressions over it.
     """
-    scaler = RangeScaler(inputCols=list(cols), outputCols=[f"_s_{c}" for c in cols]).fit(scale_on if scale_on is not None else candidates)
-    base = nearest_distance(scaler.transform(candidates), scaler.transform(measured), [f"_s_{c}" for c in cols], "_d")
-    pool = cut(base)
-    shift = dict(zip(cols, scaler.get_state()))
-    picks = []
+    group = F.col(by) if by else F.lit(0)
+    frame = scale_on if scale_on is not None else candidates
+    ranges = {r["_g"]: r for r in frame.groupBy(group.alias("_g")).agg(
+        *[f(c).cast("double").alias(f"{e}_{c}") for c in cols for e, f in (("a", F.min), ("b", F.max))]).collect()}
+    shift = {g: {c: (r[f"a_{c}"], (r[f"b_{c}"] - r[f"a_{c}"]) or 1.0) for c in cols} for g, r in sorted(ranges.items())}
+
+    def scaled(d: DataFrame, g) -> DataFrame:
+        mine = d.filter(group == F.lit(g)) if by else d
+        return mine.withColumns({f"_s_{c}": (F.col(c) - F.lit(shift[g][c][0])) / F.lit(shift[g][c][1]) for c in cols})
+
+    places = [f"_s_{c}" for c in cols]
+    pool = None
+    for g in shift:
+        part = nearest_distance(scaled(candidates, g), scaled(measured, g), places, "_d").withColumn("_g", F.lit(g))
+        pool = part if pool is None else pool.unionByName(part)
+    fields = (f"{by} {candidates.schema[by].dataType.simpleString()}, " if by and by not in cols else "") \
+        + f"place int, {key} {candidates.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in cols) \
+        + ", uncertainty double, " + "".join(f"{c} double, " for c in carry) + "distance double, norm_distance double, score double"
+    spark = candidates.sparkSession
+    if pool is None:
+        return spark.createDataFrame([], fields)
+    pool = cut(pool)
+    picks, chosen = [], {g: [] for g in shift}
     for place in range(1, n + 1):
-        span = pool.agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).first()
-        if span["lo"] is None:
+        spans = {r["_g"]: r for r in pool.groupBy("_g").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).collect()}
+        if not spans:
             break
-        remote = (F.col("_d") - F.lit(span["lo"])) / F.lit(span["hi"] - span["lo"] + eps)
-        scored = pool.withColumn("norm_distance", remote).withColumn("score", F.lit(w_u) * F.col("uncertainty") + F.lit(w_s) * F.col("norm_distance"))
-        best = arg_row(scored, "score", key, "max").first()
-        picks.append((place, best[key], *[float(best[c]) for c in cols], float(best["uncertainty"]), float(best["_d"]), float(best["norm_distance"]), float(best["score"])))
-        to_pick = F.sqrt(sum(((F.col(f"_s_{c}") - F.lit((float(best[c]) - shift[c][0]) / shift[c][1])) ** 2 for c in cols), F.lit(0e0)))
-        pool = pool.filter(F.col(key) != F.lit(best[key])).withColumn("_d", F.least("_d", to_pick))
-    fields = f"place int, {key} {candidates.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in cols) \
-        + ", uncertainty double, distance double, norm_distance double, score double"
-    return candidates.sparkSession.createDataFrame(picks, fields)
+        tops = []
+        for g, span in spans.items():
+            remote = (F.col("_d") - F.lit(span["lo"])) / F.lit(span["hi"] - span["lo"] + eps)
+            scored = pool.filter(F.col("_g") == F.lit(g)).withColumn("norm_distance", remote)
+            scored = scored.withColumn("score", F.lit(w_u) * F.col("uncertainty") + F.lit(w_s) * F.col("norm_distance"))
+            tops.append(scored.orderBy(F.desc("score"), key).limit(1))
+        nearer, gone = F.col("_d"), F.lit(False)
+        for best in reduce(lambda a, b: a.unionByName(b), tops).collect():
+            g = best["_g"]
+            picks.append(((best[by],) if by and by not in cols else ()) + (place, best[key], *[float(best[c]) for c in cols], float(best["uncertainty"]),
+                         *[float(best[c]) for c in carry], float(best["_d"]), float(best["norm_distance"]), float(best["score"])))
+            to_pick = F.sqrt(sum(((F.col(s) - F.lit(best[s])) ** 2 for s in places), F.lit(0e0)))
+            nearer = F.when(F.col("_g") == F.lit(g), F.least("_d", to_pick)).otherwise(nearer)
+            gone = gone | ((F.col("_g") == F.lit(g)) & (F.col(key) == F.lit(best[key])))
+        pool = pool.filter(~gone).withColumn("_d", nearer)
+    return spark.createDataFrame(picks, fields)
 
 
 def safe_point(cands: DataFrame, q: float = 0.25, pred: str = "pred", by: str | Iterable[str] = (), key: str = "point_id") -> DataFrame:
@@ -183,38 +213,26 @@ def doe_curves(model: Model, picks: DataFrame, template: DataFrame, template_run
     return curve.select(*as_list(key), "step", "time_s", F.col("pred_cof").alias("cof"))
 
 
-def suggest_experiments(models: Mapping[str, Model], grid: DataFrame, measured: DataFrame, n: int = DOE_PICKS, prepare=add_features,
-                        state: str = "ester") -> tuple[DataFrame, DataFrame]:
-    """Next experiments and the safe validation point of each state."""
-    picks, safe = None, None
-    for value in (0, 1):
-        g = grid.filter(F.col(state) == value)
-        m = measured.filter(F.col(state) == value)
-        preds = long_predictions(models, prepare(g.withColumn("time_s", F.lit(STEADY_AT_SECONDS))), ["point_id"])
-        mean = preds.filter(F.col("target") == TARGETS[0]).groupBy("point_id").agg(F.avg("pred").alias("pred"))
-        cands = cut(sparsity(g, m).join(disagreement(preds), "point_id").join(mean, "point_id"))
-        chosen = doe_sequential(novel(cands, m), m, n, scale_on=g)
-        best = safe_point(cands)
-        picks = chosen if picks is None else picks.unionByName(chosen)
-        safe = best if safe is None else safe.unionByName(best)
-    return picks, safe
-
-
-def validate_at(models: Mapping[str, Model], df: DataFrame, setpoint: Mapping[str, float], template_run: str, prepare=add_features,
-                at: float = STEADY_AT_SECONDS, skip: Iterable[str] = ("knn", "ridge")) -> tuple[DataFrame, DataFrame]:
-    """Measured curve of the first run at a setpoint, predicted curves on the template axis, and predictions at one time.
-
-    Curves are long: ``model`` is "measured" for the run itself.
-    """
-    from .scenarios import as_points
+def design_candidates(preds: DataFrame, grid: DataFrame, measured: DataFrame, state: str = "ester") -> DataFrame:
+    """Grid points with what a design weighs, each state for itself: ``distance`` to the measured rows, ``uncertainty`` between models, its
+    spread per target (``uncertainty_<target>``), and the mean prediction of the first target.
 
-    models = {k: m for k, m in models.items() if k not in set(skip)}
-    run = near_match(df, setpoint).agg(F.min("run_id")).first()[0]
-    actual = df.filter(F.col("run_id") == run).select(F.lit("measured").alias("model"), "time_s", *TARGETS)
-    point = as_points(df.sparkSession, {k: (int(v) if k == "ester" else float(v)) for k, v in setpoint.items()})
-    curve = long_predictions(models, prepare(template_curve(df, template_run, point)), ["step", "time_s"])
-    wide = curve.groupBy("model", "step", "time_s").pivot("target", list(TARGETS)).agg(F.first("pred")).drop("step")
-    one = long_predictions(models, prepare(point.withColumn("time_s", F.lit(float(at)))), ["time_s"])
-    return actual.unionByName(wide.select("model", "time_s", *TARGETS)), one.groupBy("model").pivot("target", list(TARGETS)).agg(F.first("pred"))
+    ``preds`` are long predictions at the grid points with ``point_id`` and the state.
+    """
+    own = disagreement(preds, "point_id", state)
+    spread = preds.groupBy("point_id").agg(*[F.stddev_pop(F.when(F.col("target") == t, F.col("pred"))).alias(f"uncertainty_{t}") for t in TARGETS],
+                                           F.avg(F.when(F.col("target") == TARGETS[0], F.col("pred"))).alias("pred"))
+    remote = None
+    for r in grid.select(state).distinct().orderBy(state).collect():  # the states: a handful
+        part = sparsity(grid.filter(F.col(state) == F.lit(r[0])), measured.filter(F.col(state) == F.lit(r[0])))
+        remote = part if remote is None else remote.unionByName(part)
+    return remote.join(own.drop(state), "point_id").join(spread, "point_id")
 
 
+def suggest_experiments(models: Mapping[str, Model], grid: DataFrame, measured: DataFrame, n: int = DOE_PICKS, prepare=add_features,
+                        state: str = "ester") -> tuple[DataFrame, DataFrame]:
+    """Next experiments and the safe validation point of each state; both states go through the rounds together."""
+    preds = long_predictions(models, prepare(grid.withColumn("time_s", F.lit(STEADY_AT_SECONDS))), ["point_id", state])
+    cands = cut(design_candidates(preds, grid, measured, state))
+    picks = doe_sequential(novel(cands, measured), measured, n, scale_on=grid, by=state, carry=[f"uncertainty_{t}" for t in TARGETS])
+    return picks, safe_point(cands, by=state)

@@ -59,5 +59,5 @@ def campaign_grid(spark: SparkSession, at: float = 7200.0, states: tuple[int, ..
     """The setpoint grid of both states; ``point_id`` counts concentration-major inside a state."""
     from ..operators.relational import setpoint_grid
 
-    order = {"ester": F.array(*[F.lit(s) for s in states]), **axes}
+    order = {"ester": spark.createDataFrame([(int(s),) for s in states], "ester int"), **axes}
     return setpoint_grid(spark, order).withColumn("time_s", F.lit(float(at)))
