@@ -3,7 +3,8 @@
 ``LineRuns`` keeps, for every line key seen so far, one row (two 64-bit hashes, owner). The rows are stored in runs: tables bucketed
 and sorted by the hashes. A batch of documents groups its own keys, merge-anti-joins them with every run in turn, and what is left
 becomes a run of level 0. When a level holds ``fanout`` runs they are merged into one run of the next level, so a batch meets a
-logarithmic number of runs. Buckets make the runs join in place: only the batch is shuffled, never the history.
+logarithmic number of runs. Buckets make the runs join in place: only the batch is shuffled, never the history. Their number grows with
+the lines and is that of the writing tasks, so a run has one file per bucket and a bucket a bounded size.
 
 Batches come in ascending ranges of ids, therefore the owner of a key is the smallest id that holds it. A line is kept if its
 document owns the key; that test joins on (hash, id), a key that no frequent line makes hot.
@@ -19,6 +20,7 @@ from ..session import shared_dir
 from .base import SPACES, ascii_lower, given_id, query, sort_id, store, table, text_key
 
 HASHES = ["_h1", "_h2"]
+BUCKET_LINES = 8_000_000
 
 
 class LineRuns:
@@ -83,7 +85,7 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4,
-               fanout: int = 2, buckets: int = 32) -> DataFrame:
+               fanout: int = 2, buckets: int | None = None) -> DataFrame:
     """Keep each repeated line only in the document with the smallest id that holds it.
 
     Returns one row per input row: the id, ``n_lines``, ``n_dropped`` and ``kept_text``.
@@ -101,6 +103,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         batch = F.when(F.col("_id") > F.lit(c), i).otherwise(batch)
     lines = store(line_hashes(docs, id_col, text_col, min_chars).withColumn("_batch", batch), by="_batch")
 
+    if buckets is None:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // BUCKET_LINES))
     runs, dropped = LineRuns(spark, fanout, buckets), None
     for i in range(len(set(cuts or [])) + 1):
         mine = lines.filter(F.col("_batch") == i)
