@@ -2,7 +2,8 @@
 
 Latent states emit word classes, and a class emits its words: P(word | state) = P(class | state) * P(word | class). The ``own_words`` most
 frequent training words are classes of their own; every other word, seen or not, belongs to the class of its last letters, where it has the
-share (c + 1) / (tokens + words + 1) by its count. So the model is a distribution over all texts, its tables for the states are of fixed
+share (c + 1) / (tokens + words + 1) by its count, and any unseen word the share of the one unknown word of its class. So the model is a
+distribution over texts of training words and one unknown word a class. Its tables for the states are of fixed
 size, and the counts of all words stay a distributed table: texts meet it by a join, except for the most frequent words, a bounded list.
 
 Training is Baum-Welch: in every round every partition runs the scaled forward-backward recursion over all its training texts, expected
@@ -27,7 +28,7 @@ from .base import bounded_batches, held_out, query, store, table
 
 FLUSH_WORDS = 300_000
 #: Tokens of one vectorised recursion, or of a stretch of a longer text; and time steps from one scaling to the next.
-CHUNK_TOKENS, SCALE_STEPS = 400_000, 8
+CHUNK_TOKENS, SCALE_STEPS = 1_000_000, 8
 
 
 @dataclass(frozen=True)
@@ -37,9 +38,8 @@ class Settings:
     ending_classes: int = 2048
     #: At most so many of the most frequent words have their counts broadcast (about 6 MB); the others are joined.
     frequent_words: int = 131_072
-    #: Baum-Welch rounds in all: the sum of the two. Each reads all training texts.
-    early_rounds: int = 10
-    full_rounds: int = 2
+    #: Baum-Welch rounds. Each reads all training texts.
+    rounds: int = 8
     seed: int = 6
 
 
@@ -93,13 +93,16 @@ class Vocabulary:
 def learn_vocabulary(counts: DataFrame, ends: int, s: Settings) -> Vocabulary:
     # a histogram of counts in sixteenths of a power of two shows how low a count may be without naming too many words
     step = F.floor(F.log2("c") * 16).cast("int")
-    least, total = None, 0
+    least, last, total = None, None, 0
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
-        total += r.n
-        if total > s.frequent_words:
+        if total + r.n > s.frequent_words:
+            last = r.step
             break
+        total += r.n
         least = r.step
     named = counts.filter(step >= least).collect() if least is not None else []
+    if last is not None and total < s.frequent_words:  # the step that goes beyond the limit fills it up, ties in order of words
+        named += counts.filter(step == last).orderBy(F.desc("c"), "word").limit(s.frequent_words - total).collect()
     frequent = dict(sorted(((bytes(r.word), r.c) for r in named), key=lambda x: (-x[1], x[0])))
     own = {w: k for k, w in enumerate(list(frequent)[: s.own_words])}
     v = Vocabulary(0, 0, ends, own, frequent, s.ending_classes, np.zeros(0), np.zeros(0))
@@ -129,9 +132,12 @@ ENCODED = ("_id bigint, _held boolean, _classes binary, _tokens bigint, _known b
 
 
 def encode(docs: DataFrame, vocabulary) -> DataFrame:
-    """Per text (``_id``, ``_held``, ``_given``) its class sequence, the sums its frequent words give, and its other words with their counts."""
+    """Per text (``_id``, ``_held``, ``_given``) its class sequence, the sums its frequent words give, and its other words with their counts.
+
+    ``vocabulary`` is a broadcast of the fields of a ``Vocabulary``: plain values, which workers read without this package.
+    """
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
+        v = Vocabulary(**vocabulary.value)
         share = np.log10(v.class_tokens + v.class_words + 1).tolist()  # below a word's count in its class
         known_words = {w: (v.class_of(w), math.log10(c + 1)) for w, c in v.frequent.items()}
         first_ending, end = len(v.own), v.classes - 1
@@ -177,6 +183,9 @@ class Model:
     move: np.ndarray  # K x K
     emit: np.ndarray  # classes x K
 
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.start, self.move, self.emit
+
     @staticmethod
     def seeded(v: Vocabulary, s: Settings) -> Model:
         """Every state begins near the shares of the classes; random factors tell them apart, and states tend to stay."""
@@ -281,13 +290,18 @@ def likelihoods(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions by the scaled forward-backward recursion over whole sequences."""
+def expected_counts(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions by the scaled forward-backward recursion over whole sequences; and log10 P of them all.
+
+    States enter by their ratios only, so the emissions of a class are divided by their largest, and what is left stays near one.
+    """
     states, classes = len(m.start), len(m.emit)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
-    emit_of, space = np.ascontiguousarray(m.emit.T), _Space(states, 2)
+    start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)), 0.0
+    largest = m.emit.max(1)
+    logs, emit_of, space = np.log10(largest), np.ascontiguousarray((m.emit / largest[:, None]).T), _Space(states, 2)
     for chunk in _chunks(sequences):
         p = _Packed.of([sequences[i] for i in chunk])
+        total += float(logs.take(p.codes).sum())
         entries = [None]  # alpha before each stretch
         for stretch in p.stretches[:-1]:
             codes = p.slice(stretch)
@@ -299,6 +313,7 @@ def expected_counts(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray,
             emitted = emit_of.take(codes, axis=1, out=space.array(0, len(codes)), mode="clip")
             alphas = space.array(1, len(codes))
             _, scales = _forward(m, p, stretch, emitted, alphas, entry)
+            total += sum(float(np.log10(c).sum()) for c in scales.values())
             for t in range(stretch[1] - 1, stretch[0] - 1, -1):
                 at, n = p.first[t] - base, p.alive[t]
                 alpha, ends = alphas[:, at:at + n], n - later
@@ -306,7 +321,9 @@ def expected_counts(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray,
                     move += alpha[:, :later] @ ahead.T
                     np.matmul(m.move, ahead, out=beta[:, :later])
                 if ends:  # here sequences end: the states of their last class add up to one
-                    beta[:, later:n] = 1 / alpha[:, later:].sum(0)
+                    last = alpha[:, later:].sum(0)
+                    total += float(np.log10(last).sum())
+                    beta[:, later:n] = 1 / last
                 alpha *= beta[:, :n]  # now the probability of each state
                 ahead, later = emitted[:, at:at + n], n
                 ahead *= beta[:, :n]
@@ -316,23 +333,26 @@ def expected_counts(m: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray,
             for k in range(states):
                 emit[k] += np.bincount(codes, weights=alphas[k], minlength=classes)
         start += alphas[:, :p.alive[0]].sum(1)
-    return start, move * m.move, np.ascontiguousarray(emit.T)
+    return start, move * m.move, np.ascontiguousarray(emit.T), total
 
 
-def baum_welch(encoded: DataFrame, v: Vocabulary, s: Settings) -> Model:
-    """Rounds of expected counts over the stored class sequences of all training texts."""
+def baum_welch(encoded: DataFrame, v: Vocabulary, s: Settings, history: list[float] | None = None) -> Model:
+    """Rounds of expected counts over the stored class sequences of all training texts.
+
+    ``history`` gets log10 P of the class sequences under the model that each round began with.
+    """
     spark = encoded.sparkSession
     model = Model.seeded(v, s)
     train = encoded.filter(~F.col("_held")).select("_classes")
     k = s.states
-    for _ in range(s.early_rounds + s.full_rounds):
-        shared = spark.sparkContext.broadcast(model)
+    for _ in range(s.rounds):
+        shared = spark.sparkContext.broadcast(model.parts())
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, total = shared.value, None
+            m, total = Model(*shared.value), None
             for b in batches:
                 sequences = [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()]
-                found = np.concatenate([x.ravel() for x in expected_counts(m, sequences)]) if sequences else None
+                found = np.concatenate([np.ravel(x) for x in expected_counts(m, sequences)]) if sequences else None
                 total = found if total is None else total if found is None else total + found
             if total is not None:
                 at = np.flatnonzero(total)
@@ -340,9 +360,11 @@ def baum_welch(encoded: DataFrame, v: Vocabulary, s: Settings) -> Model:
 
         sums = train.mapInArrow(expect, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
         if sums:
-            total = np.zeros(k + k * k + v.classes * k)
+            total = np.zeros(k + k * k + v.classes * k + 1)
             total[[x.at for x in sums]] = [x.n for x in sums]
-            model = Model.from_counts(total[:k], total[k:k + k * k].reshape(k, k), total[k + k * k:].reshape(v.classes, k), v)
+            if history is not None:
+                history.append(float(total[-1]))
+            model = Model.from_counts(total[:k], total[k:k + k * k].reshape(k, k), total[k + k * k:-1].reshape(v.classes, k), v)
         shared.destroy()
     return model
 
@@ -363,7 +385,8 @@ def hmm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "t
     counts = store(count_words(rows.filter(~F.col("_held")).select("_given")))
     ends = rows.filter(~F.col("_held")).count()
     v = learn_vocabulary(counts, ends, settings)
-    encoded = store(encode(rows, spark.sparkContext.broadcast(v)).withColumn("_row", F.monotonically_increasing_id()))
+    encoded = encode(rows, spark.sparkContext.broadcast(vars(v))).withColumn("_row", F.monotonically_increasing_id())
+    encoded = store(encoded.sortWithinPartitions(F.desc("_tokens")))  # texts of like length are gone through together
     model = baum_welch(encoded, v, settings)
 
     # words outside the broadcast list meet their counts by a join; a text names each of them once
@@ -372,12 +395,12 @@ def hmm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "t
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("_more"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_also"))
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.parts())
 
     @F.arrow_udf("double")
     def sequence_score(classes: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for c in classes:
-            yield pa.array(likelihoods(shared.value, [np.frombuffer(x, np.uint16) for x in c.to_pylist()]), pa.float64())
+            yield pa.array(likelihoods(Model(*shared.value), [np.frombuffer(x, np.uint16) for x in c.to_pylist()]), pa.float64())
 
     scored = encoded.select("_row", "_id", "_held", "_tokens", "_known", "_sum", "_inner", "_outer", sequence_score("_classes").alias("_sequence"))
     scored = scored.join(rare, "_row", "left")
