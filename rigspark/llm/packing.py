@@ -1,17 +1,16 @@
 """Best-fit packing with certified bin counts.
 
 Documents become token pieces of at most ``capacity`` tokens. Pieces are dealt evenly over partitions; each packs its pieces by best-fit
-decreasing and knows from dual feasible functions how few bins its lengths can need. A partition that meets its bound is certified. While
-the bins of all partitions exceed the bound of the whole table, partitions hand the pieces of their least full bins to a common partition
-of a sixteenth of the number, which packs them again and keeps the result only if it needs fewer bins. Partitions, exchanges and
-histograms (one count per length) are all of bounded size.
+decreasing and knows from dual feasible functions how few bins its lengths can need. A partition that meets its bound is certified: its
+bins settle, but for the few emptiest ones, which have the room of one sequence together. A partition with a gap hands over all its bins with room. While the bins in all exceed the bound of
+the whole table, the bins handed over are dealt over further partitions, whole bins each, which pack their pieces again and keep the result
+only if it needs fewer bins; that ends when a turn gains nothing. Partitions and histograms (one count per length) are of bounded size.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,8 @@ from .base import bounded_batches, query, store, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Pieces a partition packs at once, partitions that exchange with each other, and bins each hands over.
-PARTITION_PIECES, FAN, HANDED_BINS = 16_384, 16, 64
+#: Pieces a partition packs at once, and how many times that an exchange packs: bins are saved in larger company.
+PARTITION_PIECES, EXCHANGE = 16_384, 4
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -58,17 +57,12 @@ class Encoder:
         return np.array(self.encoding.encode(text or "", allowed_special=self.allowed, disallowed_special=()), "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path, added=True)
-
-
 def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Cut each document's ids, the separator at the end, into pieces: the first takes the remainder, the others are full."""
     bounded_batches(docs.sparkSession, mb=8)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, encoder = np.uint32(SEPARATOR).tobytes(), _encoder(vocabulary)
+        end, encoder = np.uint32(SEPARATOR).tobytes(), Encoder(vocabulary, added=True)
         for b in batches:
             ids, pieces, starts, lengths, crcs = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -134,8 +128,9 @@ def best_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> tuple[l
     return bins, offsets, left
 
 
-def _repack(table_: pa.Table, turn: int, capacity: int, hand: bool) -> pa.Table:
-    """Pack one partition's pieces; ``open`` marks those of the bins it hands over."""
+def _repack(table_: pa.Table, turn: int, capacity: int) -> pa.Table:
+    """Pack one partition's pieces; ``open`` marks those of the bins it hands over: all with room, or, if its bound certifies it, only so
+    many of the emptiest ones as have the room of one sequence together (less can't save a sequence elsewhere)."""
     length = table_.column("length").to_numpy()
     order = np.lexsort((table_.column("_row").to_numpy(), -length))
     table_ = table_.take(pa.array(order))
@@ -150,19 +145,20 @@ def _repack(table_: pa.Table, turn: int, capacity: int, hand: bool) -> pa.Table:
             sequence, offset = old, table_.column("offset").to_numpy()
             used = {s: length[old == s].sum() for s in np.unique(old)}
             room = capacity - np.array([used[s] for s in old])
-    opened = np.zeros(len(length), bool)
-    if hand:
-        names, first = np.unique(sequence, return_index=True)
-        least = names[np.argsort(-room[first], kind="stable")][:HANDED_BINS]
-        opened = np.isin(sequence, least) & (room > 0)
+    names, first = np.unique(sequence, return_index=True)
+    opened = room > 0
+    if len(names) == bin_bound(*np.unique(length, return_counts=True), capacity):
+        emptiest = np.argsort(-room[first], kind="stable")
+        some = np.searchsorted(np.cumsum(room[first][emptiest]), capacity) + 1
+        opened &= np.isin(sequence, names[emptiest[:some]])
     for name, values in (("sequence_id", sequence), ("offset", offset), ("open", opened)):
         table_ = table_.set_column(table_.schema.get_field_index(name), name, pa.array(values))
     return table_
 
 
-def _packer(turn: int, capacity: int, hand: bool):
+def _packer(turn: int, capacity: int):
     def work(part: pa.Table) -> pa.Table:
-        return _repack(part, turn, capacity, hand)
+        return _repack(part, turn, capacity)
     return work
 
 
@@ -177,24 +173,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"))  # at most ``capacity`` rows
     histogram = np.array([(r.length, r.n) for r in by_length.collect()], np.int64).reshape(-1, 2)
     bound = bin_bound(histogram[:, 0], histogram[:, 1], capacity)
-    parts = max(1, -(-total // partition_pieces))
     schema = f"{PIECES}, _row bigint, _part bigint, sequence_id bigint, offset bigint, open boolean"
-    state = (rows.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts))).withColumn("sequence_id", F.lit(0).cast("bigint"))
+    state = (rows.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-total // partition_pieces))))).withColumn("sequence_id", F.lit(0).cast("bigint"))
              .withColumn("offset", F.lit(0).cast("bigint")).withColumn("open", F.lit(True)))
-    done, turn = None, 0
+    done, settled_bins, before, turn = None, 0, None, 0
     while True:
-        placed = store(state.groupBy("_part").applyInArrow(_packer(turn, capacity, parts > 1), schema))
-        settled = placed if parts == 1 else placed.filter(~F.col("open"))
-        if parts > 1:
-            bins = placed.groupBy("sequence_id").agg(F.lit(1).alias("one")).count() + (done_bins if turn else 0)
-            if bins <= bound:
-                settled, parts = placed, 1
-        done = settled if done is None else done.unionAll(settled)
-        if parts == 1:
+        placed = store(state.groupBy("_part").applyInArrow(_packer(turn, capacity), schema))
+        # every bin has one piece at offset 0
+        found = {r.open: (r.pieces, r.bins) for r in placed.groupBy("open").agg(F.count(F.lit(1)).alias("pieces"), F.sum((F.col("offset") == 0).cast("int")).alias("bins")).collect()}
+        open_pieces, open_bins = found.get(True, (0, 0))
+        bins = settled_bins + open_bins + found.get(False, (0, 0))[1]
+        if bins <= bound or bins == before or open_bins < 2:
+            done = placed if done is None else done.unionAll(placed)
             break
-        done_bins = bins - placed.filter("open").select("sequence_id").distinct().count()
-        parts, turn = -(-parts // FAN), turn + 1
-        state = placed.filter("open").withColumn("_part", F.floor(F.col("_part") / FAN).cast("bigint"))
+        settled = placed.filter(~F.col("open"))
+        done = settled if done is None else done.unionAll(settled)
+        settled_bins, before, turn = bins - open_bins, bins, turn + 1
+        parts = max(1, -(-open_pieces // (EXCHANGE * partition_pieces)))
+        state = placed.filter("open").withColumn("_part", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(parts)))
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
