@@ -16,12 +16,13 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .base import bounded_batches, given_id, query, sort_id, store, table, text_key
+from .base import bounded_batches, query, store, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # after bytes.lower(), which changes A-Z only
 PIECE_WORDS = 4096
+MATCHES = 65_536  # windows verified at a time
 SCAN = "struct<n_words:bigint,hits:array<int>,items:array<string>>"
 
 
@@ -31,28 +32,31 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Windows of a part of the benchmark: word numbers (0 is any other word), and per length the sorted hashes and the exact windows."""
+    """Windows of a part of the benchmark: word numbers (0 is any other word), the numbers of all its words in a row, the items and where
+    they begin, and per window length the sorted window hashes with the windows' places in the row: some 16 bytes a word."""
 
     numbers: dict[bytes, int]
-    windows: dict[int, tuple[np.ndarray, dict[bytes, list[str]]]]
+    row: np.ndarray
+    names: list[str | None]
+    begins: np.ndarray
+    windows: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def build(items: list[tuple[str | None, list[bytes]]], n: int) -> Block:
         numbers: dict[bytes, int] = {}
-        exact: dict[int, dict[bytes, set[str]]] = {}
-        for item, words in items:
-            ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.uint32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                at = exact.setdefault(size, {}).setdefault(ids[i:i + size].tobytes(), set())
-                if item is not None:
-                    at.add(item)
+        row = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for _, words in items for w in words), np.uint32)
+        sizes = np.array([len(words) for _, words in items], np.int64)
+        begins = np.cumsum(sizes) - sizes
         windows = {}
-        for size, found in exact.items():
-            rows = np.frombuffer(b"".join(found), np.uint32).reshape(-1, size)
-            hashes = np.sort(_hash([rows[:, k] for k in range(size)]))
-            windows[size] = (hashes, {k: sorted(v) for k, v in found.items()})
-        return Block(numbers, windows)
+        for size in np.unique(np.minimum(sizes, n)).tolist():
+            if size:
+                long = np.flatnonzero(sizes >= n if size == n else sizes == size)
+                each = sizes[long] - size + 1
+                places = np.repeat(begins[long] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                hashes = _hash([row[places + k] for k in range(size)])
+                order = np.argsort(hashes, kind="stable")
+                windows[size] = (hashes[order], places[order])
+        return Block(numbers, row, [name for name, _ in items], begins, windows)
 
     def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[int]], list[list[str]]]:
         """Per text: its words, the numbers of the words that lie in a hit, and the items hit."""
@@ -64,21 +68,35 @@ class Block:
         items: list[set[str]] = [set() for _ in texts]
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         marked = np.zeros(len(ids) + 1, np.int64)
-        for size, (hashes, exact) in self.windows.items():
+        for size, (hashes, places) in self.windows.items():
             if len(ids) < size:
                 continue
             starts = np.flatnonzero(known[size:] - known[:-size] == size)  # windows of benchmark words only
             if not len(starts):
                 continue
             h = _hash([ids[starts + k] for k in range(size)])
-            starts = starts[hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h]
+            low = np.searchsorted(hashes, h)
+            on = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
+            starts, low, h = starts[on], low[on], h[on]
             doc = np.searchsorted(ends, starts, side="right")
-            for i, d in zip(starts.tolist(), doc.tolist()):
-                found = exact.get(ids[i:i + size].tobytes()) if i + size <= ends[d] else None
-                if found is not None:
-                    marked[i] += 1
-                    marked[i + size] -= 1
-                    items[d].update(found)
+            inside = starts + size <= ends[doc]
+            starts, low, h, doc = starts[inside], low[inside], h[inside], doc[inside]
+            for at in range(0, len(starts), MATCHES):  # a window may stand in many items
+                a, d = starts[at:at + MATCHES], doc[at:at + MATCHES]
+                each = np.searchsorted(hashes, h[at:at + MATCHES], side="right") - low[at:at + MATCHES]
+                which = np.repeat(np.arange(len(a)), each)
+                place = places[np.repeat(low[at:at + MATCHES] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                same = np.ones(len(which), bool)
+                for k in range(size):
+                    same &= ids[a[which] + k] == self.row[place + k]
+                which, place = which[same], place[same]
+                found = np.unique(a[which])
+                np.add.at(marked, found, 1)
+                np.add.at(marked, found + size, -1)
+                item = np.searchsorted(self.begins, place, side="right") - 1
+                for x, i in np.unique(np.stack([d[which], item], 1), axis=0).tolist() if len(which) else ():
+                    if self.names[i] is not None:
+                        items[x].add(self.names[i])
         at = np.flatnonzero(np.cumsum(marked[:-1]) > 0)
         for i, d in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist()):
             hits[d].append(i - (int(ends[d]) - counts[d]))
@@ -93,8 +111,8 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def blocks_of(bench: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text", block_mb: float = 16) -> list:
-    """The benchmark as broadcast blocks of about ``block_mb`` of text each.
+def blocks_of(bench: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text", block_mb: float = 16) -> tuple[int, Iterator]:
+    """How many broadcast blocks of about ``block_mb`` of text the benchmark needs, and the blocks, each made when it is asked for.
 
     Null or wordless items have no window. Equal ids are one item. An item without an id still marks words, and is named nowhere.
     """
@@ -116,16 +134,20 @@ def blocks_of(bench: DataFrame, n: int = 10, id_col: str = "item_id", text_col:
     size = cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-size // int(block_mb * (1 << 20))))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("item", "at"), F.lit(n_blocks)))
-    for k in range(n_blocks):
-        rows = cut.filter(F.col("block") == k).select("item", "words").collect()  # bounded by block_mb
-        yield spark.sparkContext.broadcast(Block.build([(r.item, bytes(r.words).split(b" ")) for r in rows], n))
+
+    def blocks() -> Iterator:
+        for k in range(n_blocks):
+            rows = cut.filter(F.col("block") == k).select("item", "words").collect()  # bounded by block_mb
+            # plain values, which workers read without this package
+            yield spark.sparkContext.broadcast(vars(Block.build([(r.item, bytes(r.words).split(b" ")) for r in rows], n)))
+    return n_blocks, blocks()
 
 
 def _scanner(block):
     @F.arrow_udf(SCAN)
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            counts, hits, items = block.value.scan(t.cast(pa.binary()).to_pylist())
+            counts, hits, items = Block(**block.value).scan(t.cast(pa.binary()).to_pylist())
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())),
                                               pa.array(items, pa.list_(pa.string()))], ["n_words", "hits", "items"])
     return scan
@@ -139,23 +161,23 @@ def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
     * Long texts are scanned whole; a task holds one batch of bounded size, or one long text.
     """
     bounded_batches(docs.sparkSession)
-    blocks = list(blocks_of(bench, n, block_mb=block_mb))
-    if len(blocks) == 1:
-        out = docs.select(F.col(id_col).alias("_id"), _scanner(blocks[0])(F.col(text_col)).alias("_scan"))
+    n_blocks, blocks = blocks_of(bench, n, block_mb=block_mb)
+    if n_blocks == 1:
+        out = docs.select(F.col(id_col).alias("_id"), _scanner(next(blocks))(F.col(text_col)).alias("_scan"))
         return out.select(F.col("_id").alias(id_col), "_scan.n_words", "_scan.hits", "_scan.items")
-    # several blocks: each pass is stored, the hits of a document are put together; rows equal in id and text share a result
-    keyed = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("_given"))
-    found = None
-    for b in blocks:
-        one = store(keyed.select("_id", "_text", _scanner(b)("_given").alias("_scan"))).select("_id", "_text", "_scan.*").filter(F.size("hits") > 0)
-        found = one if found is None else found.unionAll(one)
-    found = found.groupBy("_id", "_text").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = store(keyed.select("_id", "_text", _scanner(blocks[0])("_given")["n_words"].alias("n_words")))
-    out = counted.join(found, ["_id", "_text"], "left")
-    return out.select(given_id(F.col("_id")).alias(id_col), "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"),
-                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_given"))
+    return _all_hits(rows, blocks).select(F.col("_id").alias(id_col), "n_words", F.array_sort("_hits").alias("hits"), F.array_sort("_items").alias("items"))
+
+
+def _all_hits(rows: DataFrame, blocks: Iterator) -> DataFrame:
+    """Rows with the hits and items of all blocks (``n_words``, ``_hits``, ``_items``): one stored pass a block, one block alive at a time."""
+    d = rows.withColumns({"n_words": F.lit(0).cast("bigint"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    for block in blocks:
+        scanned = d.withColumn("_scan", _scanner(block)("_given"))
+        d = store(scanned.withColumns({"n_words": F.col("_scan.n_words"), "_hits": F.array_union("_hits", "_scan.hits"),
+                                       "_items": F.array_union("_items", "_scan.items")}).drop("_scan"))
+        block.destroy()
+    return d
 
 
 def _without(raw: bytes, hits: list[int]) -> bytes:
@@ -177,27 +199,30 @@ def _without(raw: bytes, hits: list[int]) -> bytes:
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "document", n: int = 10, text_col: str = "text", block_mb: float = 16) -> DataFrame:
     """Remove contaminated documents (``remove="document"``) or the hit words and what lies between them (``"span"``). All columns stay.
 
-    Null texts, repeated rows and extra columns pass through unchanged. With spans, hits of a later block are looked for in what
-    earlier blocks left.
+    Null texts, repeated rows and extra columns pass through unchanged. Hits are looked for in the whole given text by all blocks, then cut
+    at once, so ``block_mb`` does not change the result.
     """
     if remove not in ("document", "span"):
         raise ValueError(f"remove must be 'document' or 'span', not {remove!r}")
     bounded_batches(docs.sparkSession)
-    for block in blocks_of(bench, n, block_mb=block_mb):
+    n_blocks, blocks = blocks_of(bench, n, block_mb=block_mb)
+    if n_blocks == 1:
         if remove == "document":
-            docs = docs.filter(F.size(_scanner(block)(docs[text_col])["hits"]) == 0)
-        else:
-            docs = docs.withColumn(text_col, _cutter(block)(docs[text_col]))
-    return docs
-
-
-def _cutter(block) -> Column:
+            return docs.filter(F.size(_scanner(next(blocks))(docs[text_col])["hits"]) == 0)
+        return docs.withColumn(text_col, _cutter()(docs[text_col], _scanner(next(blocks))(docs[text_col])["hits"]))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_given"))
+    found = _all_hits(rows, blocks)
+    if remove == "document":
+        found = found.filter(F.size("_hits") == 0)
+        return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    text = _cutter()("_given", "_hits")
+    return found.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _cutter():
     @F.arrow_udf("string")
-    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for t in texts:
-            raw = t.cast(pa.binary()).to_pylist()
-            _, hits, _ = block.value.scan(raw)
-            yield pa.array([_without(r, h) if h else r for r, h in zip(raw, hits)], pa.binary()).cast(pa.string())
+    def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([_without(r, h) if h else r for r, h in zip(texts.cast(pa.binary()).to_pylist(), hits.to_pylist())], pa.binary()).cast(pa.string())
     return cut
 
 

@@ -57,16 +57,16 @@ def test_training_runs_through_a_long_text_once(spark):
     sequence = np.random.default_rng(3).integers(0, 5, 70_000).astype(np.uint16)
     counts = np.bincount(sequence, minlength=5).astype(float)
     v = hmm.Vocabulary(70_000, 5, 1, {}, {}, 4, counts, np.ones(5))
-    settings = hmm.Settings(states=3, early_rounds=0, full_rounds=1)
+    settings = hmm.Settings(states=3, rounds=1)
     table = spark.createDataFrame([(False, bytearray(sequence.tobytes()), 0)], "_held boolean, _classes binary, _row bigint")
     got = hmm.baum_welch(table, v, settings)
-    want = hmm.Model.from_counts(*hmm.expected_counts(hmm.Model.seeded(v, settings), [sequence]), v)
+    want = hmm.Model.from_counts(*hmm.expected_counts(hmm.Model.seeded(v, settings), [sequence])[:3], v)
     assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit)
 
 
 def test_scores_do_not_depend_on_the_layout(spark, data):
     texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
-    settings = hmm.Settings(states=3, early_rounds=3, full_rounds=0)
+    settings = hmm.Settings(states=3, rounds=3)
     a, b = ({r.doc_id: r.score for r in hmm.hmm_scores(t, held_out("doc_id", 7, 2), settings=settings).collect()} for t in (texts.coalesce(1), texts.repartition(7)))
     assert a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a], rtol=1e-7)
 
@@ -79,7 +79,7 @@ def test_long_sequences_stay_finite():
 @pytest.mark.parametrize("frequent", [0, 3, 1000])
 def test_scores_on_awkward_rows(spark, frequent):
     table = docs(spark)
-    got = hmm.hmm_scores(table, held_out("doc_id", 7, 2), settings=hmm.Settings(states=2, own_words=2, ending_classes=5, frequent_words=frequent, early_rounds=1, full_rounds=1)).collect()
+    got = hmm.hmm_scores(table, held_out("doc_id", 7, 2), settings=hmm.Settings(states=2, own_words=2, ending_classes=5, frequent_words=frequent, rounds=2)).collect()
     rows = [(i, (t or "").encode().lower().split() + [b" "], zlib.crc32(str("" if i is None else i).encode()) % 7 == 2) for i, t in TEXTS]
     c = Counter(w for _, words, held in rows if not held for w in words)
     n, v = sum(c.values()), len(c)
@@ -91,7 +91,7 @@ def test_scores_on_awkward_rows(spark, frequent):
 def test_words_of_a_class_share_all_of_it(spark):
     """The model is a distribution: the probabilities of all one-word texts over a closed class, and of the unseen rest, add up."""
     table = spark.createDataFrame([(k, "ab cb db ab") for k in range(1, 9)], "doc_id bigint, text string")
-    settings = hmm.Settings(states=2, own_words=1, ending_classes=1, frequent_words=10, early_rounds=0, full_rounds=2)
+    settings = hmm.Settings(states=2, own_words=1, ending_classes=1, frequent_words=10, rounds=2)
     asked = spark.createDataFrame([(100, "ab"), (101, "cb"), (102, "db"), (103, "zz"), (104, "")], "doc_id bigint, text string")
     got = {r.doc_id: 10 ** r.score for r in hmm.hmm_scores(table.unionAll(asked), F.col("doc_id") >= 100, settings=settings).collect() if r.doc_id >= 100}
     v = hmm.learn_vocabulary(hmm.count_words(table.select("text")), 8, settings)

@@ -96,8 +96,9 @@ def test_language(spark):
 def test_bundle_equals_definition():
     text = "Ab, caé ab!"
     grams = [w[i:i + 3] for w in (" ab ", " caé ", " ab ") for i in range(len(w) - 2)]
-    want = sum(np.roll(language._letter(ord(a), 64), 2).astype(int) * np.roll(language._letter(ord(b), 64), 1) * language._letter(ord(c), 64) for a, b, c in grams)
-    got, lettered = language.bundle([None, text, "1"], 64)
+    known = language.Letters(64)
+    want = sum(np.roll(known.vector(ord(a)), 2).astype(int) * np.roll(known.vector(ord(b)), 1) * known.vector(ord(c)) for a, b, c in grams)
+    got, lettered = language.bundle([None, text, "1"], known)
     assert (got[1] == want).all() and lettered.tolist() == [False, True, False] and not got[[0, 2]].any()
 
 
