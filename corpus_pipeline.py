@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rigspark.llm.base import held_out, store, table
 from rigspark.llm.decontaminate import decontaminate
 from rigspark.llm.exact_dedup import exact_dedup
 from rigspark.llm.jaccard_join import near_dedup
-from rigspark.llm.language import UNKNOWN, language_of, train_languages
+from rigspark.llm.language import language_of, train_languages
 from rigspark.llm.packing import pack_documents
 
 
+#: A text of so many characters whose cosine with every learned language is below this is in none of them; shorter ones tell too little.
+LEAST_COSINE, ENOUGH_CHARS = 0.05, 200
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents in which no language can be told: null texts and texts without a letter."""
-    judge = language_of(train_languages(docs.filter(~held_out("doc_id", 3, 1))))
-    return docs.filter(judge(docs["text"])["lang"] != UNKNOWN)
+    """Reject null texts, texts without a letter, and texts of ENOUGH_CHARS that are like no learned language (noise, other languages).
+
+    Where no row has a language to learn from, nothing can be unlike it: texts with a letter stay.
+    """
+    learned = train_languages(docs.filter(~held_out("doc_id", 3, 1)))
+    judged = language_of(learned)(docs["text"])
+    keep = judged["lettered"]
+    if learned:
+        keep = keep & ((judged["score"] >= LEAST_COSINE) | (F.char_length(docs["text"]) < ENOUGH_CHARS))
+    return docs.filter(keep)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
