@@ -175,7 +175,7 @@ p{i} AS (SELECT p.* REPLACE (least(p.d, sqrt(power(p.c-b.c, 2) + power(p.l-b.l,
   round(u_cof, 9) AS uncertainty_cof, round(u_fai, 9) AS uncertainty_fai, round(d, 8) AS distance, round(n, 8) AS norm_distance, round(score, 8) AS score FROM pk"""))
 def doe_sequential(spark, sf):
     d, g, cands = candidates(spark, sf)
-    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g, by="ester", carry=["uncertainty_cof", "uncertainty_fai"])
+    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g, by="ester", carry=["uncertainty_cof", "uncertainty_fai"], distance="distance")
     return rounded(picks, 8, uncertainty_cof=9, uncertainty_fai=9)
 
 
@@ -183,7 +183,7 @@ def doe_sequential(spark, sf):
   round(3e-2 + 4e-4*pk.load_n + 5e-2*pk.conc + 2e-1/ln(v.time_s), 8) AS cof FROM pk, v WHERE v.run_id = (SELECT min(run_id) FROM v)"""))
 def doe_curves(spark, sf):
     d, g, cands = candidates(spark, sf)
-    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g, by="ester", carry=["uncertainty_cof", "uncertainty_fai"])
+    picks = dc.doe_sequential(rl.novel(cands, d), d, scale_on=g, by="ester", carry=["uncertainty_cof", "uncertainty_fai"], distance="distance")
     first = d.agg(F.min("run_id")).first()[0]
     return rounded(dc.doe_curves(drifting(), picks, d, first), 8, time_s=6)
 
@@ -259,6 +259,16 @@ def validation_point(spark, sf):
     return rounded(curves, time_s=6)
 
 
+@query("validation_value", """SELECT 'plane' AS model, round(3e-2 + 4e-4*45e0 + 5e-2*2e-1, 9) AS cof, round(7e-1 + 2e-3*45e0 + 1e-3*60e0, 9) AS fai
+UNION ALL SELECT 'flag', round(6e-2, 9), round(11e-1, 9) UNION ALL SELECT 'drift', round(3e-2 + 4e-4*45e0 + 5e-2*2e-1 + 2e-1/ln(7050e0), 9), round(7e-1 + 2e-3*45e0 + 1e-1/ln(7050e0), 9)""")
+def validation_value(spark, sf):
+    """What the models say at the validation setpoint once it is steady."""
+    d = valid(spark, sf)
+    models = {n: m for n, m in stubs().items() if n != "level"} | {"drift": drifting()}
+    _, one = dc.validate_at(models, d, {"load_n": 45, "temp_c": 60, "conc": 0.2, "ester": 0}, d.agg(F.min("run_id")).first()[0])
+    return rounded(one)
+
+
 @query("partial_dependence", with_v(""", q AS (SELECT quantile_cont(load_n, 0.05) AS a, quantile_cont(load_n, 0.95) AS b FROM v),
 g AS (SELECT a + i*((b-a)/19e0) AS l FROM q, (SELECT unnest(range(20)) AS i))
 SELECT round(l, 6) AS load_n, round(avg(3e-2 + 4e-4*l + 5e-2*conc + 1e-5*l*temp_c), 9) AS mean_pred, count(*) AS n_rows FROM g, v GROUP BY l"""))
@@ -302,7 +312,7 @@ ph AS (SELECT ro.seq, ro.ester, 'load_n' AS feature, ro.load_n AS value, 4e-4*(r
 def attributions(spark, sf):
     d = valid(spark, sf)
     model = stub("3e-2 + 4e-4*load_n + 5e-2*conc + 1e-4*temp_c", "load_n")
-    return d, ex.shapley(model, d, _KEYS, ex.sample_rows(d, 10, "seq", 7), permutations=4, key="seq")
+    return d, ex.shapley(model, d, _KEYS, ex.sample_rows(d, 10, "seq", 7), permutations=4, key="seq", closed=True)
 
 
 @query("shapley", with_v(_SH + " SELECT seq, feature, round(phi, 9) AS phi FROM ph"))

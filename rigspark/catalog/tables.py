@@ -367,3 +367,22 @@ def vif_select(spark, sf):
     model = VifSelector(inputCols=list(ALL_FEATURES)).fit(d)
     return spark.createDataFrame([(c, c in model.kept) for c in ALL_FEATURES], "feature string, kept boolean")
 
+
+
+_TRIO = ["hertz_mpa", "load_n", "load_n_div_temp_c"]
+_HZ = "3e0*load_n/(2e0*pi()*power(cbrt(3e0*load_n*5e0/(4e0*(210000e0/(2e0*(1e0-9e-2))))), 2))"
+
+
+# the worst free column goes while it is inflated; the load may not go
+@query("vif_prune", with_v(f""", z AS (SELECT {_HZ} AS h, load_n AS l, load_n/(temp_c + 1e-6) AS q FROM v),
+c AS (SELECT corr(h, l) AS hl, corr(h, q) AS hq, corr(l, q) AS lq FROM z), d AS (SELECT *, 1 + 2*hl*hq*lq - hl*hl - hq*hq - lq*lq AS det FROM c),
+o AS (SELECT *, (1-lq*lq)/det AS vh, (1-hl*hl)/det AS vq FROM d),
+t AS (SELECT *, CASE WHEN greatest(vh, vq) <= 5 THEN 'none' WHEN vh >= vq THEN 'h' ELSE 'q' END AS gone FROM o),
+k AS (SELECT gone <> 'h' AND NOT (gone = 'q' AND 1/(1-hl*hl) > 5) AS h, gone <> 'q' AND NOT (gone = 'h' AND 1/(1-lq*lq) > 5) AS q FROM t)
+SELECT 'hertz_mpa' AS feature, h AS kept FROM k UNION ALL SELECT 'load_n', true UNION ALL SELECT 'load_n_div_temp_c', q FROM k"""))
+def vif_prune(spark, sf):
+    from ..models.stages import InteractionFeatures, SetpointFeatures, VifSelector
+
+    d = SetpointFeatures().transform(valid(spark, sf))
+    model = VifSelector(inputCols=_TRIO).fit(cut(InteractionFeatures().fit(d).transform(d)))
+    return spark.createDataFrame([(c, c in model.kept) for c in _TRIO], "feature string, kept boolean")

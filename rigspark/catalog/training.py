@@ -70,7 +70,7 @@ def ridge(spark, sf):
 def _family(spark, sf, *names):
     train, test = halves(spark, sf)
     models = {n: fit_model(REGISTRY[n], _SMALL, train, FEATURES) for n in names}
-    return sel.model_scores(models, {"train": train, "test": test}).drop("score_ms")
+    return sel.model_scores(models, {"train": train, "test": test}).drop("score_ms", "n_scored")
 
 
 @query("random_forest")
@@ -135,11 +135,14 @@ _W3 = ", w3 AS (SELECT *, 3e-2 + 4e-4*load_n + 5e-2*conc AS a0, 7e-2 + 1e-5*temp
       "7e-1 + 2e-3*load_n + 1e-3*temp_c AS f0, 12e-1 + 1e-3*temp_c AS f1, 11e-1 + 1e-1*ester AS f2 FROM v)"
 
 
-@query("ensemble_weights", with_v(_W3 + " " + " UNION ALL ".join(
+_MOMENTS = ["g00", "g01", "g02", "g11", "g12", "g22"]
+
+
+@query("ensemble_moments", with_v(_W3 + " " + " UNION ALL ".join(
     f"SELECT 'g{i}{j}' AS term, round(sum(a{i}*a{j} + f{i}*f{j})/count(*), 8) AS value FROM w3" for i in range(3) for j in range(i, 3))
     + "".join(f" UNION ALL SELECT 'b{i}', round(sum(a{i}*cof + f{i}*fai)/count(*), 8) FROM w3" for i in range(3))))
-def ensemble_weights(spark, sf):
-    """The moments the blend weights are solved from; the weights themselves are tested against brute force."""
+def ensemble_moments(spark, sf):
+    """The moments the blend weights are solved from."""
     d = wide_predictions(list(stubs().values()), valid(spark, sf))
     g, b, _, n = sel.gram_sums(d, 3)
     n //= 2
@@ -147,6 +150,26 @@ def ensemble_weights(spark, sf):
     return rounded(spark.createDataFrame(rows, "term string, value double"), 8)
 
 
+# the best blend lies in a corner, on an edge or inside: all seven candidates, the admissible one of least loss
+_BLEND = _W3 + ", mo AS (SELECT " + ", ".join(f"avg(a{g[1]}*a{g[2]} + f{g[1]}*f{g[2]}) AS {g}" for g in _MOMENTS) + ", " + ", ".join(
+    f"avg(a{i}*cof + f{i}*fai) AS b{i}" for i in range(3)) + """ FROM w3),
+ca AS (SELECT *, 1e0 AS w0, 0e0 AS w1, 0e0 AS w2 FROM mo UNION ALL SELECT *, 0, 1, 0 FROM mo UNION ALL SELECT *, 0, 0, 1 FROM mo
+  UNION ALL SELECT * EXCLUDE (t), t, 1-t, 0 FROM (SELECT *, (b0-b1-g01+g11)/(g00-2*g01+g11) AS t FROM mo)
+  UNION ALL SELECT * EXCLUDE (t), t, 0, 1-t FROM (SELECT *, (b0-b2-g02+g22)/(g00-2*g02+g22) AS t FROM mo)
+  UNION ALL SELECT * EXCLUDE (t), 0, t, 1-t FROM (SELECT *, (b1-b2-g12+g22)/(g11-2*g12+g22) AS t FROM mo)
+  UNION ALL SELECT * EXCLUDE (p, q, r, c, d), (c*r-d*q)/(p*r-q*q), (d*p-c*q)/(p*r-q*q), 1 - (c*r-d*q)/(p*r-q*q) - (d*p-c*q)/(p*r-q*q) FROM
+    (SELECT *, g00-2*g02+g22 AS p, g01-g02-g12+g22 AS q, g11-2*g12+g22 AS r, b0-b2-g02+g22 AS c, b1-b2-g12+g22 AS d FROM mo)),
+be AS (SELECT * FROM ca WHERE w0 >= -1e-9 AND w1 >= -1e-9 AND w2 >= -1e-9
+  ORDER BY w0*w0*g00 + w1*w1*g11 + w2*w2*g22 + 2*(w0*w1*g01 + w0*w2*g02 + w1*w2*g12) - 2*(w0*b0 + w1*b1 + w2*b2) LIMIT 1)"""
+
+
+@query("ensemble_weights", with_v(_BLEND + """ SELECT 'plane' AS model, round(w0, 6) + 0e0 AS weight FROM be UNION ALL SELECT 'level', round(w1, 6) + 0e0 FROM be
+  UNION ALL SELECT 'flag', round(w2, 6) + 0e0 FROM be"""))
+def ensemble_weights(spark, sf):
+    weights = sel.ensemble_weights(list(stubs().values()), valid(spark, sf))
+    return rounded(spark.createDataFrame([(n, float(w)) for n, w in zip(stubs(), weights)], "model string, weight double"), 6)
+
+
 @query("ensemble_predict", with_v(_W3 + """ SELECT run_id, seq, round(greatest(5e-1*a0 + 3e-1*a1 + 2e-1*a2, 1e-3), 9) AS pred_cof,
   round(greatest(5e-1*f0 + 3e-1*f1 + 2e-1*f2, 1e-3), 9) AS pred_fai FROM w3"""))
 def ensemble_predict(spark, sf):
@@ -177,12 +200,19 @@ def top_features(spark, sf):
     return rl.top_features(d.select("target", F.col("input").alias("feature"), rnd(F.abs("r")).alias("importance")))
 
 
+def _run_in(spark, sf):
+    d = valid(spark, sf)
+    return sel.run_in_model(ts.run_in_time(d).select("run_id", "run_in_s").join(ts.first_row(d), "run_id"))
+
+
 @query("run_in_model")
 def run_in_model(spark, sf):
-    d = valid(spark, sf)
-    table_ = ts.run_in_time(d).select("run_id", "run_in_s").join(ts.first_row(d), "run_id")
-    _, importance = sel.run_in_model(table_, iterations=20)
-    return importance
+    return _run_in(spark, sf)[1]
+
+
+@query("run_in_trends")
+def run_in_trends(spark, sf):
+    return sel.run_in_trends(_run_in(spark, sf)[0], spark)
 
 
 @query("actual_vs_predicted", with_v(P + """ SELECT run_id, seq, 'plane' AS model, 'cof' AS target, round(cof, 9) AS y, round(greatest(pred, 1e-3), 9) AS pred,

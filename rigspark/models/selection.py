@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.physics import add_features
 from ..operators.prepare import group_shuffle_split, residual_filter
@@ -20,12 +20,18 @@ from ..operators.relational import arg_row
 from ..operators.stats import regression_metrics
 from ..operators.timeseries import first_row, steady_state
 from ..params import ERROR_LIMIT, FOLDS, SEED, SETPOINT, STEADY_AT_SECONDS, TARGETS, TRIALS
+from ..plans.scenarios import as_points, sweep
 from ..scale import attach, ordered_positions, with_positions
 from ..session import cut
 from . import moments
 from .registry import EnsembleModel, ModelSpec, TargetModel, fit_model, long_predictions, sample_params, wide_predictions
 
 
+# The setpoint and the ranges that run-in trends are drawn at.
+RUN_IN_BASE = {"load_n": 100.0, "temp_c": 100.0, "conc": 0.5}
+RUN_IN_RANGES = {"temp_c": (40.0, 120.0), "load_n": (10.0, 200.0), "conc": (0.0, 0.6)}
+
+
 def unclamped(model: Model) -> Model:
     """The model without its lower bound, as validation and training scores use it."""
     return model.unclamped() if hasattr(model, "unclamped") else model
@@ -117,16 +123,33 @@ def param_importance(trials: DataFrame, bins: int = 3) -> DataFrame:
 
 
 def model_scores(models: Mapping[str, Model], splits: Mapping[str, DataFrame], key: str = "row_id", targets: Iterable[str] = TARGETS) -> DataFrame:
-    """R2, RMSE and MAE of every model on every split, and the scoring time of the model. The split ``train`` is scored unclamped."""
+    """R2, RMSE and MAE of every model on every split, and what a timed pass of the model alone took (see ``time_scoring``, over the last split).
+
+    The split ``train`` is scored unclamped.
+    """
     preds = None
     for split, df in splits.items():
         scorers = {n: unclamped(m) for n, m in models.items()} if split == "train" else models
         part = long_predictions(scorers, df.withColumn("split", F.lit(split)), [key, "split"], targets)
         preds = part if preds is None else preds.unionByName(part)
-    start = time.time()
     table = cut(regression_metrics(preds, ["model", "split"]))
-    timings = 1000 * (time.time() - start) / max(1, len(models))
-    return table.withColumn("score_ms", F.lit(timings))
+    timings = time_scoring(models, list(splits.values())[-1], targets)
+    return table.join(F.broadcast(timings), "model", "left").select(*table.columns, "score_ms", "n_scored")
+
+
+def time_scoring(models: Mapping[str, Model], df: DataFrame, targets: Iterable[str] = TARGETS) -> DataFrame:
+    """One timed pass per model: ``model``, ``score_ms``, and ``n_scored``, the rows that Spark observed in that pass.
+
+    The rows are stored first, so that every pass reads the same table; predictions are made and thrown away.
+    """
+    stored, rows = cut(df), []
+    for name, m in models.items():
+        seen = Observation()
+        scored = m.transform(stored).select(*[f"pred_{t}" for t in targets]).observe(seen, F.count(F.lit(1)).alias("n"))
+        start = time.time()
+        scored.write.format("noop").mode("overwrite").save()
+        rows.append((name, 1000 * (time.time() - start), seen.get["n"]))
+    return df.sparkSession.createDataFrame(rows, "model string, score_ms double, n_scored bigint")
 
 
 def steady_accuracy(models: Mapping[str, Model], df: DataFrame, prepare=add_features, at: float = STEADY_AT_SECONDS,
@@ -262,6 +285,16 @@ def run_in_model(runs: DataFrame, label: str = "run_in_s", iterations: int = 300
     return (lambda d: model.transform(va.transform(d)).drop("features")), runs.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def run_in_trends(score, spark, base: Mapping[str, float] = RUN_IN_BASE, n: int = 20) -> DataFrame:
+    """Predicted run-in time while one setpoint variable runs over its range and the others stay at ``base``, for both states: long."""
+    parts = None
+    for var, (lo, hi) in RUN_IN_RANGES.items():
+        at = sweep(as_points(spark, {**base, "ester": 0}), var, lo, hi, n)
+        part = score(at).select(F.lit(var).alias("variable"), "step", F.col(var).alias("value"), "ester", "pred_run_in")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def scored_pairs(models: Mapping[str, Model], df: DataFrame, keys: Sequence[str] = ("row_id",), targets: Iterable[str] = TARGETS) -> DataFrame:
     """Actual, predicted and residual (predicted minus actual) per model and target."""
     return long_predictions(models, df, keys, targets).withColumn("residual", F.col("pred") - F.col("y"))

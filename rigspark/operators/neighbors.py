@@ -23,7 +23,7 @@ from ..session import cut
 MOST_CELLS = 1 << 14
 BLOCK_ROWS = 20_000
 MOST_LEVELS = 24
-LEAST_CELL = 64
+LEAST_CELL = 512
 GRID_DIMENSIONS = 4
 
 
@@ -55,7 +55,7 @@ class Boxes:
 
     def __init__(self, refs: DataFrame, dims: int, n: int, k: int):
         self.levels: list[tuple] = []  # per level: parents, their corners and widths, slices a side, first id
-        most = max(LEAST_CELL, int(n ** 0.5))
+        most = max(LEAST_CELL, int(4 * n ** 0.5))
         boxes, ids = self._stats(refs, F.lit(0).cast("bigint"), dims), 1
         done: list[tuple] = []
         while True:

@@ -12,6 +12,7 @@ from ..scale import as_list, attach, counted, ordered_positions
 from ..session import cut
 
 GRID_POINTS = 1 << 20  # points of a grid made by one task
+FEW_LEVELS = 1024  # levels of an axis that an expression may hold
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, on: str | Iterable[str] = "run_id") -> DataFrame:
@@ -52,7 +53,8 @@ def setpoint_grid(spark: SparkSession, axes: Mapping[str, DataFrame | tuple]) ->
 
     An axis is (first, step, levels), or a table of one column that holds its levels: each distinct one counts once, in ascending order.
     A point's number is read as a mixed-radix number with one digit per axis. Numbers are dealt over all tasks by ``range``, a regular axis
-    is computed from its digit and a table of levels is looked up by it, so no task makes more points than any other.
+    is computed from its digit, a few levels are looked up in an array and a long table of levels is joined by the digit, so no task makes
+    more points than any other.
     """
     levels = {}
     for name, axis in axes.items():
@@ -60,8 +62,12 @@ def setpoint_grid(spark: SparkSession, axes: Mapping[str, DataFrame | tuple]) ->
             levels[name] = (int(axis[2]), axis)
         else:
             one = axis.toDF(name).dropna().distinct()
-            placed = cut(ordered_positions(one, [F.col(name)], pos="_digit").select("_digit", name))
-            levels[name] = (placed.count(), placed)
+            few = [r[0] for r in one.orderBy(name).limit(FEW_LEVELS + 1).collect()]
+            if len(few) <= FEW_LEVELS:
+                levels[name] = (len(few), few)
+            else:
+                placed = cut(ordered_positions(one, [F.col(name)], pos="_digit").select("_digit", name))
+                levels[name] = (placed.count(), placed)
     total = math.prod(n for n, _ in levels.values())
     if total >= 2 ** 63:
         raise OverflowError(f"a grid of {total} points")
@@ -71,6 +77,8 @@ def setpoint_grid(spark: SparkSession, axes: Mapping[str, DataFrame | tuple]) ->
         digit = F.expr(f"(point_id div {stride or 1}L) % {n or 1}L")
         if isinstance(axis, tuple):
             d = d.withColumn(name, F.lit(float(axis[0])) + digit * F.lit(float(axis[1])))
+        elif isinstance(axis, list):
+            d = d.withColumn(name, F.get(F.array(*[F.lit(x) for x in axis]), digit.cast("int")) if axis else F.lit(None))
         else:
             d = attach(d.withColumn("_digit", digit), axis, "_digit").drop("_digit")
     return d.select("point_id", *levels)

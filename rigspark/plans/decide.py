@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.physics import add_features
 from ..functions.rows import near_match
@@ -24,6 +24,7 @@ from .scenarios import neighbours, tail_times
 
 SLICES = 256
 SLICE_ROWS = 1_000_000
+FAR = 1e9  # between groups that must not be neighbours; points lie within a few units
 
 
 def pareto_front(df: DataFrame, x: str = "cof", y: str = "fai", by: str | Iterable[str] = (), slices: int = SLICES,
@@ -133,51 +134,86 @@ def scaled_setpoints(grid: DataFrame, other: DataFrame, cols: Sequence[str] = SE
     return scaler.transform(grid), scaler.transform(other)
 
 
-def sparsity(points: DataFrame, measured: DataFrame, cols: Sequence[str] = SETPOINT, eps: float = RANGE_EPS) -> DataFrame:
-    """Distance of each point to its nearest measured setpoint in grid-scaled space, and that distance range-scaled."""
-    g, m = scaled_setpoints(points, measured, cols)
-    d = cut(nearest_distance(g, m, [f"_s_{c}" for c in cols]))
-    span = d.agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"))
-    d = d.crossJoin(F.broadcast(span)).withColumn("sparsity", (F.col("distance") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(eps)))
+def _state_places(points: DataFrame, other: DataFrame, cols: Sequence[str], by: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both tables on the range that ``points`` have in their own group of ``by`` (a column of a few values); groups lie FAR apart."""
+    cols = [c for c in cols if c != by]
+    ranges = points.groupBy(by).agg(*[f(c).cast("double").alias(f"{e}_{c}") for c in cols for e, f in (("a", F.min), ("b", F.max))]).orderBy(by).collect()
+
+    def placed(d: DataFrame) -> DataFrame:
+        own = F.col(by)
+
+        def pick(value) -> Column:
+            out = F.lit(None).cast("double")
+            for i, r in enumerate(ranges):
+                out = F.when(own == F.lit(r[by]), value(i, r)).otherwise(out)
+            return out
+        scaled = {f"_s_{c}": pick(lambda i, r, c=c: (F.col(c) - F.lit(r[f"a_{c}"])) / F.lit((r[f"b_{c}"] - r[f"a_{c}"]) or 1.0)) for c in cols}
+        return d.withColumns(scaled | {"_s_group": pick(lambda i, r: F.lit(i * FAR))}).filter("_s_group IS NOT NULL")
+    return placed(points), placed(other), [*(f"_s_{c}" for c in cols), "_s_group"]
+
+
+def sparsity(points: DataFrame, measured: DataFrame, cols: Sequence[str] = SETPOINT, eps: float = RANGE_EPS, by: str | None = None) -> DataFrame:
+    """Distance of each point to its nearest measured setpoint in grid-scaled space, and that distance range-scaled.
+
+    With ``by`` each group of points is scaled for itself and meets the measured rows of its own group only; points of a group that was
+    never measured have no distance and are left out.
+    """
+    if by:
+        g, m, places = _state_places(points, measured, cols, by)
+        d = cut(nearest_distance(g, m, places).filter(F.col("distance") < FAR / 2))
+        span = d.groupBy(by).agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"))
+        d = attach(d, span, by)
+    else:
+        g, m = scaled_setpoints(points, measured, cols)
+        d = cut(nearest_distance(g, m, [f"_s_{c}" for c in cols]))
+        span = d.agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"))
+        d = d.crossJoin(F.broadcast(span))
+    d = d.withColumn("sparsity", (F.col("distance") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(eps)))
     return d.select(*points.columns, "distance", "sparsity")
 
 
 def doe_sequential(candidates: DataFrame, measured: DataFrame, n: int = DOE_PICKS, w_u: float = UNCERTAINTY_WEIGHT, w_s: float = SPARSITY_WEIGHT,
                    cols: Sequence[str] = SETPOINT, key: str = "point_id", scale_on: DataFrame | None = None, eps: float = RANGE_EPS,
-                   by: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+                   by: str | None = None, carry: Sequence[str] = (), distance: str | None = None) -> DataFrame:
     """Greedy picks of uncertain and remote points; each pick counts as measured for the next.
 
     With ``by`` (a column of a few values, as the state) every group has picks of its own, measured against its own rows on its own ranges, and all
     groups go through a round together. Groups without measured rows have no picks. ``carry`` names further columns of the picks.
+    ``distance`` names a column of distances to the measured rows on the ranges of ``scale_on``, where they are known (see ``sparsity``).
 
     Distances to the measured set are found once. A pick can only shorten
     them, so later rounds take the minimum with the distance to the pick; the
     range of distances is taken anew over the points still in the pool. The pool is stored once, rounds are expressions over it.
     """
-    group = F.col(by) if by else F.lit(0)
     frame = scale_on if scale_on is not None else candidates
-    ranges = {r["_g"]: r for r in frame.groupBy(group.alias("_g")).agg(
-        *[f(c).cast("double").alias(f"{e}_{c}") for c in cols for e, f in (("a", F.min), ("b", F.max))]).collect()}
-    shift = {g: {c: (r[f"a_{c}"], (r[f"b_{c}"] - r[f"a_{c}"]) or 1.0) for c in cols} for g, r in sorted(ranges.items())}
+    spark = candidates.sparkSession
+    if by:
+        frame_of = {r[by]: r for r in frame.groupBy(by).agg(*[f(c).cast("double").alias(f"{e}_{c}") for c in cols for e, f in (("a", F.min), ("b", F.max))]).collect()}
+    else:
+        frame_of = {0: frame.agg(*[f(c).cast("double").alias(f"{e}_{c}") for c in cols for e, f in (("a", F.min), ("b", F.max))]).first()}
+    group = F.col(by) if by else F.lit(0)
 
-    def scaled(d: DataFrame, g) -> DataFrame:
-        mine = d.filter(group == F.lit(g)) if by else d
-        return mine.withColumns({f"_s_{c}": (F.col(c) - F.lit(shift[g][c][0])) / F.lit(shift[g][c][1]) for c in cols})
+    def place(c: str) -> Column:
+        out = F.lit(None).cast("double")
+        for g, r in frame_of.items():
+            low, high = r[f"a_{c}"] or 0.0, r[f"b_{c}"] or 0.0
+            out = F.when(group == F.lit(g), (F.col(c) - F.lit(low)) / F.lit((high - low) or 1.0)).otherwise(out)
+        return out
 
     places = [f"_s_{c}" for c in cols]
-    pool = None
-    for g in shift:
-        part = nearest_distance(scaled(candidates, g), scaled(measured, g), places, "_d").withColumn("_g", F.lit(g))
-        pool = part if pool is None else pool.unionByName(part)
+    pool = candidates.withColumns({f"_s_{c}": place(c) for c in cols} | {"_g": group})
+    if distance is not None:
+        pool = pool.withColumn("_d", F.col(distance))
+    elif by:
+        pool = pool.join(sparsity(frame, measured, cols, eps, by).select(key, F.col("distance").alias("_d")), key)
+    else:
+        pool = nearest_distance(pool, measured.withColumns({f"_s_{c}": place(c) for c in cols}), places, "_d")
+    pool = cut(pool.drop("distance") if distance is None and "distance" in candidates.columns else pool)
     fields = (f"{by} {candidates.schema[by].dataType.simpleString()}, " if by and by not in cols else "") \
         + f"place int, {key} {candidates.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in cols) \
         + ", uncertainty double, " + "".join(f"{c} double, " for c in carry) + "distance double, norm_distance double, score double"
-    spark = candidates.sparkSession
-    if pool is None:
-        return spark.createDataFrame([], fields)
-    pool = cut(pool)
-    picks, chosen = [], {g: [] for g in shift}
-    for place in range(1, n + 1):
+    picks = []
+    for turn in range(1, n + 1):
         spans = {r["_g"]: r for r in pool.groupBy("_g").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).collect()}
         if not spans:
             break
@@ -190,7 +226,7 @@ def doe_sequential(candidates: DataFrame, measured: DataFrame, n: int = DOE_PICK
         nearer, gone = F.col("_d"), F.lit(False)
         for best in reduce(lambda a, b: a.unionByName(b), tops).collect():
             g = best["_g"]
-            picks.append(((best[by],) if by and by not in cols else ()) + (place, best[key], *[float(best[c]) for c in cols], float(best["uncertainty"]),
+            picks.append(((best[by],) if by and by not in cols else ()) + (turn, best[key], *[float(best[c]) for c in cols], float(best["uncertainty"]),
                          *[float(best[c]) for c in carry], float(best["_d"]), float(best["norm_distance"]), float(best["score"])))
             to_pick = F.sqrt(sum(((F.col(s) - F.lit(best[s])) ** 2 for s in places), F.lit(0e0)))
             nearer = F.when(F.col("_g") == F.lit(g), F.least("_d", to_pick)).otherwise(nearer)
@@ -222,11 +258,7 @@ def design_candidates(preds: DataFrame, grid: DataFrame, measured: DataFrame, st
     own = disagreement(preds, "point_id", state)
     spread = preds.groupBy("point_id").agg(*[F.stddev_pop(F.when(F.col("target") == t, F.col("pred"))).alias(f"uncertainty_{t}") for t in TARGETS],
                                            F.avg(F.when(F.col("target") == TARGETS[0], F.col("pred"))).alias("pred"))
-    remote = None
-    for r in grid.select(state).distinct().orderBy(state).collect():  # the states: a handful
-        part = sparsity(grid.filter(F.col(state) == F.lit(r[0])), measured.filter(F.col(state) == F.lit(r[0])))
-        remote = part if remote is None else remote.unionByName(part)
-    return remote.join(own.drop(state), "point_id").join(spread, "point_id")
+    return sparsity(grid, measured, by=state).join(own.drop(state), "point_id").join(spread, "point_id")
 
 
 def suggest_experiments(models: Mapping[str, Model], grid: DataFrame, measured: DataFrame, n: int = DOE_PICKS, prepare=add_features,
@@ -234,5 +266,25 @@ def suggest_experiments(models: Mapping[str, Model], grid: DataFrame, measured:
     """Next experiments and the safe validation point of each state; both states go through the rounds together."""
     preds = long_predictions(models, prepare(grid.withColumn("time_s", F.lit(STEADY_AT_SECONDS))), ["point_id", state])
     cands = cut(design_candidates(preds, grid, measured, state))
-    picks = doe_sequential(novel(cands, measured), measured, n, scale_on=grid, by=state, carry=[f"uncertainty_{t}" for t in TARGETS])
+    picks = doe_sequential(novel(cands, measured), measured, n, scale_on=grid, by=state, carry=[f"uncertainty_{t}" for t in TARGETS], distance="distance")
     return picks, safe_point(cands, by=state)
+
+
+def validate_at(models: Mapping[str, Model], df: DataFrame, setpoint: Mapping[str, float], template_run: str, prepare=add_features,
+                at: float = STEADY_AT_SECONDS, skip: Iterable[str] = ("knn", "ridge")) -> tuple[DataFrame, DataFrame]:
+    """Measured curve of the first run at a setpoint, predicted curves on the template axis, and predictions at one time.
+
+    Curves are long: ``model`` is "measured" for the run itself.
+    """
+    from .scenarios import as_points
+
+    models = {k: m for k, m in models.items() if k not in set(skip)}
+    run = near_match(df, setpoint).agg(F.min("run_id")).first()[0]
+    actual = df.filter(F.col("run_id") == run).select(F.lit("measured").alias("model"), "time_s", *TARGETS)
+    point = as_points(df.sparkSession, {k: (int(v) if k == "ester" else float(v)) for k, v in setpoint.items()})
+    curve = long_predictions(models, prepare(template_curve(df, template_run, point)), ["step", "time_s"])
+    wide = curve.groupBy("model", "step", "time_s").pivot("target", list(TARGETS)).agg(F.first("pred")).drop("step")
+    one = long_predictions(models, prepare(point.withColumn("time_s", F.lit(float(at)))), ["time_s"])
+    return actual.unionByName(wide.select("model", "time_s", *TARGETS)), one.groupBy("model").pivot("target", list(TARGETS)).agg(F.first("pred"))
+
+

@@ -44,15 +44,32 @@ def sample_rows(df: DataFrame, n: int, key: str = "row_id", seed: int = SEED) ->
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
+def _coalitions(orders: Sequence[Sequence[int]], p: int) -> dict[int, list[int]]:
+    """Sets of features (bit masks) that the orders pass through, with the signed weight that a set's value has for every feature.
+
+    A set counts for the feature that completed it and against the next one; orders that share a set share its value.
+    """
+    weights: dict[int, list[int]] = {}
+    for order in orders:
+        mask = 0
+        for j in order:
+            weights.setdefault(mask, [0] * p)[j] -= 1
+            mask |= 1 << j
+            weights.setdefault(mask, [0] * p)[j] += 1
+    return weights
+
+
 def shapley(model: Model, df: DataFrame, features: Sequence[str], background: DataFrame, permutations: int = 8, sample: int | None = None,
-            seed: int = SEED, key: str = "row_id", value: Column | None = None, prepare=None) -> DataFrame:
+            seed: int = SEED, key: str = "row_id", value: Column | None = None, prepare=None, closed: bool | None = None) -> DataFrame:
     """Additive attributions by sampled feature orders, for any model.
 
-    A row, an order and a background row give a chain of hybrid inputs that
-    turns the background row into the row one feature at a time. All hybrids
-    are scored in one pass. Each one counts positively for the feature just
-    switched and negatively for the next, so chains need no window and the
-    attributions of a row add up to f(row) minus the mean of f(background).
+    An order turns a background row into the row one feature at a time. The
+    inputs on the way depend on the set of features switched so far only, so every
+    (row, background row, set) is scored once for all orders that pass
+    through it, and its value goes to the features with the set's signed weights. The full set is
+    the row itself, scored once. The empty one is the background row: where the prediction depends on ``features`` alone
+    (``closed``; told from the model's own features if not given) it is scored once for all rows.
+    The attributions of a row add up to f(row) minus the mean of f(background).
     All rows are attributed unless ``sample`` asks for a number of them.
     """
     features = list(features)
@@ -62,28 +79,36 @@ def shapley(model: Model, df: DataFrame, features: Sequence[str], background: Da
     while len(orders) < permutations:
         o = rng.sample(range(p), p)
         orders += [o, o[::-1]]
-    orders = orders[:permutations]
-    place = F.array(*[F.array(*[F.lit(o.index(j)) for j in range(p)]) for o in orders])
-    switched = F.array(*[F.array(*[F.lit(features[j]) for j in o]) for o in orders])
+    weights = _coalitions(orders[:permutations], p)
+    if closed is None:
+        closed = prepare is None and set(getattr(model, "features", [None])) <= set(features)
     rows = (df if sample is None else sample_rows(df, sample, key, seed)).select(key, *[c for c in df.columns if c != key])
-    bg, short = counted(background.select(*[F.col(f).alias(f"_b_{f}") for f in features]), BACKGROUND_ROWS)
+    bg, short = counted(background.select(*features), BACKGROUND_ROWS)
     if not short:
         raise ValueError(f"every row meets every background row: give a background of at most {BACKGROUND_ROWS} rows")
     n_bg = bg.count()
-    d = rows.crossJoin(F.broadcast(bg))
-    d = d.withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    d = d.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    mine = F.element_at(place, F.col("_order") + 1)
-    d = d.withColumns({f: F.when(mine[j] < F.col("_step"), F.col(f)).otherwise(F.col(f"_b_{f}")) for j, f in enumerate(features)})
-    d = model.transform(prepare(d) if prepare else d)
     v = value if value is not None else F.col(f"pred_{TARGETS[0]}")
-    seq = F.element_at(switched, F.col("_order") + 1)
-    parts = F.filter(F.array(
-        F.struct(F.when(F.col("_step") > 0, F.try_element_at(seq, F.col("_step"))).alias("feature"), v.alias("f")),
-        F.struct(F.when(F.col("_step") < p, F.try_element_at(seq, F.col("_step") + 1)).alias("feature"), (-v).alias("f"))),
-        lambda s: s["feature"].isNotNull())
-    out = d.select(key, F.explode(parts).alias("_p")).groupBy(key, F.col("_p.feature").alias("feature"))
-    return out.agg((F.sum("_p.f") / F.lit(float(permutations * n_bg))).alias("phi"))
+    full = (1 << p) - 1
+    between = [m for m in sorted(weights) if any(weights[m]) and m != full and (m or not closed)]
+    masks = [full, *between]
+    empty = 0.0
+    if closed:
+        empty = model.transform(bg).agg(F.sum(v)).first()[0] or 0.0
+
+    # one background row, the first, brings the full set along; it stands for all of them
+    numbered = bg.select(*[F.col(f).alias(f"_b_{f}") for f in features]).withColumn(
+        "_first", F.row_number().over(W.orderBy(*[f"_b_{f}" for f in features])) == 1)  # at most BACKGROUND_ROWS rows
+    some, every = (F.array(*[F.lit(i) for i in numbers]) for numbers in (range(1, len(masks)), range(len(masks))))
+    d = rows.crossJoin(F.broadcast(numbered)).withColumn("_set", F.explode(F.when(F.col("_first"), every).otherwise(some)))
+    holds = [F.get(F.array(*[F.lit(bool(m >> j & 1)) for m in masks]), F.col("_set")) for j in range(p)]
+    d = d.withColumns({f: F.when(holds[j], F.col(f)).otherwise(F.col(f"_b_{f}")) for j, f in enumerate(features)})
+    d = model.transform(prepare(d) if prepare else d)
+    each = [F.get(F.array(*[F.lit(float(weights[m][j] * (n_bg if m == full else 1))) for m in masks]), F.col("_set")) for j in range(p)]
+    sums = d.groupBy(key).agg(*[F.sum(w * v).alias(f"_w{j}") for j, w in enumerate(each)])
+    share = F.lit(float(permutations * n_bg))
+    phi = [F.struct(F.lit(f).alias("feature"), ((F.col(f"_w{j}") + F.lit(float(weights[0][j] * empty if closed else 0.0))) / share).alias("phi"))
+           for j, f in enumerate(features)]
+    return sums.select(key, F.explode(F.array(*phi)).alias("_p")).select(key, "_p.*")
 
 
 def shapley_summary(attr: DataFrame) -> DataFrame:

@@ -65,3 +65,54 @@ def stage(df: DataFrame | Callable[[], DataFrame], path: str, settings: object =
     df.write.mode("overwrite").parquet(f"{target}/rows")
     spark.createDataFrame([("done",)], "state string").write.mode("overwrite").text(f"{target}/done")
     return spark.read.parquet(f"{target}/rows")
+
+
+class ModelStore:
+    """Fitted models and what was found with them, in one folder per state of the inputs.
+
+    The folder's name is the fingerprint of ``origin`` and the settings. A thing is there once its marker is: it is written last, so a
+    broken run leaves nothing that counts. ``forget_others`` removes the folders of other states.
+    """
+
+    def __init__(self, origin: DataFrame, path: str, settings: object = None):
+        self.spark, self.root, self.key = origin.sparkSession, path.rstrip("/"), fingerprint(origin, settings)
+        self.folder = f"{self.root}/{self.key}"
+
+    def notes(self, name: str) -> dict | None:
+        """The notes that ``name`` was stored with, or None if it is not stored."""
+        try:
+            return json.loads(self.spark.read.text(f"{self.folder}/{name}/done").first()[0])
+        except AnalysisException:
+            return None
+
+    def mark(self, name: str, notes: dict | None = None) -> None:
+        self.spark.createDataFrame([(json.dumps(notes or {}),)], "notes string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}/done")
+
+    def model(self, name: str, make: Callable[[], tuple[object, dict]], load: Callable[[SparkSession, str], object]) -> tuple[object, dict]:
+        """A model with its notes: loaded if it is stored, else made, saved and marked. A model saves itself by ``save(path)``."""
+        notes, path = self.notes(name), f"{self.folder}/{name}/model"
+        if notes is not None:
+            return load(self.spark, path), notes
+        model, notes = make()
+        model.save(path)
+        self.mark(name, notes)
+        return model, notes
+
+    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{self.folder}/{name}/rows"
+        if self.notes(name) is None:
+            make().write.mode("overwrite").parquet(path)
+            self.mark(name)
+        return self.spark.read.parquet(path)
+
+    def forget_others(self) -> list[str]:
+        """Remove the folders of other states of the inputs; returns their names."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        gone = []
+        for status in files.listStatus(root) if files.exists(root) else []:
+            name = status.getPath().getName()
+            if status.isDirectory() and name != self.key and re.fullmatch("[0-9a-f]{24}", name):
+                files.delete(status.getPath(), True)
+                gone.append(name)
+        return gone
