@@ -133,6 +133,7 @@ def prefix_scores(df: DataFrame, inputs: Sequence[str], alpha: float, sizes: Seq
     Every row is met once per split: its cell is the first prefix that holds it, or the split's held-out rows.
     """
     sizes = sorted(float(s) for s in sizes)
+    df = df.select("run_id", "seq", *inputs, *targets)  # the table may have a split of its own
     draws = cut(group_shuffle_split(df, splits, test, seed))
     counts = cut(df.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")))
     both = counts.join(draws, "run_id").withColumn("_n", F.when(F.col("is_test"), 0).otherwise(F.col("_n")))

@@ -240,7 +240,7 @@ def learning_curve(spec: ModelSpec, params: Mapping, df: DataFrame, features: Se
     Linear families take all splits and sizes from one aggregate of moments.
     """
     sizes = list(sizes if sizes is not None else np.linspace(0.2, 1.0, 10))
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.drop("is_test", "split")
     if spec.linear:
         return _curve(spark, moments.prefix_scores(df, list(features), float(params.get("alpha", 1.0)), sizes, splits, test, seed, targets),
                       df.groupBy("run_id").count().agg(F.avg("count")).first()[0])
