@@ -25,7 +25,7 @@ from .signal import S, smooth  # signal registers the clean_runs SQL first
 from .tables import _TM, P, predictions
 
 FEATURES = ["time_s", "load_n", "temp_c", "conc", "ester"]
-_SMALL = {"n_estimators": 8, "max_depth": 5, "epochs": 12}
+_SMALL = {"n_estimators": 8, "max_depth": 5}
 
 
 def training(spark, sf):

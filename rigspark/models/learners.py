@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.neighbors import knn_join
 from ..params import SEED
 from ..scale import attach
+from ..session import cut
 
 
 class _Regressor(HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -152,7 +153,7 @@ def _gradient(theta, sizes, act, x, y):
 class MlpRegressor(Estimator, _Regressor):
     """Dense net trained by full-batch Adam.
 
-    Each epoch is one Spark job: every task adds up the gradient of its rows,
+    Each epoch is one Spark job, for one net or many (see ``train_nets``): every task adds up the gradient of its rows,
     the sums are added by parameter number in a shuffle, and the driver sees
     one number per parameter. A tenth of the rows (by hash) is held out; the
     best epoch on it wins, and training stops when it no longer improves.
@@ -175,54 +176,107 @@ class MlpRegressor(Estimator, _Regressor):
         self._take(self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> MlpModel:
+        return self.fit_together(df, {None: F.col(self.getLabelCol())}, self.getFeaturesCol())[None]
+
+    def settings(self) -> dict:
         g = self.getOrDefault
-        d = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
-        d = d.withColumn("held", F.pmod(F.xxhash64("x", "y"), F.lit(10)) == 0).persist(StorageLevel.MEMORY_AND_DISK)
-        m = d.filter(~F.col("held")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mu"), F.stddev_pop("y").alias("sd"),
-                                         F.max(F.size("x")).alias("p")).first()
-        n, mu, sd = m["n"], m["mu"], m["sd"] or 1.0
-        sizes = [m["p"], *g(self.layers), 1]
-        act = g(self.activation)
-        rng = np.random.default_rng(g(self.seed))
+        return {"layers": g(self.layers), "act": g(self.activation), "lr": g(self.lr), "l2": g(self.l2), "epochs": g(self.epochs),
+                "patience": g(self.patience), "seed": g(self.seed)}
+
+    def fit_together(self, df: DataFrame, labels: dict, features: str) -> dict:
+        """A net per label over the same rows, trained in the same jobs."""
+        rows = df.select(vector_to_array(features).alias("x"), F.array(*[c.cast("double") for c in labels.values()]).alias("y"), F.lit(-1).alias("fold"))
+        states = train_nets(rows, [{"target": i, **self.settings()} for i in range(len(labels))])
+        return {name: self.model_of(state) for name, state in zip(labels, states)}
+
+    def model_of(self, state: dict) -> MlpModel:
+        model = MlpModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
+        return model._set(state=json.dumps(state))
+
+
+#: Weights of all nets that one job an epoch adds up gradients for.
+STACKED_WEIGHTS = 400_000
+
+
+def train_nets(rows: DataFrame, fits: list[dict]) -> list[dict]:
+    """Train several nets side by side: one Spark job an epoch for all of them, whatever targets, folds and settings they have.
+
+    ``rows`` have inputs ``x``, one number per target ``y``, and ``fold``. A fit names its ``target``, the fold it is trained ``without`` (all
+    rows if absent), the ``shift`` and ``scale`` of its inputs (none if absent), and a net's settings. A tenth of the rows, by the hash of
+    their inputs, is held out of every fit and tells when it stops. A fit gets the same net alone or in company.
+    """
+    rows = cut(rows.withColumn("held", F.pmod(F.xxhash64("x"), F.lit(10)) == 0))
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    targets = rows.agg(F.max(F.size("y"))).first()[0]
+    y = [F.col("y")[t] for t in range(targets)]
+    sums = rows.filter(~F.col("held")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{e}{t}") for t, c in enumerate(y) for e, f in (("m", F.avg), ("v", F.var_pop))])
+    parts = [r.asDict() for r in sums.collect()]
+
+    def start(fit: dict) -> dict:
+        mine, t = [r for r in parts if r["fold"] != fit.get("without")], fit["target"]
+        n = sum(r["n"] for r in mine)
+        mu = sum(r["n"] * r[f"m{t}"] for r in mine) / n
+        sd = float(np.sqrt(sum(r["n"] * (r[f"v{t}"] + (r[f"m{t}"] - mu) ** 2) for r in mine) / n)) or 1.0
+        sizes, act, rng = [width, *fit["layers"], 1], fit["act"], np.random.default_rng(fit["seed"])
         theta = np.concatenate([np.concatenate([
-            rng.uniform(-1, 1, w[0] * w[1]) * np.sqrt((6.0 if act == "relu" else 2.0) / (w[0] + w[1])), np.zeros(b[0])])
-            for w, b in _shapes(sizes)])
-        count = len(theta)
-
-        def sums(weights):
-            def run(batches):
-                total, tail = np.zeros(count), np.zeros(2)
-                for pdf in batches:
-                    held = pdf["held"].to_numpy(dtype=bool)
-                    x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), sizes[0])
-                    y = (pdf["y"].to_numpy() - mu) / sd
-                    if (~held).any():
-                        grad, sse = _gradient(weights, sizes, act, x[~held], y[~held])
-                        total += grad
-                        tail[0] += sse
-                    if held.any():
-                        tail[1] += float(((_forward(_unflatten(weights, sizes), x[held], act)[-1][:, 0] - y[held]) ** 2).sum())
-                yield pd.DataFrame({"i": np.arange(count + 2), "g": np.concatenate([total, tail])})
-            return {r["i"]: r["g"] for r in d.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}
-
-        mom, vel, best, best_theta, stale, history = np.zeros(count), np.zeros(count), np.inf, theta, 0, []
+            rng.uniform(-1, 1, w[0] * w[1]) * np.sqrt((6.0 if act == "relu" else 2.0) / (w[0] + w[1])), np.zeros(b[0])]) for w, b in _shapes(sizes)])
         decay = np.concatenate([np.concatenate([np.ones(w[0] * w[1]), np.zeros(b[0])]) for w, b in _shapes(sizes)])
-        for t in range(1, g(self.epochs) + 1):
-            s = sums(theta)
-            grad = np.array([s[i] for i in range(count)]) / n + g(self.l2) * decay * theta / n
-            held_loss = s[count + 1] if s[count + 1] else s[count]
-            history.append(s[count] / n)
-            if held_loss < best * (1 - 1e-4):
-                best, best_theta, stale = held_loss, theta.copy(), 0
-            else:
-                stale += 1
-                if stale >= g(self.patience):
-                    break
-            mom, vel = 0.9 * mom + 0.1 * grad, 0.999 * vel + 0.001 * grad ** 2
-            theta = theta - g(self.lr) * (mom / (1 - 0.9 ** t)) / (np.sqrt(vel / (1 - 0.999 ** t)) + 1e-8)
-        d.unpersist()
-        model = MlpModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
-        return model._set(state=json.dumps({"theta": best_theta.tolist(), "sizes": sizes, "act": act, "mu": mu, "sd": sd, "loss": history}))
+        return {**fit, "n": n, "mu": mu, "sd": sd, "sizes": sizes, "theta": theta, "decay": decay, "mom": np.zeros(len(theta)), "vel": np.zeros(len(theta)),
+                "best": np.inf, "best_theta": theta, "stale": 0, "loss": [], "epoch": 0}
+
+    nets, todo, live = [start(f) for f in fits], list(range(len(fits))), []
+    while todo or live:
+        while todo and (not live or sum(len(nets[k]["theta"]) for k in live) + len(nets[todo[0]]["theta"]) <= STACKED_WEIGHTS):
+            live.append(todo.pop(0))
+        sums = _epoch(rows, {k: {name: nets[k].get(name) for name in ("theta", "sizes", "act", "mu", "sd", "target", "without", "shift", "scale")} for k in live})
+        live = [k for k in live if _learn(nets[k], sums[k])]
+    return [{"theta": m["best_theta"].tolist(), "sizes": m["sizes"], "act": m["act"], "mu": m["mu"], "sd": m["sd"], "loss": m["loss"]} for m in nets]
+
+
+def _epoch(rows: DataFrame, nets: dict[int, dict]) -> dict[int, np.ndarray]:
+    """Per net the summed gradient, the squared error of its rows, and that of its held-out rows."""
+    def run(batches):
+        totals = {k: np.zeros(len(m["theta"]) + 2) for k, m in nets.items()}
+        for pdf in batches:
+            held, fold = pdf["held"].to_numpy(dtype=bool), pdf["fold"].to_numpy()
+            x, y = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1), np.array(pdf["y"].tolist(), dtype=float).reshape(len(pdf), -1)
+            for k, m in nets.items():
+                mine = np.ones(len(pdf), bool) if m["without"] is None else fold != m["without"]
+                z = x if m["scale"] is None else (x - m["shift"]) / m["scale"]
+                v = (y[:, m["target"]] - m["mu"]) / m["sd"]
+                learn, check = mine & ~held, mine & held
+                if learn.any():
+                    grad, sse = _gradient(m["theta"], m["sizes"], m["act"], z[learn], v[learn])
+                    totals[k][:-2] += grad
+                    totals[k][-2] += sse
+                if check.any():
+                    totals[k][-1] += float(((_forward(_unflatten(m["theta"], m["sizes"]), z[check], m["act"])[-1][:, 0] - v[check]) ** 2).sum())
+        for k, total in totals.items():
+            yield pd.DataFrame({"f": np.full(len(total), k), "i": np.arange(len(total)), "g": total})
+
+    found = rows.mapInPandas(run, "f int, i int, g double").groupBy("f", "i").agg(F.sum("g").alias("g")).toPandas()
+    out = {k: np.zeros(len(m["theta"]) + 2) for k, m in nets.items()}
+    for k, part in found.groupby("f"):
+        out[k][part["i"].to_numpy()] = part["g"].to_numpy()
+    return out
+
+
+def _learn(m: dict, s: np.ndarray) -> bool:
+    """One step of Adam; whether the net goes on."""
+    m["epoch"] += 1
+    grad = s[:-2] / m["n"] + m["l2"] * m["decay"] * m["theta"] / m["n"]
+    held_loss = s[-1] if s[-1] else s[-2]
+    m["loss"].append(float(s[-2] / m["n"]))
+    if held_loss < m["best"] * (1 - 1e-4):
+        m["best"], m["best_theta"], m["stale"] = held_loss, m["theta"].copy(), 0
+    else:
+        m["stale"] += 1
+        if m["stale"] >= m["patience"]:
+            return False
+    t = m["epoch"]
+    m["mom"], m["vel"] = 0.9 * m["mom"] + 0.1 * grad, 0.999 * m["vel"] + 0.001 * grad ** 2
+    m["theta"] = m["theta"] - m["lr"] * (m["mom"] / (1 - 0.9 ** t)) / (np.sqrt(m["vel"] / (1 - 0.999 ** t)) + 1e-8)
+    return t < m["epochs"]
 
 
 class MlpModel(Model, _Regressor):

@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.physics import clamp
 from ..params import LOWER_BOUND, SEED, TARGETS
-from .learners import KnnModel, KnnRegressor, MlpRegressor, Ridge
-from .stages import PopulationScaler
+from .learners import KnnModel, KnnRegressor, MlpRegressor, Ridge, train_nets
+from .moments import gather, total
+from .stages import AffineModel, PopulationScaler
 
 
 class Domain:
@@ -65,6 +67,8 @@ class ModelSpec:
     smooth: bool = False
     #: validated from moments, without fits: see moments.py
     linear: bool = False
+    #: the fits of all targets, folds and trials are trained in the same jobs
+    stacked: bool = False
 
 
 def _depth(value) -> int:
@@ -92,7 +96,7 @@ REGISTRY: dict[str, ModelSpec] = {s.name: s for s in (
         layers=list(p.get("layers", (50,))), activation=p.get("activation", "relu"), lr=float(p.get("lr", 0.01)),
         l2=float(p.get("l2", 1e-4)), epochs=int(p.get("epochs", 500))),
         {"layers": Choice((50,), (100,), (50, 50)), "l2": Real(0.0001, 0.1), "activation": Choice("relu", "tanh"), "lr": Real(0.001, 0.01)},
-        scaled=True, smooth=True),
+        scaled=True, smooth=True, stacked=True),
     ModelSpec("forest", forest, {"n_estimators": Whole(100, 500), "max_depth": Choice(None, 10, 20), "min_samples_leaf": Whole(1, 10)},
               weighted=True, tree=True),
     ModelSpec("boosted_b", boosted, {"n_estimators": Whole(100, 500), "learning_rate": Real(0.01, 0.1),
@@ -125,6 +129,10 @@ def fit_model(spec: ModelSpec, params: Mapping, df: DataFrame, features: Iterabl
     for stage in shared:
         ready = stage.transform(ready)
     fitted = {}
+    if spec.stacked:  # the nets of all targets share their jobs
+        est = spec.make(params)
+        models = est.fit_together(ready, {t: F.log(t) if spec.log_target else F.col(t) for t in targets}, "features")
+        return TargetModel(spec.name, shared, {t: m._set(featuresCol="features", predictionCol=f"_p_{t}") for t, m in models.items()}, features, spec.log_target)
     for t in targets:
         label = F.log(t) if spec.log_target else F.col(t)
         est = spec.make(params)
@@ -139,6 +147,31 @@ def fit_model(spec: ModelSpec, params: Mapping, df: DataFrame, features: Iterabl
     return TargetModel(spec.name, shared, fitted, features, spec.log_target)
 
 
+def fit_stacked_folds(spec: ModelSpec, draws: Sequence[Mapping], df: DataFrame, features: Iterable[str], targets: Iterable[str] = TARGETS) -> list[dict[int, TargetModel]]:
+    """Per draw of parameters a model for every ``fold`` of ``df``, fitted on the others: all nets in the same jobs."""
+    features, targets = list(features), list(targets)
+    folds, shift = gather(df, features, targets, "fold")
+    whole, scalers = total(folds.values()), {}
+    for (fold,), own in folds.items():
+        rest = whole - own
+        mean = rest.sums[0, 1:len(features) + 1] / rest.sums[0, 0]
+        spread = np.sqrt(np.clip(np.diag(rest.sums)[1:len(features) + 1] / rest.sums[0, 0] - mean ** 2, 0, None))
+        scalers[fold] = mean + shift[:len(features)], np.where(spread > 0, spread, 1.0)
+    labels = [F.log(t) if spec.log_target else F.col(t) for t in targets]
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.array(*[c.cast("double") for c in labels]).alias("y"), F.col("fold").cast("int").alias("fold"))
+    made = [spec.make(p) for p in draws]
+    plan = [(d, fold, t) for d in range(len(draws)) for fold in scalers for t in range(len(targets))]
+    states = train_nets(rows, [{"target": t, "without": fold, "shift": scalers[fold][0], "scale": scalers[fold][1], **made[d].settings()} for d, fold, t in plan])
+    out: list[dict[int, TargetModel]] = [{} for _ in draws]
+    inputs = [f"_z_{c}" for c in features]
+    for (d, fold, t), state in zip(plan, states):
+        if fold not in out[d]:
+            scaler = AffineModel(inputCols=features, outputCols=inputs).with_state([(float(a), float(b)) for a, b in zip(*scalers[fold])])
+            out[d][fold] = TargetModel(spec.name, [scaler, VectorAssembler(inputCols=inputs, outputCol="features")], {}, features, spec.log_target)
+        out[d][fold].fitted[targets[t]] = made[d].model_of(state)._set(featuresCol="features", predictionCol=f"_p_{targets[t]}")
+    return out
+
+
 class TargetModel(Model):
     """Adds ``pred_<target>`` for each target; predictions are returned to the target's own scale."""
 

@@ -7,6 +7,7 @@ import random
 import time
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Model
@@ -24,7 +25,7 @@ from ..plans.scenarios import as_points, sweep
 from ..scale import attach, ordered_positions, with_positions
 from ..session import cut
 from . import moments
-from .registry import EnsembleModel, ModelSpec, TargetModel, fit_model, long_predictions, sample_params, wide_predictions
+from .registry import EnsembleModel, ModelSpec, TargetModel, fit_model, fit_stacked_folds, long_predictions, sample_params, wide_predictions
 
 
 # The setpoint and the ranges that run-in trends are drawn at.
@@ -49,6 +50,8 @@ def cross_predictions(spec: ModelSpec, params: Mapping, df: DataFrame, features:
     """
     if spec.linear:
         return moments.fold_predictions(df, list(features), float(params.get("alpha", 1.0)), spec.name, keys, targets)
+    if spec.stacked:
+        return _by_fold(spec, fit_stacked_folds(spec, [params], df, features, targets)[0], df, keys, targets)
 
     def one(i: int) -> DataFrame:
         model = unclamped(fit_model(spec, params, df.filter(F.col("fold") != i), features, targets))
@@ -62,6 +65,11 @@ def cross_predictions(spec: ModelSpec, params: Mapping, df: DataFrame, features:
     return out
 
 
+def _by_fold(spec: ModelSpec, models: Mapping[int, TargetModel], df: DataFrame, keys: Sequence[str], targets: Iterable[str]) -> DataFrame:
+    parts = [long_predictions({spec.name: unclamped(m)}, df.filter(F.col("fold") == i), keys, targets) for i, m in sorted(models.items())]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def cross_validate(spec: ModelSpec, params: Mapping, df: DataFrame, features: Sequence[str], folds: int = FOLDS,
                    parallelism: int = 2, targets: Iterable[str] = TARGETS) -> DataFrame:
     """R2 and RMSE per fold: one metrics aggregate over all folds."""
@@ -74,7 +82,8 @@ def search(spec: ModelSpec, df: DataFrame, features: Sequence[str], folds: int =
            targets: Iterable[str] = TARGETS) -> tuple[DataFrame, dict]:
     """Seeded random search; a failed trial scores -100 and names its reason. Returns the trials table and the best parameters.
 
-    All trials of a linear family are scored from one aggregate of moments. Raises if no trial succeeded.
+    All trials of a linear family are scored from one aggregate of moments, the nets of all trials and folds are trained in the same jobs.
+    Raises if no trial succeeded.
     """
     rng = random.Random(seed)
     draws = [sample_params(space or spec.space, rng) for _ in range(n_trials)]
@@ -93,6 +102,12 @@ def search(spec: ModelSpec, df: DataFrame, features: Sequence[str], folds: int =
         found = [(-100.0, f"ValueError: alpha {a} is below 0") for a in alphas]
         for k, i in enumerate(fine):
             found[i] = (float(np.mean([r2 for j, _, r2, _ in scored if j == k])), None)
+    elif spec.stacked:
+        found = []
+        for models in fit_stacked_folds(spec, [{**p, **(fixed or {})} for p in draws], df, features, targets):
+            preds = _by_fold(spec, models, df, ["row_id", "fold"], targets)
+            r2 = regression_metrics(preds, ["model", "fold"]).filter("target = 'all'").agg(F.avg("r2")).first()[0]
+            found.append((float(r2), None) if np.isfinite(r2) else (-100.0, "the net diverged"))
     else:
         with ThreadPoolExecutor(parallelism) as pool:
             found = list(pool.map(one, draws))

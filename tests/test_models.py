@@ -192,3 +192,34 @@ def test_suggestions_cover_both_states(spark, table):
     grid = grid.crossJoin(spark.createDataFrame([(0,), (1,)], "ester int")).withColumn("point_id", F.xxhash64("load_n", "conc", "ester"))
     picks, safe = dc.suggest_experiments({"a": stub("1e-4"), "b": stub("3e-4")}, grid, table, 3)
     assert picks.groupBy("ester").count().collect() and picks.count() == 6 and safe.count() <= 2
+
+
+def test_nets_in_company_equal_nets_alone(table):
+    from rigspark.models.learners import train_nets
+
+    rows = table.select(F.array(*[(F.col(c) / 50).cast("double") for c in FEATURES]).alias("x"), F.array(F.col("cof"), F.col("fai")).alias("y"), (F.hash("run_id") % 3).alias("fold"))
+    fits = [{"target": t, "without": w, "layers": layers, "act": act, "lr": 0.01, "l2": 1e-4, "epochs": 6, "patience": 3, "seed": 1}
+            for t, w, layers, act in ((0, None, [5], "relu"), (1, 0, [4], "tanh"), (0, 1, [3, 3], "relu"))]
+    together = train_nets(rows, fits)
+    for fit, got in zip(fits, together):
+        alone = train_nets(rows, [fit])[0]
+        assert alone["sizes"] == got["sizes"] and alone["theta"] == pytest.approx(got["theta"]) and alone["loss"] == pytest.approx(got["loss"])
+
+
+def test_moments_equal_refitting(table):
+    """Scores of folds and prefixes from sums of products equal those of ordinary fits on the same rows."""
+    from rigspark.models import moments
+
+    d = sel.tag_folds(table, pr.group_kfold(table, 3))
+    scores = {(k, fold): r2 for k, fold, r2, _ in moments.fold_scores(d, FEATURES, [0.5, 20.0])}
+    for k, alpha in enumerate((0.5, 20.0)):
+        for fold in range(3):
+            model = fit_model(REGISTRY["ridge"], {"alpha": alpha}, d.filter(F.col("fold") != fold), FEATURES).unclamped()
+            got = sel.regression_metrics(sel.long_predictions({"m": model}, d.filter(F.col("fold") == fold), ["row_id"]), ["model"]).filter("target = 'all'").first()["r2"]
+            assert scores[k, fold] == pytest.approx(got, rel=1e-6, abs=1e-9)
+
+
+def test_search_trains_the_nets_of_all_trials_together(table):
+    d = sel.tag_folds(table, pr.group_kfold(table, 2))
+    trials, best = sel.search(REGISTRY["mlp"], d, FEATURES, 2, n_trials=2, fixed={"epochs": 5})
+    assert trials.count() == 2 and best["epochs"] == 5 and trials.filter("failure IS NOT NULL").count() == 0
