@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .base import bounded_batches, by_id, given_id, query, sort_id, store, table
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, shingle_table
 
 #: Ids that may be broadcast (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -106,63 +106,146 @@ def allocate(k: int, sets: int, sim: Similarity) -> Allocation:
     return best[1]
 
 
-_SEGMENT, _BAND, _TOKEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_SEGMENT, _BAND, _SUBSET = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_HALF = np.uint64(32)
+#: Bits of a signature that a small table tells infrequent ones by, before the sorted list is searched.
+_TABLE_BITS = 20
 
 
-def signatures(tokens: np.ndarray, k: int, a: Allocation, most: int, frequent: np.ndarray, everything: bool = False) -> np.ndarray:
-    """Signatures of a set in band ``k`` for partners that differ by at most ``most`` tokens."""
+class Frequent:
+    """Frequent signatures: a bit table that rules out most others, and the sorted list."""
+
+    def __init__(self, signatures: np.ndarray):
+        self.sorted = np.unique(signatures)
+        self.table = np.zeros(1 << _TABLE_BITS if len(self.sorted) else 0, bool)
+        self.table[(self.sorted >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+
+    def has(self, sig: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.zeros(len(sig), bool)
+        out = self.table[(sig >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.sorted, sig[maybe]), len(self.sorted) - 1)
+        out[maybe] = self.sorted[at] == sig[maybe]
+        return out
+
+
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    return np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+
+def _named(subset: np.ndarray, segment: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return mix(subset * _SUBSET + _SEGMENT * (segment.astype(np.uint64) + np.uint64(1)) + salt)
+
+
+def signatures(tokens: np.ndarray, counts: np.ndarray, k: int, a: Allocation, most: np.ndarray, frequent: Frequent,
+               everything: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets in band ``k`` for partners that differ by at most ``most`` tokens, and the number of the set each belongs to.
+
+    ``tokens`` holds the sorted sets one after the other, none of them empty. Segments are ranges of tokens, so a subset is a run of its set.
+    """
     with np.errstate(over="ignore"):
-        salt = _BAND * np.uint64(k + 1)
-        segment = (mix(tokens + salt) % np.uint64(a.segments)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        segment, value = segment[order], mix(tokens[order] ^ _TOKEN)
-        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        which, size = segment[starts], np.diff(np.concatenate([starts, [len(segment)]]))
-        total = np.add.reduceat(value, starts)
-
-        def named(subset, seg):
-            return mix(mix(subset) + _SEGMENT * (seg.astype(np.uint64) + np.uint64(1)) + salt)
-
-        sig = named(total, which)
-        is_near = which < a.near
-        exact, exact_size = sig[~is_near], size[~is_near]
-        empty = a.segments - a.near - len(exact)
-        spare = max(0, a.weight - most - 1)
-        out = []
-        if everything or spare <= empty:
-            out.append(exact)
-            if spare < empty and not everything:
-                missing = np.setdiff1d(np.arange(a.near, a.segments), which, assume_unique=True)
-                out.append(np.sort(named(np.zeros(len(missing), np.uint64), missing))[: empty - spare])
-        else:
-            common = np.isin(exact, frequent) if len(frequent) else np.zeros(len(exact), bool)
-            out.append(exact[np.lexsort((exact, -exact_size, common))][: max(0, len(exact) - (spare - empty))])
+        salt, n = _BAND * np.uint64(k + 1), len(counts)
+        owner = np.repeat(np.arange(n), counts)
+        key = owner * a.segments + (((tokens >> _HALF) * np.uint64(a.segments)) >> _HALF).astype(np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        size, total = np.diff(starts, append=len(key)), np.add.reduceat(tokens, starts)
+        of, which = np.divmod(key[starts], a.segments)
+        sig = _named(total, which, salt)
+        exact = which >= a.near
+        filled = np.bincount(of[exact], minlength=n)
+        empty = a.segments - a.near - filled
+        spare = np.maximum(0, a.weight - most - 1) if not everything else empty
+        keep = exact.copy()
+        ends = np.cumsum(filled)
+        cost = sig[exact] >> np.uint64(7) | np.maximum(63 - size[exact], 0).astype(np.uint64) << np.uint64(57)
+        cost[frequent.has(sig[exact])] |= np.uint64(1 << 63)
+        inside = np.ones(len(cost), bool)
+        # a set leaves out its costliest subsets; two of equal cost at the border both stay
+        for i in np.flatnonzero(spare > empty).tolist():
+            end = int(ends[i])
+            begin, stay = end - int(filled[i]), int(filled[i] - (spare[i] - empty[i]))
+            inside[begin:end] = cost[begin:end] <= np.partition(cost[begin:end], stay - 1)[stay - 1] if stay > 0 else False
+        keep[exact] = inside
+        out, owners = [sig[keep]], [of[keep]]
+        there = which[exact]
+        for i in np.flatnonzero(spare < empty).tolist():  # empty subsets are the last resort
+            missing = np.setdiff1d(np.arange(a.near, a.segments), there[int(ends[i] - filled[i]):int(ends[i])], assume_unique=True)
+            names = np.sort(_named(np.zeros(len(missing), np.uint64), missing, salt))[: int(empty[i] - spare[i])]
+            out.append(names)
+            owners.append(np.full(len(names), i))
         if a.near:
-            out.append(sig[is_near])
-            inside = segment < a.near
-            out.append(named(np.repeat(total, size)[inside] - value[inside], segment[inside]))
-            hollow = np.setdiff1d(np.arange(a.near), which, assume_unique=True)
-            out.append(named(np.zeros(len(hollow), np.uint64), hollow))
-        return np.unique(np.concatenate(out))
+            out.append(sig[~exact])
+            owners.append(of[~exact])
+            near = np.flatnonzero(np.repeat(~exact, size))
+            out.append(_named(np.repeat(total, size)[near] - tokens[near], np.repeat(which, size)[near], salt))
+            owners.append(owner[near])
+            hollow = np.ones((n, a.near), bool)
+            hollow[of[~exact], which[~exact]] = False
+            row, segment = np.nonzero(hollow)
+            out.append(_named(np.zeros(len(row), np.uint64), segment, salt))
+            owners.append(row)
+        return np.concatenate(out), np.concatenate(owners)
+
+
+#: Tokens, and cells of sets by near segments, that are worked on at a time.
+_TOKENS, _CELLS = 1 << 16, 1 << 20
+
+
+def table_signatures(tokens: np.ndarray, counts: np.ndarray, plan: dict[int, Allocation], sim: Similarity, frequent: Frequent,
+                     everything: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All signatures of many sets, with the number of their set: in its own band, and in the band below if it has partners there."""
+    begins = np.cumsum(counts) - counts
+    band = np.array([band_of(x) for x in counts.tolist()], np.int64)
+    for k in range(int(band.max(initial=0)) + 1):
+        own = (band == k) & (counts > 0)
+        below = (band == k + 1) & (counts * sim.p <= band_top(k) * sim.q)
+        if k not in plan:
+            continue
+        for sets, at_most in ((own, lambda x: sim.largest_partner(x)), (below, lambda x: band_top(k))):
+            sets = np.flatnonzero(sets)
+            step = max(1, _CELLS // max(1, plan[k].near))
+            for part in _parts(sets, counts, step):
+                x = counts[part]
+                sig, of = signatures(tokens[_ranges(begins[part], x)], x, k, plan[k], sim.most_difference(x, at_most(x)), frequent, everything)
+                yield sig, part[of]
+
+
+def _parts(sets: np.ndarray, counts: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Stretches of the sets with few tokens and at most ``most`` sets."""
+    ends = np.cumsum(counts[sets])
+    i = 0
+    while i < len(sets):
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _TOKENS, "right"))
+        j = min(max(j, i + 1), i + most)
+        yield sets[i:j]
+        i = j
 
 
 def set_signatures(tokens: np.ndarray, plan: dict[int, Allocation], sim: Similarity, frequent: np.ndarray, everything: bool = False) -> np.ndarray:
-    """All signatures of a set: in its own band, and in the band below if it has partners there."""
-    x = len(tokens)
-    k = band_of(x)
-    out = [signatures(tokens, k, plan[k], sim.most_difference(x, sim.largest_partner(x)), frequent, everything)]
-    if k and sim.smallest_partner(x) <= band_top(k - 1) and k - 1 in plan:
-        out.append(signatures(tokens, k - 1, plan[k - 1], sim.most_difference(x, band_top(k - 1)), frequent, everything))
-    return np.concatenate(out)
+    """All signatures of one set."""
+    found = [sig for sig, _ in table_signatures(tokens, np.array([len(tokens)]), plan, sim, Frequent(frequent), everything)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 # --- parity sketches ---------------------------------------------------------
 
+def sketches(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit per group of tokens: the parity of the group. One bit a token or more, a power of two, 64 at least. The bytes of all sets, and their ends."""
+    bits = 1 << np.maximum(6, np.frexp(np.maximum(counts - 1, 0).astype(float))[1].astype(np.int64))
+    ends = np.cumsum(bits)
+    at = (tokens >> np.uint64(12)).astype(np.int64) & np.repeat(bits - 1, counts)
+    at += np.repeat(ends - bits, counts)
+    parity = np.bincount(at, minlength=int(bits.sum())) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little"), ends // 8
+
+
 def sketch(tokens: np.ndarray) -> bytes:
-    """A bit per group of tokens: the parity of the group. One bit a token or more, a power of two, 64 at least."""
-    bits = 1 << max(6, (len(tokens) - 1).bit_length())
-    parity = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+    """The sketch of one set."""
+    return sketches(tokens, np.array([len(tokens)]))[0].tobytes()
 
 
 def _fold(s: np.ndarray, size: int) -> np.ndarray:
@@ -201,54 +284,59 @@ def scan_sets(docs: DataFrame) -> DataFrame:
     """Of every row (``_id``, ``_text``): size, 128-bit digest and sketch of its set."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist())
-            with np.errstate(over="ignore"):
-                d1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                d2 = np.array([mix(s ^ _BAND).sum(dtype=np.uint64) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays(_arrays(b.column(0), np.array([len(s) for s in sets], np.int64), _as_long(d1), _as_long(d2),
-                                                     pa.array([sketch(s) for s in sets], pa.binary())), ["_id", "_n", "_d1", "_d2", "_sketch"])
+            tokens, counts = shingle_table(b.column(1).cast(pa.binary()).to_pylist())
+            d1, d2 = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+            some = counts > 0
+            if some.any():
+                begins = (np.cumsum(counts) - counts)[some]
+                d1[some], d2[some] = np.add.reduceat(tokens, begins), np.add.reduceat(mix(tokens ^ _BAND), begins)
+            drawn, ends = sketches(tokens, counts)
+            drawn = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(drawn)])
+            yield pa.RecordBatch.from_arrays(_arrays(b.column(0), counts.astype(np.int64), _as_long(d1), _as_long(d2), drawn.cast(pa.binary())),
+                                             ["_id", "_n", "_d1", "_d2", "_sketch"])
     return docs.mapInArrow(scan, "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _sketch binary")
 
 
 def _emit_signatures(docs: DataFrame, plan, sim: Similarity, frequent, everything: bool = False) -> DataFrame:
-    """Rows (``_sig``, ``_salt``, ``_id``); a frequent signature is dealt over SALTS groups."""
+    """Rows (``_key``, ``_id``, ``_sig``): the key is the signature, and ``_sig`` null. A frequent signature is dealt over SALTS keys and given beside them."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value if frequent is not None else np.zeros(0, np.uint64)
+        common = Frequent(frequent.value if frequent is not None else np.zeros(0, np.uint64))
         for b in batches:
-            ids, sets = b.column(0).to_numpy(), shingle_sets(b.column(1).cast(pa.binary()).to_pylist())
-            if not sets:
-                continue
-            found = [set_signatures(s, plan, sim, common, everything) if len(s) else s for s in sets]
-            sig, owner = np.concatenate(found), np.repeat(ids, [len(f) for f in found])
-            salt = np.where(np.isin(sig, common), 1 + owner % SALTS, 0).astype(np.int32)
-            for i in range(0, len(sig), 1 << 18):
-                yield pa.RecordBatch.from_arrays(_arrays(_as_long(sig[i:i + (1 << 18)]), salt[i:i + (1 << 18)], owner[i:i + (1 << 18)]), ["_sig", "_salt", "_id"])
-    return docs.mapInArrow(emit, "_sig bigint, _salt int, _id bigint")
+            ids = b.column(0).to_numpy()
+            for sig, of in table_signatures(*shingle_table(b.column(1).cast(pa.binary()).to_pylist()), plan, sim, common, everything):
+                owner, often = ids[of], common.has(sig)
+                key = sig.copy()
+                with np.errstate(over="ignore"):
+                    key[often] = mix(sig[often] + _SEGMENT * (1 + owner[often] % SALTS).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(_as_long(key)), pa.array(owner), pa.array(_as_long(sig), mask=~often)], ["_key", "_id", "_sig"])
+    return docs.mapInArrow(emit, "_key bigint, _id bigint, _sig bigint")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """Members of runs of equal (``_sig``, ``_salt``), with the first id of their run. A lone member stays only if it is salted.
+    """Members of runs of equal ``_key``: ``_sig``, ``_id``, and the id that leads their run. A lone member stays only if it is salted.
 
-    The rows are sorted by Spark and streamed: a task holds one batch and the last row before it.
+    The rows are sorted by Spark, by one number, and streamed: a task holds one batch and the last row before it. Should two signatures
+    share a key, they are parted again by ``_sig`` where runs of one signature meet, and pairs are verified anyway.
     """
-    names = ["_sig", "_salt", "_id", "_first"]
+    names = ["_sig", "_id", "_first"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = held = None  # (signature, salt, first id) of the open run; its only row, if it was not passed on yet
+        run = held = None  # (key, leading id) of the open run; its only row, if it was not passed on yet
         for b in batches:
             if not b.num_rows:
                 continue
-            sig, salt, ids = (b.column(i).to_numpy() for i in range(3))
-            new = np.concatenate([[run is None or run[:2] != (sig[0], salt[0])], (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])])
-            heads = np.concatenate([[run[2] if run else 0], ids[new]])[np.cumsum(new)]
-            take = ~new | np.concatenate([~new[1:], [False]]) | (salt > 0)
+            key, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            salted = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            sig = np.where(salted, b.column(2).fill_null(0).to_numpy(), key)
+            new = np.concatenate([[run is None or run[0] != key[0]], key[1:] != key[:-1]])
+            heads = np.concatenate([[run[1] if run else 0], ids[new]])[np.cumsum(new)]
+            take = ~new | np.concatenate([~new[1:], [False]]) | salted
             if held is not None and not new[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, held[2])], names)
-            run = (sig[-1], salt[-1], heads[-1])
-            held = (sig[-1], salt[-1], ids[-1]) if not take[-1] else None
-            yield pa.RecordBatch.from_arrays(_arrays(sig[take], salt[take], ids[take], heads[take]), names)
-    sorted_rows = rows.repartition("_sig", "_salt").sortWithinPartitions("_sig", "_salt", "_id")
-    return sorted_rows.mapInArrow(stream, "_sig bigint, _salt int, _id bigint, _first bigint")
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, held[1])], names)
+            run = (key[-1], heads[-1])
+            held = (sig[-1], ids[-1]) if not take[-1] else None
+            yield pa.RecordBatch.from_arrays(_arrays(sig[take], ids[take], heads[take]), names)
+    return rows.repartition("_key").sortWithinPartitions("_key").mapInArrow(stream, "_sig bigint, _id bigint, _first bigint")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
@@ -391,9 +479,9 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, sim: Similarity)
     filled = {r._band: r.n for r in sets.groupBy(in_band.alias("_band")).agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = {k: allocate(k, filled.get(k, 0), sim) for k in range(max(filled, default=0) + 1)}
     sample = firsts.filter(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0)
-    often = (_emit_signatures(sample, plan, sim, None, everything=True).groupBy("_sig").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "_sig").limit(FREQUENT).collect())
-    frequent = spark.sparkContext.broadcast(np.array(sorted(r._sig for r in often), np.int64).view(np.uint64))
+    often = (_emit_signatures(sample, plan, sim, None, everything=True).groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+             .filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "_key").limit(FREQUENT).collect())
+    frequent = spark.sparkContext.broadcast(np.array(sorted(r._key for r in often), np.int64).view(np.uint64))
 
     runs = store(_runs(_emit_signatures(firsts, plan, sim, frequent)))
     common = spark.createDataFrame([(int(x),) for x in frequent.value.view(np.int64)], "_sig bigint")

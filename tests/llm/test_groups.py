@@ -1,6 +1,7 @@
 """Exact dedup and the Jaccard join: awkward tables and random sets against plain Python."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -142,6 +143,22 @@ def test_signatures_meet_for_every_similar_pair():
         assert jj.may_link(len(a), len(b), jj.sketch(a), jj.sketch(b), sim)
 
 
+def test_signatures_of_many_sets_at_once():
+    """Sets worked on together get what each gets alone, in a time that does not grow with the list of frequent signatures for every set."""
+    rng, sim = np.random.default_rng(6), jj.Similarity()
+    sets = [np.unique(mix(rng.integers(1, 2**63, int(x)).astype(np.uint64))) for x in rng.choice([1, 2, 5, 14, 40, 330, 900], 2000)]
+    plan = {k: jj.Allocation(*a) for k, a in enumerate([(4, 0), (6, 1), (30, 3), (86, 0), (350, 20), (1366, 0)])}
+    often = np.unique(np.concatenate([*(jj.set_signatures(s, plan, sim, np.zeros(0, np.uint64)) for s in sets[:100]), rng.integers(0, 2**63, 50_000).astype(np.uint64)]))
+    began = time.process_time()
+    found = [[] for _ in sets]
+    for sig, of in jj.table_signatures(np.concatenate(sets), np.array([len(s) for s in sets]), plan, sim, jj.Frequent(often)):
+        for i in np.unique(of).tolist():
+            found[i].append(sig[of == i])
+    assert time.process_time() - began < 8
+    for i in range(0, len(sets), 20):
+        assert np.unique(np.concatenate(found[i])).tolist() == jj.set_signatures(sets[i], plan, sim, often).tolist()
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5)]
