@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.neighbors import knn_join
 from ..params import SEED
-from ..scale import attach
+from ..scale import attach, fits
 from ..session import cut
 
 
+#: Rows of one vector from which on its prediction is broadcast to them.
+HOT_ROWS = 100_000
+
+
 class _Regressor(HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     def _take(self, kwargs):
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
@@ -84,7 +88,8 @@ class KnnModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         d = df.withColumn("_vec", vector_to_array(self.features))
-        near = knn_join(d.select(F.col("_vec").alias("vec")), self.refs, self.k, ["y"])
+        met = cut(d.groupBy("_vec").agg(F.count(F.lit(1)).alias("_rows")))
+        near = knn_join(met.select(F.col("_vec").alias("vec")), self.refs, self.k, ["y"])
         plain = F.avg("y")
         if self.weights == "distance":
             exact = F.avg(F.when(F.col("dist") == 0, F.col("y")))
@@ -92,8 +97,15 @@ class KnnModel(Model):
             pred = F.coalesce(exact, F.sum(inv * F.col("y")) / F.sum(inv))
         else:
             pred = plain
-        found = near.groupBy(F.col("vec").alias("_vec")).agg(pred.alias(self.prediction))
-        return attach(d, found, "_vec").drop("_vec")
+        found = cut(near.groupBy(F.col("vec").alias("_vec")).agg(pred.alias(self.prediction)))
+        if fits(found):
+            return attach(d, found, "_vec").drop("_vec")
+        # many vectors: their rows meet them by a shuffle; the few vectors with very many rows are broadcast
+        hot = cut(met.filter(F.col("_rows") > HOT_ROWS).select("_vec"))
+        hot_found = found.join(F.broadcast(hot), "_vec", "left_semi")
+        cold = d.join(F.broadcast(hot), "_vec", "left_anti").join(found.hint("shuffle_hash"), "_vec")
+        names = [*df.columns, self.prediction]
+        return cold.select(*names).unionByName(d.join(F.broadcast(hot_found), "_vec").select(*names))
 
     def save(self, path: str) -> None:
         self.refs.write.mode("overwrite").parquet(f"{path}/rows")

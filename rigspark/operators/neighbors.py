@@ -6,6 +6,10 @@ What the driver knows of a cell (its size, its box or its distances from the piv
 and each cell a lower bound on what it can offer, so a query only visits cells that can still hold a neighbour: rings of boxes around
 it, or balls that reach it. A cell that stays crowded (many equal vectors) is split into blocks by hash and a crowded query list likewise,
 so a task never holds more than one block of each, whatever the skew.
+
+Wide vectors without structure reach most balls. Where a look at a few queries shows that, blocks of queries meet blocks of references
+instead, every pair of blocks in a task: distances come from one matrix product, and those that its rounding leaves in doubt are taken again
+dimension by dimension. Inside a cell of few dimensions a query only meets references whose widest coordinate is near its own.
 """
 
 from __future__ import annotations
@@ -25,6 +29,12 @@ BLOCK_ROWS = 20_000
 MOST_LEVELS = 24
 LEAST_CELL = 512
 GRID_DIMENSIONS = 4
+#: Queries looked at, and the share of the references they reach, from which on blocks meet all blocks. They steer cost, not results.
+LOOK, MOST_REACHED = 256, 0.25
+#: Least dimensions for matrix products; vectors a block holds (16 MB), and blocks a side that keep a small cluster busy.
+PRODUCT_DIMENSIONS, BLOCK_BYTES, LEAST_BLOCKS = 16, 16 << 20, 8
+#: Queries that share a window of references.
+WINDOW_QUERIES = 128
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,6 +60,75 @@ def _reach(upper: np.ndarray) -> np.ndarray:
     return upper * (1 + 1e-9) + 1e-12
 
 
+def _ranked(row: np.ndarray, at: np.ndarray, dist: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The m least distances of each row, ties by position."""
+    order = np.lexsort((at, dist, row))
+    row, at, dist = row[order], at[order], dist[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < m
+    return row[keep], at[keep], dist[keep]
+
+
+def _by_pairs(x: np.ndarray, y: np.ndarray, m: int) -> Iterator[tuple]:
+    for s in _blocks(len(x), len(y)):
+        d = _dist(x[s], y)
+        row, at = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1, None])
+        row, at, dist = _ranked(row, at, d[row, at], m)
+        yield s.start + row, at, dist
+
+
+def _by_windows(x: np.ndarray, y: np.ndarray, m: int) -> Iterator[tuple]:
+    """Along the widest coordinate: a few references around the queries bound the m-th distance, and so how far along any other may lie."""
+    j = int(np.ptp(y, axis=0).argmax())
+    along, places = np.argsort(x[:, j], kind="stable"), np.argsort(y[:, j], kind="stable")
+    ordered = y[places]
+    line = ordered[:, j]
+    for i in range(0, len(x), WINDOW_QUERIES):
+        mine = along[i:i + WINDOW_QUERIES]
+        q = x[mine]
+        low, high = q[0, j], q[-1, j]
+        a, b = max(0, int(np.searchsorted(line, low)) - 2 * m), min(len(line), int(np.searchsorted(line, high, "right")) + 2 * m)
+        bound = np.concatenate([np.partition(_dist(q[s], ordered[a:b]), m - 1, axis=1)[:, m - 1] for s in _blocks(len(q), b - a)]) if b - a >= m else np.array([np.inf])
+        far = _reach(bound.max())
+        a, b = int(np.searchsorted(line, low - far)), int(np.searchsorted(line, high + far, "right"))
+        for s in _blocks(len(q), b - a):
+            d = _dist(q[s], ordered[a:b])
+            row, at = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1, None])
+            row, at, dist = _ranked(row, places[a + at], d[row, at], m)
+            yield mine[s.start + row], at, dist
+
+
+def _by_products(x: np.ndarray, y: np.ndarray, m: int) -> Iterator[tuple]:
+    """From |y|^2 - 2xy, which ranks the references of a query up to rounding; what may be among the m least is measured exactly."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    slack = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + yy.max())
+    side = len(y) // 32
+    for s in _blocks(len(x), len(y)):
+        g = x[s] @ (-2 * y.T)
+        g += yy
+        # the m-th least of minima over disjoint sets of references is no less than the m-th least of all
+        least = g[:, :32 * side].reshape(len(g), 32, side).min(1) if side >= 4 * m else g
+        row, at = np.nonzero(g <= (np.partition(least, m - 1, axis=1)[:, m - 1] + slack[s])[:, None])
+        a, b, total = x[s][row], y[at], np.zeros(len(row))
+        for j in range(x.shape[1]):
+            total += (a[:, j] - b[:, j]) ** 2
+        row, at, dist = _ranked(row, at, np.sqrt(total), m)
+        yield s.start + row, at, dist
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x`` with the positions and distances of their k nearest rows of ``y``, ties by position."""
+    m = min(k, len(y))
+    most = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))
+    if not most < 1e150:  # squares overflow, or a component is not a number
+        found = _by_pairs(x, y, m)
+    elif x.shape[1] >= PRODUCT_DIMENSIONS:
+        found = _by_products(x, y, m)
+    else:
+        found = _by_windows(x, y, m)
+    parts = list(found)
+    return tuple(np.concatenate([p[j] for p in parts]) for j in range(3))
+
+
 class Boxes:
     """Cells of up to four dimensions: a grid, and grids inside its crowded boxes."""
 
@@ -178,6 +257,11 @@ class Balls:
         place = self._placer()
         return lambda vec: place(vec)["cell"]
 
+    def reached(self, queries: DataFrame) -> float:
+        """The mean share of the references in the cells that a few queries visit."""
+        looked = queries.orderBy(F.xxhash64("vec")).limit(LOOK).select(self.visitor()("vec").alias("cells")).collect()
+        return float(np.mean([self.sizes[r["cells"]].sum() for r in looked]) / self.sizes.sum()) if looked else 0.0
+
     def visitor(self):
         pivots, tops, spans, sizes, lo, hi, near, k = self.pivots, self.tops, self.spans, self.sizes, self.lo, self.hi, self.near, self.k
         reach = np.array([max((np.sqrt(((pivots[a:b] - t) ** 2).sum(1)) + hi[a:b]).max(), 0.0) for t, (a, b) in zip(tops, spans)])
@@ -215,6 +299,33 @@ class Balls:
         return cells_to_visit
 
 
+def _group_nearest(k: int, name: str, payload: list[str]):
+    """For a group of queries and one of references: ``name`` of the query, with its k nearest references in the group."""
+    def nearest(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or rs.empty:
+            return pd.DataFrame({c: [] for c in [name, "rid", "dist", *payload]})
+        rs = rs.sort_values("rid", kind="stable")  # ties in order of rid
+        qi, ri, dist = _nearest(_matrix(qs["vec"]), _matrix(rs["vec"]), k)
+        found = {name: qs[name].to_numpy()[qi], "rid": rs["rid"].to_numpy()[ri], "dist": dist}
+        found.update({c: rs[c].to_numpy()[ri] for c in payload})
+        return pd.DataFrame(found)
+    return nearest
+
+
+def _block_join(queries: DataFrame, refs: DataFrame, k: int, payload: list[str], n: int, dims: int, block_rows: int) -> DataFrame:
+    """Every block of queries against every block of references; what a pair of blocks hands on names queries by number, not by vector."""
+    most = max(1, min(block_rows, BLOCK_BYTES // (8 * dims)))
+    queries = cut(queries.withColumn("qid", F.monotonically_increasing_id()))
+    qbs, rbs = (max(-(-c // most), min(LEAST_BLOCKS, -(-c // LEAST_CELL))) for c in (queries.count(), n))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qbs)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rbs - 1))))
+    r = refs.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(rbs)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qbs - 1))))
+    fields = ", ".join(["qid bigint", *(f"{c} {refs.schema[c].dataType.simpleString()}" if c != "dist" else "dist double" for c in ("rid", "dist", *payload))])
+    found = q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(_group_nearest(k, "qid", payload), fields)
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("dist", "rid"))
+    best = found.withColumn("place", rank).filter(F.col("place") <= k)
+    return best.join(queries, "qid").select("vec", "rid", "dist", *payload, "place")
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest references of every distinct query vector, ties by ``rid``.
 
@@ -229,6 +340,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str]
     if not known["n"]:
         return queries.sparkSession.createDataFrame([], fields)
     cells = Boxes(refs, known["d"], known["n"], k) if known["d"] <= GRID_DIMENSIONS else Balls(refs, known["n"], k)
+    if isinstance(cells, Balls) and cells.reached(queries) > MOST_REACHED:
+        return _block_join(queries, refs, k, payload, known["n"], known["d"], block_rows)
     visits = cut(queries.withColumn("cell", F.explode(cells.visitor()("vec"))))
     crowd = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     # at most MOST_CELLS rows, once split: blocks of references and of queries by cell
@@ -240,27 +353,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, payload: Iterable[str]
     r = refs.withColumn("cell", cells.assigner()(F.col("vec"))).join(plan, "cell").withColumn("rb", F.pmod(F.xxhash64("rid"), F.col("_rbs")).cast("int"))
     r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_qbs") - 1))).select("cell", "rb", "qb", "rid", "vec", *payload)
 
-    def nearest(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        cols = ["vec", "rid", "dist", *payload]
-        if qs.empty or rs.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        rs = rs.sort_values("rid", kind="stable")
-        x, y = _matrix(qs["vec"]), _matrix(rs["vec"])
-        m, out = min(k, len(y)), []
-        for s in _blocks(len(x), len(y)):
-            d = _dist(x[s], y)
-            row, at = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1, None])
-            dist = d[row, at]
-            order = np.lexsort((at, dist, row))  # ties in order of rid
-            row, at, dist = row[order], at[order], dist[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = place < m
-            out.append((s.start + row[keep], at[keep], dist[keep]))
-        qi, ri, dist = (np.concatenate([o[j] for o in out]) for j in range(3))
-        found = {"vec": qs["vec"].to_numpy()[qi], "rid": rs["rid"].to_numpy()[ri], "dist": dist}
-        found.update({c: rs[c].to_numpy()[ri] for c in payload})
-        return pd.DataFrame(found)
-
+    nearest = _group_nearest(k, "vec", payload)
     by = ["cell", "rb", "qb"]
     found = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(nearest, fields)
     rank = F.row_number().over(W.partitionBy("vec").orderBy("dist", "rid"))

@@ -229,3 +229,36 @@ def test_front_keeps_null_categories_and_crowded_values(spark):
     d = spark.createDataFrame(rows, "g string, cof double, fai double")
     assert rows_of(dc.pareto_front(d, by="g")) == rows_of(spark.createDataFrame(
         [(None, 0.001, 1.0)] * 3 + [("b", 0.001, 0.5), ("b", 0.5, 0.4)], d.schema))
+
+
+@pytest.mark.parametrize("dims, reach", [(6, 0.25), (24, 0.25), (24, -1.0)])
+def test_wide_neighbours_in_blocks_and_windows(spark, dims, reach, monkeypatch):
+    """Vectors without structure go by blocks; both ways give the distances and ties of a plain scan, and no vector is repeated per cell."""
+    monkeypatch.setattr(nb, "MOST_REACHED", reach)
+    monkeypatch.setattr(nb, "LEAST_CELL", 64)
+    rng = np.random.default_rng(dims)
+    y = np.round(rng.normal(size=(700, dims)), 1 if dims < 10 else 6)
+    y[100:140] = y[0]
+    x = np.concatenate([y[::5], rng.normal(size=(60, dims)) * 3])
+    r = spark.createDataFrame([(i, [float(a) for a in v], float(i % 7)) for i, v in enumerate(y)], "rid bigint, vec array<double>, y double")
+    q = spark.createDataFrame([([float(a) for a in v],) for v in x], "vec array<double>")
+    got = {}
+    for row in nb.knn_join(q, r, 5, ["y"], block_rows=90).collect():
+        got.setdefault(tuple(row["vec"]), []).append((row["dist"], row["rid"], row["y"]))
+    assert len(got) == len({tuple(v) for v in x.tolist()})
+    for v, found in got.items():
+        d = nb._dist(np.array([v]), y)[0]
+        assert sorted(found) == [(d[i], i, float(i % 7)) for i in sorted(range(len(y)), key=lambda i: (d[i], i))[:5]]
+
+
+def test_products_leave_out_nothing_within_rounding():
+    rng = np.random.default_rng(3)
+    for shift in (0.0, 1e6, 1e160):
+        y = rng.normal(size=(900, 20)) + shift
+        x = np.concatenate([y[:30], rng.normal(size=(30, 20)) + shift])
+        y[500:520] = y[3]
+        row, at, dist = nb._nearest(x, y, 4)
+        d = nb._dist(x, y)
+        for i in range(len(x)):
+            best = sorted(range(len(y)), key=lambda j: (d[i, j], j))[:4]
+            assert at[row == i].tolist() == best and dist[row == i].tolist() == d[i, best].tolist()
