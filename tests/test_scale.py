@@ -1,10 +1,14 @@
 """One run holds a third of all rows; chunk borders, salts and slices must not change a result."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from rigspark import scale
+from rigspark.models import learners
+from rigspark.models.registry import REGISTRY, fit_model
 from rigspark.operators import neighbors as nb, prepare as pr, relational as rl, stats as st, timeseries as ts
 from rigspark.plans import decide as dc
 from rigspark.sources.runs import trim_rows
@@ -262,3 +266,23 @@ def test_products_leave_out_nothing_within_rounding():
         for i in range(len(x)):
             best = sorted(range(len(y)), key=lambda j: (d[i, j], j))[:4]
             assert at[row == i].tolist() == best and dist[row == i].tolist() == d[i, best].tolist()
+
+
+def test_targets_share_one_search_for_neighbours(spark, monkeypatch):
+    """A model of several targets looks for neighbours once, also where its predictions are too many to broadcast, and predicts as each alone."""
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", *map(float, v), float(i % 5 + 1), float(i % 3 + 1)) for i, v in enumerate(rng.integers(0, 4, (200, 5)))]
+    d = spark.createDataFrame(rows, "row_id string, a double, b double, c double, d double, e double, cof double, fai double")
+    both, features = ["cof", "fai"], list("abcde")
+    want = {r["row_id"]: r for r in fit_model(REGISTRY["knn"], {"k": 3}, d, features, ["cof"]).transform(d).collect()}
+    calls = []
+    monkeypatch.setattr(learners, "knn_join", lambda *a, **k: calls.append(1) or nb.knn_join(*a, **k))
+    monkeypatch.setattr(learners, "fits", lambda df: False)
+    monkeypatch.setattr(learners, "HOT_ROWS", 1)
+    model = fit_model(REGISTRY["knn"], {"k": 3}, d, features, both)
+    got = model.transform(d).collect()
+    assert len(calls) == 1 and len(got) == 200
+    assert all(abs(r["pred_cof"] - want[r["row_id"]]["pred_cof"]) < 1e-12 for r in got)
+    for t in both:
+        alone = {r["row_id"]: r[f"_p_{t}"] for r in model.fitted[t].transform(reduce(lambda x, s: s.transform(x), model.shared, d)).collect()}
+        assert all(abs(np.exp(alone[r["row_id"]]) - r[f"pred_{t}"]) < 1e-9 for r in got)
