@@ -38,12 +38,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def store(df: DataFrame, by: str | None = None) -> DataFrame:
+def tasks_for(rows: int, each: int = 1 << 14) -> int:
+    """Tasks that a table of so many narrow rows is worth: a task has its price, however few rows it gets."""
+    return max(1, -(-rows // each))
+
+
+def store(df: DataFrame, by: str | None = None, tasks: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: computed once, and safe from lost executors.
 
-    ``by`` names a column whose values become folders, so that a later filter on it reads only those.
+    ``by`` names a column whose values become folders, so that a later filter on it reads only those. ``tasks`` is for what a shuffle
+    made of counted rows: the write takes no more tasks than these rows are worth, whatever the number of shuffle partitions.
     """
     path = f"{shared_dir(df.sparkSession)}/text-{uuid.uuid4().hex}"
+    df = df if tasks is None else df.coalesce(tasks)
     (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

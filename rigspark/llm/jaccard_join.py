@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import bounded_batches, by_id, given_id, query, sort_id, store, table
+from .base import bounded_batches, by_id, given_id, query, sort_id, store, table, tasks_for
 from .components import components
 from .shingles import mix, shingle_sets, shingle_table
 
@@ -37,6 +37,10 @@ SAMPLE, SAMPLE_LEAST, FREQUENT = 32, 4, 50_000
 SALTS = 64
 #: Members of a run compared in one task, members that meet one copy of their first class.
 BLOCK, STAR = 2048, 8192
+#: Members of a (run, block pair) from which they are compared as arrays, and words of sketches held as one array.
+MANY, TILE = 32, 1 << 20
+#: Whole sets, and shingles signed, that a task is worth.
+SETS_EACH, SHINGLES_EACH = 1 << 11, 1 << 19
 #: Least signatures a class carries, by which a pair that meets in several runs is compared in the first of them.
 HEADS = 16
 
@@ -312,7 +316,7 @@ def _emit_signatures(docs: DataFrame, plan, sim: Similarity, frequent, everythin
     return docs.mapInArrow(emit, "_key bigint, _id bigint, _sig bigint")
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, tasks: int) -> DataFrame:
     """Members of runs of equal ``_key``: ``_sig``, ``_id``, and the id that leads their run. A lone member stays only if it is salted.
 
     The rows are sorted by Spark, by one number, and streamed: a task holds one batch and the last row before it. Should two signatures
@@ -336,7 +340,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             run = (key[-1], heads[-1])
             held = (sig[-1], ids[-1]) if not take[-1] else None
             yield pa.RecordBatch.from_arrays(_arrays(sig[take], ids[take], heads[take]), names)
-    return rows.repartition("_key").sortWithinPartitions("_key").mapInArrow(stream, "_sig bigint, _id bigint, _first bigint")
+    return rows.repartition("_key").coalesce(tasks).sortWithinPartitions("_key").mapInArrow(stream, "_sig bigint, _id bigint, _first bigint")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
@@ -344,12 +348,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
 
     ``a`` is sent once for every STAR of its pairs, each ``b`` once a pair; a task streams them and holds one ``a``.
     """
-    counts = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")))
+    n = pairs.count()
+    counts = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")), tasks=tasks_for(n))
     copies = F.floor((F.col("_pairs") - 1) / F.lit(STAR)) + 1
     centres = counts.select(F.col("a").alias("_id"), F.col("a").alias("_to"), F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)).alias("_salt"), F.lit(0).alias("_role"))
     members = pairs.join(counts, "a").select(F.col("b").alias("_id"), F.col("a").alias("_to"), F.pmod(F.xxhash64("b"), copies).alias("_salt"), F.lit(1).alias("_role"))
     wanted = store(centres.unionAll(members))
-    ids = store(wanted.select("_id").distinct())
+    ids = store(wanted.select("_id").distinct(), tasks=tasks_for(2 * n))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,7 +379,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
     texts = _semi(docs, ids, "left_semi").mapInArrow(sets, "_id bigint, _set binary")
     small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     sent = texts.join(F.broadcast(wanted) if small else wanted, "_id")
-    sent = sent.select("_to", "_salt", "_role", "_id", "_set").repartition("_to", "_salt").sortWithinPartitions("_to", "_salt", "_role")
+    sent = sent.select("_to", "_salt", "_role", "_id", "_set").repartition("_to", "_salt")
+    sent = sent.coalesce(tasks_for(2 * n, SETS_EACH)).sortWithinPartitions("_to", "_salt", "_role")
     return store(sent.mapInArrow(compare, "a bigint, b bigint"))
 
 
@@ -388,7 +394,36 @@ def _sketched(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
         return pa.array([may_link(*x, sim) for x in zip(an.to_pylist(), bn.to_pylist(), a.to_pylist(), b.to_pylist())], pa.bool_())
 
     met = pairs.join(left, "a").join(right, "b").filter(f"_an * {sim.p} <= _bn * {sim.q} AND _bn * {sim.p} <= _an * {sim.q}")
-    return store(met.filter(may("_an", "_as", "_bn", "_bs")).select("a", "b").distinct())
+    return store(met.filter(may("_an", "_as", "_bn", "_bs")).select("a", "b").distinct(), tasks=tasks_for(pairs.count()))
+
+
+def _tile(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of ``words`` words or more as the rows of one array, the longer ones folded."""
+    return np.array([_fold(np.frombuffer(s, np.uint64), words) for s in sketches]).reshape(-1, words)
+
+
+def met_as_arrays(group: list, one_block: bool, sim: Similarity) -> Iterator[tuple[int, int]]:
+    """The pairs of a large (run, block pair), sorted by size: a set meets many others at a time. Sketches do not get shorter with the size."""
+    own, ids, of, n = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
+    heads = [frozenset(r[8]) for r in group]
+    ends = np.searchsorted(n, [sim.largest_partner(int(x)) for x in n], "right")
+    words = np.array([len(r[7]) // 8 for r in group])
+    lo = 0
+    while lo < len(group):
+        step = max(1, TILE // int(words[lo]))
+        hi = min(lo + step, int(np.searchsorted(words, words[lo], "right")))
+        left = _tile([r[7] for r in group[lo:hi]], words[lo])
+        for at in range(lo, int(ends[hi - 1]), step):
+            stop = min(at + step, int(ends[hi - 1]))
+            right = left if (at, stop) == (lo, hi) else _tile([r[7] for r in group[at:stop]], words[lo])
+            for x in range(lo, hi):
+                y = np.arange(max(at, x + 1), min(stop, int(ends[x])))
+                y = y[(of[y] != of[x]) & (one_block | (own[y] != own[x]))]
+                differ = np.bitwise_count(right[y - at] ^ left[x - lo]).sum(axis=1, dtype=np.int64)
+                for k in y[differ <= sim.most_difference(n[x], n[y])].tolist():
+                    if heads[x].isdisjoint(heads[k]):
+                        yield (int(min(ids[x], ids[k])), int(max(ids[x], ids[k])))
+        lo = hi
 
 
 def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -396,14 +431,16 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, sim: Similar
 
     A run longer than BLOCK is cut into blocks; two blocks meet in a task of their own, so no task holds a whole run.
     """
+    n = members.count()
     rows = members.select("_sig", "_id").distinct().join(labels, F.col("_id") == F.col("node"), "left")
     rows = rows.select("_sig", "_id", F.coalesce("component", "_id").alias("_of"))
-    rows = store(rows)
-    runs = store(rows.groupBy("_sig").agg(F.count(F.lit(1)).alias("_rows"), F.min("_of").alias("_low"), F.max("_of").alias("_high")).filter("_low <> _high"))
-    rows = store(rows.join(runs.select("_sig", "_rows"), "_sig"))
+    rows = store(rows, tasks=tasks_for(n))
+    runs = store(rows.groupBy("_sig").agg(F.count(F.lit(1)).alias("_rows"), F.min("_of").alias("_low"), F.max("_of").alias("_high")).filter("_low <> _high"), tasks=tasks_for(n))
+    rows = store(rows.join(runs.select("_sig", "_rows"), "_sig"), tasks=tasks_for(n))
+    n = rows.count()
     # two classes meet in the least signature they share: a class carries its HEADS least ones, and a run leaves a pair to an earlier one
     heads = rows.groupBy("_id").agg(F.slice(F.array_sort(F.collect_set("_sig")), 1, HEADS).alias("_heads"))
-    carried = store(sets.select("_id", "_n", "_sketch").join(heads, "_id"))
+    carried = store(sets.select("_id", "_n", "_sketch").join(heads, "_id"), tasks=tasks_for(n))
     blocks = F.floor((F.col("_rows") - 1) / F.lit(BLOCK)) + 1
     rows = rows.join(carried, "_id").withColumn("_own", F.pmod(F.xxhash64("_id"), blocks))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
@@ -414,6 +451,9 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, sim: Similar
     def met(group: list) -> Iterator[tuple[int, int]]:
         """Pairs of a (run, block pair); sorted by size, a set meets only those that are not too large for it."""
         one_block = group[0][1] == group[0][2]
+        if len(group) >= MANY:
+            yield from met_as_arrays(sorted(group, key=lambda r: r[6]), one_block, sim)
+            return
         group = [(*r[3:8], frozenset(r[8])) for r in sorted(group, key=lambda r: r[6])]
         for x, (own, a, of, n, s, heads) in enumerate(group):
             most = sim.largest_partner(n)
@@ -438,7 +478,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, sim: Similar
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     keys = ["_sig", "_i", "_j"]
-    return store(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct())
+    return store(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct(), tasks=tasks_for(n))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim: Similarity = Similarity()) -> DataFrame:
@@ -466,32 +506,35 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, sim: Similarity)
     bounded_batches(spark, mb=4)
     rows = docs.select(sort_id(F.col(id_col), F.col(text_col)).alias("_id"), F.col(text_col).alias("_text"))
     scanned = store(scan_sets(rows))
-    classes = store(scanned.filter("_n > 0").groupBy("_d1", "_d2", "_n").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies")))
+    tasks = tasks_for(scanned.count())
+    classes = store(scanned.filter("_n > 0").groupBy("_d1", "_d2", "_n").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies")), tasks=tasks)
     owners = scanned.join(classes, ["_d1", "_d2", "_n"])
-    sets = store(owners.filter("_id = _class").select("_id", "_n", "_sketch").distinct())
+    sets = store(owners.filter("_id = _class").select("_id", "_n", "_sketch").distinct(), tasks=tasks)
     same = owners.select(F.col("_id").alias("a"), F.col("_class").alias("b"))
 
     # only the first document of each class goes on
-    others = store(scanned.select("_id").join(sets.select("_id"), "_id", "left_anti").distinct())
+    others = store(scanned.select("_id").join(sets.select("_id"), "_id", "left_anti").distinct(), tasks=tasks)
     firsts = _semi(rows, others, "left_anti")
 
     in_band = F.floor(F.log(F.col("_n").cast("double")) / math.log(BAND_RATIO) + 1e-9).cast("int")
-    filled = {r._band: r.n for r in sets.groupBy(in_band.alias("_band")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bands = sets.groupBy(in_band.alias("_band")).agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("shingles")).collect()
+    filled = {r._band: r.n for r in bands}
     plan = {k: allocate(k, filled.get(k, 0), sim) for k in range(max(filled, default=0) + 1)}
     sample = firsts.filter(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0)
     often = (_emit_signatures(sample, plan, sim, None, everything=True).groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "_key").limit(FREQUENT).collect())
     frequent = spark.sparkContext.broadcast(np.array(sorted(r._key for r in often), np.int64).view(np.uint64))
 
-    runs = store(_runs(_emit_signatures(firsts, plan, sim, frequent)))
+    runs = store(_runs(_emit_signatures(firsts, plan, sim, frequent), tasks_for(sum(r.shingles for r in bands), SHINGLES_EACH)))
+    members = tasks_for(runs.count())
     common = spark.createDataFrame([(int(x),) for x in frequent.value.view(np.int64)], "_sig bigint")
     # a frequent signature has a first member in every salt group; they meet the first of all
-    firsts_of = runs.join(F.broadcast(common), "_sig", "left_semi").select("_sig", "_first").distinct()
+    firsts_of = store(runs.join(F.broadcast(common), "_sig", "left_semi").select("_sig", "_first").distinct(), tasks=members)
     least = firsts_of.groupBy("_sig").agg(F.min("_first").alias("_least"))
     star = runs.select(F.col("_first").alias("a"), F.col("_id").alias("b"))
     star = star.unionAll(firsts_of.join(least, "_sig").select(F.col("_least").alias("a"), F.col("_first").alias("b")))
-    star = star.filter("a <> b").distinct()
-    links = _verified(rows, _sketched(store(star), sets, sim), sim)
+    star = store(star.filter("a <> b").distinct(), tasks=members)
+    links = _verified(rows, _sketched(star, sets, sim), sim)
 
     labels = store(components(links))
     rest = _across(runs, labels, sets, sim)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from rigspark.llm import exact_dedup as ex, jaccard_join as jj
+from rigspark.llm import components as cc, exact_dedup as ex, jaccard_join as jj
 from rigspark.llm.components import components
 from rigspark.llm.shingles import mix, shingle_sets
 
@@ -176,3 +176,55 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_small_tables_take_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions there are, a step on few rows is not written by as many tasks."""
+    texts, files = chain_texts(3, 400), []
+
+    def counted(store):
+        def run(df, *args, **kwargs):
+            out = store(df, *args, **kwargs)
+            files.append(len(out.inputFiles()))
+            return out
+        return run
+
+    for module in (jj, cc):
+        monkeypatch.setattr(module, "store", counted(module.store))
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.similar_groups(docs(spark, texts)).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == components_by_hand(texts)
+    assert len(files) > 20 and max(files) <= 24, files
+
+
+def test_large_runs_compared_as_arrays(monkeypatch):
+    """Without Spark: a run compared as arrays gives the pairs that one comparison after the other gives."""
+    rng, sim = np.random.default_rng(8), jj.Similarity()
+    group, pool = [], mix(rng.integers(1, 2**63, 700).astype(np.uint64))
+    for i, x in enumerate(rng.choice([1, 2, 5, 60, 63, 64, 65, 70, 128, 140, 300, 600], 400).tolist()):
+        s = np.unique(np.concatenate([pool[:x], mix(rng.integers(1, 2**63, int(rng.integers(0, x // 8 + 1))).astype(np.uint64))]))
+        heads = rng.integers(0, 300, int(rng.integers(0, 6))).tolist()
+        group.append((5, 0, 1, int(rng.integers(0, 2)), int(rng.integers(0, 10**6)), int(rng.integers(0, 50)), len(s), jj.sketch(s), heads))
+    group.sort(key=lambda r: r[6])
+    for tile in (1, 40, 1 << 20):
+        monkeypatch.setattr(jj, "TILE", tile)
+        for one_block in (False, True):
+            want = [(min(a[4], b[4]), max(a[4], b[4])) for x, a in enumerate(group) for b in group[x + 1:]
+                    if a[5] != b[5] and (one_block or a[3] != b[3]) and not set(a[8]) & set(b[8]) and jj.may_link(a[6], b[6], a[7], b[7], sim)]
+            assert len(want) > 1000 and Counter(jj.met_as_arrays(group, one_block, sim)) == Counter(want)
+
+
+def test_chains_with_runs_as_arrays(spark, monkeypatch):
+    monkeypatch.setattr(jj, "MANY", 2)
+    monkeypatch.setattr(jj, "TILE", 16)
+    monkeypatch.setattr(jj, "BLOCK", 3)
+    texts = chain_texts(4, 300)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.similar_groups(docs(spark, texts)).collect()}
+    assert got == components_by_hand(texts)
