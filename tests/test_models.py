@@ -2,12 +2,15 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
+from rigspark import catalog
+from rigspark.catalog import training
 from rigspark.models import selection as sel
 from rigspark.models.learners import KnnRegressor, MlpRegressor, Ridge
 from rigspark.models.registry import REGISTRY, Choice, EnsembleModel, Real, TargetModel, Whole, fit_model, sample_params
@@ -97,6 +100,30 @@ def test_log_target_and_floor(table):
     assert low.select(F.min("pred_cof")).first()[0] == 0.001
 
 
+def test_model_scores_fits_every_family_whole(spark, table, monkeypatch):
+    fits = []
+
+    def fit(spec, params, df, features):
+        fits.append((spec.name, dict(params), df.count()))
+        return fit_model(REGISTRY["ridge"], {"alpha": 1.0}, df, features)
+    train, test = table.filter("run_id <> 'run07'"), table.filter("run_id = 'run07'")
+    monkeypatch.setattr(training, "halves", lambda *_: (train, test))
+    monkeypatch.setattr(training, "fit_model", fit)
+    out = catalog.queries()["model_scores"](spark, "no folder").collect()
+    assert sorted(fits, key=lambda f: f[0]) == [(name, {}, 330) for name in sorted(REGISTRY)]
+    assert {(r["model"], r["split"], r["target"]) for r in out} == set(itertools.product(REGISTRY, ("train", "test"), ("all", "cof", "fai")))
+    assert all(r["score_ms"] > 0 and r["n_scored"] == 30 for r in out)
+
+
+def test_deep_trees_are_the_same_with_stored_nodes(table):
+    spec = REGISTRY["forest"]
+    plain = replace(spec, make=lambda p: spec.make(p).setCacheNodeIds(False))
+    params = {"n_estimators": 4}
+    assert spec.make(params).getCacheNodeIds() and not spec.make({"max_depth": 5}).getCacheNodeIds()
+    key = lambda s: sorted((r["row_id"], r["pred_cof"], r["pred_fai"]) for r in fit_model(s, params, table, FEATURES).transform(table).collect())
+    assert key(spec) == key(plain)
+
+
 def test_search_spaces():
     rng = random.Random(1)
     draws = [sample_params({"i": Whole(-1, 10), "f": Real(0.01, 0.1), "mixed": [0, 0.1, 1.0], "none": [None, 10], "t": Choice((50,), (50, 50))}, rng) for _ in range(300)]
